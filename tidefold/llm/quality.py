@@ -23,6 +23,7 @@ from dataclasses import dataclass
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -140,8 +141,6 @@ FIGURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 
 def measured(df: DataFrame, text_col: str = "text", rules: Rules = Rules(), out: str = "quality") -> DataFrame:
     """Add ``out``, a struct of the figures, the verdict and the cleaned text. All other columns pass through."""
-    import pandas as pd
-
     names = [f.split()[0] for f in FIGURES.split(", ")]
 
     @F.pandas_udf("struct<" + ", ".join(f.replace(" ", ":") for f in FIGURES.split(", ")) + ">")

@@ -19,6 +19,17 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(made).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidefold.llm import suffix_dedup
+
+    found = suffix_dedup.repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+    words = "aggregate({0}, 0, (n, s) -> n + s[1] - s[0])"
+    return found.select(
+        F.col("doc").alias("doc_id"), F.expr(words.format("again")).alias("n_again"), F.expr(words.format("first")).alias("n_first"),
+        F.col("again").alias("again_spans"), F.col("first").alias("first_spans"),
+    )
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
