@@ -8,6 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidefold.llm import html_text
+
+    found = html_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id", "url", "html")
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
