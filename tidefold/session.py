@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 #: Settings that the results rely on (time zone) or that help at every size.
@@ -23,3 +27,20 @@ def get_spark(app: str = "tidefold", master: str | None = None, **more: str) ->
     for key, value in (SETTINGS | {k.replace("__", "."): v for k, v in more.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once a context, so that Python workers can import it wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_tidefold_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="tidefold-"), "tidefold.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.join("tidefold", os.path.relpath(path, root)))
+    context.addPyFile(target)
+    context._tidefold_shipped = True
