@@ -8,6 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidefold.llm import lm_scoring
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    good = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
+    return lm_scoring.score(docs, good, "doc_id", "text")
+
+
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidefold.llm import html_text
 
