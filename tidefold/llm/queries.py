@@ -37,7 +37,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    made = bpe.decode(bpe.encode(docs, "text", path, pattern), "token_ids", path, pattern)
+    made = bpe.encode(docs, "text", path, pattern, decoded="decoded")
     return bpe.digests(made).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
