@@ -84,3 +84,11 @@ def test_remembered_contents(spark, tmp_path):
     query = uploads.new_contents(stream).writeStream.format("memory").queryName("firsts").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     assert query.awaitTermination(120)
     assert sorted(r[0] for r in rows_of(spark, "firsts")) == ["x", "y"]
+
+
+def test_archive_stream(spark, tmp_path):
+    (tmp_path / "raw/ab/cd").mkdir(parents=True)
+    (tmp_path / "raw/ab/cd/x.dat").write_bytes(b"one")
+    query = uploads.archive_stream(spark, str(tmp_path / "raw")).writeStream.format("memory").queryName("archive").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    assert [r[1] for r in rows_of(spark, "archive")] == ["7692c3ad3540bb803c020b3aee66cd8887123234ea0c6e7143c0add73ff431ed"]

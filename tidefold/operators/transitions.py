@@ -63,6 +63,20 @@ def _next(df: DataFrame, key: str = "id") -> int:
     return int(df.agg(F.coalesce(F.max(key), F.lit(0))).first()[0]) + 1
 
 
+def numbered(df: DataFrame, bucket: Column, *order: str, name: str = "number") -> DataFrame:
+    """``df`` with ``name``, 1, 2, 3 ... in the order. ``bucket`` must rise with the order: rows are numbered within buckets, and only the buckets' counts meet in one place."""
+    dealt = df.withColumn("__bucket", bucket)
+    before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    inside = dealt.withColumn(name, F.row_number().over(Window.partitionBy("__bucket").orderBy(*order)))
+    return inside.join(counts.select(F.col("__bucket").alias("__b"), "__before"), F.col("__bucket").eqNullSafe(F.col("__b"))).withColumn(name, F.col(name) + F.col("__before")).drop("__bucket", "__b", "__before")
+
+
+def arrival(seq: str = "seq") -> Column:
+    """A bucket for each 65,536 arrival numbers."""
+    return F.floor(F.col(seq) / 65_536)
+
+
 def _user(users: DataFrame, user_id: int):
     row = users.filter(P.key_is("id", user_id)).select("id", "role", "disabled").first()
     if row is None:
@@ -286,10 +300,10 @@ def register(users: DataFrame, invites: DataFrame, settings: DataFrame, commands
         raise RuntimeError("registrations did not settle")
     won = c.filter("code = 'ok'")
     first = _next(users)
-    numbered = won.withColumn("id", F.row_number().over(Window.orderBy("seq")) + (first - 1))
+    placed = numbered(won, arrival(), "seq").withColumn("id", F.col("number") + (first - 1))
     now = moment(as_of)
-    new = numbered.select("id", "email", "password_hash", F.lit("user").alias("role"), F.lit(False).alias("must_change_password"), F.lit(False).alias("disabled"), now.alias("created_at"), now.alias("updated_at"))
-    used = numbered.filter("invite_id IS NOT NULL").select(F.col("invite_id").alias("__invite"), F.col("id").alias("__user"))
+    new = placed.select("id", "email", "password_hash", F.lit("user").alias("role"), F.lit(False).alias("must_change_password"), F.lit(False).alias("disabled"), now.alias("created_at"), now.alias("updated_at"))
+    used = placed.filter("invite_id IS NOT NULL").select(F.col("invite_id").alias("__invite"), F.col("id").alias("__user"))
     stamped = changed(invites.join(used, F.col("id") == F.col("__invite"), "left"), F.col("__invite").isNotNull(), used_at=now, used_by_user_id=F.col("__user")).drop("__invite", "__user")
     return Change({"users": appended(users, new), "invites": stamped}, c.select("seq", "code"))
 
@@ -359,7 +373,8 @@ def reassign_agents(users: DataFrame, agents: DataFrame, log: DataFrame, target_
         raise Refused("reassignment_target_not_found")
     if target.role == "admin":
         raise Refused("reassignment_target_is_admin")
-    logged = moves.select((F.row_number().over(Window.orderBy("agent_id")) + (_next(log) - 1)).alias("id"), "agent_id", "prior_user_id", F.lit(target.id).alias("new_user_id"), moment(as_of).alias("reassigned_at"))
+    placed = numbered(moves, F.substring("agent_id", 1, 4), "agent_id")
+    logged = placed.select((F.col("number") + (_next(log) - 1)).alias("id"), "agent_id", "prior_user_id", F.lit(target.id).alias("new_user_id"), moment(as_of).alias("reassigned_at"))
     moved = agents.join(admins, F.col("user_id") == F.col("__admin"), "left")
     return Change({"agents": changed(moved, F.col("__admin").isNotNull(), user_id=target.id).select(*agents.columns), "reassignment_log": appended(log, logged)}, count=moves.count())
 

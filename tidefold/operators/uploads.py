@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidefold.functions import scalars as X
-from tidefold.operators.transitions import Change, appended
+from tidefold.operators.transitions import Change, appended, arrival, numbered
 from tidefold.schemas import CONTENT_TYPES
 
 MAX_BYTES = 104_857_600
@@ -45,8 +45,7 @@ def upload(files: DataFrame, uploads: DataFrame, batch: DataFrame, max_bytes: in
     ranked = good.join(known, F.col("sha256") == F.col("__known"), "left").withColumn("deduped", F.col("__known").isNotNull() | (F.row_number().over(first) > 1)).drop("__known")
     new = ranked.filter("NOT deduped").withColumn("storage_path", X.shard_path("sha256", X.file_extension("content_type", "original_filename")))
     start = int(uploads.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0])
-    # upload ids follow arrival; one batch is numbered as a whole
-    rows = ranked.withColumn("id", F.row_number().over(Window.orderBy("seq")) + start)
+    rows = numbered(ranked, arrival(), "seq").withColumn("id", F.col("number") + start)
     events = new.withColumn("__iso", X.iso_format("uploaded_at")).select(
         F.lit("file.ingested").alias("topic"), "sha256",
         F.to_json(F.struct("sha256", "user_id", "agent_registration_id", F.col("__iso").alias("uploaded_at"), "content_type")).alias("payload"),

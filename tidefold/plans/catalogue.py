@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidefold.functions import predicates as P
 from tidefold.functions import scalars as X
 from tidefold.operators import paging, relational, stats, transitions, uploads
+from tidefold.schemas import schema
 from tidefold.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -445,3 +446,76 @@ def tumbling(t):
 def user_history(t):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return t("events").select("user_id", "event_id", F.row_number().over(w).cast("long").alias("n"), (F.col("value") - F.lag("value").over(w)).alias("change"))
+
+
+# --- state changes over the supplied tables --------------------------------------------------------------------------
+
+
+def _as_sessions(orders: DataFrame) -> DataFrame:
+    at = F.col("o_orderdate").cast("timestamp")
+    return orders.select(
+        F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("int").alias("user_id"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("refresh_token_hash"), at.alias("issued_at"),
+        X.after(at, days=30).alias("expires_at"), F.when(F.col("o_orderstatus") == "F", at).alias("revoked_at"), F.lit(None).cast("string").alias("user_agent"), F.lit(None).cast("string").alias("ip"),
+    )
+
+
+@_query("SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_custkey <> 7")
+def delete_user_cascade(t):
+    tables = {"users": _as_users(t("customer")), "agents": _as_agents(t("orders"))}
+    return transitions.delete_user(tables, 1, 7).tables["agents"].select("id")
+
+
+@_query("SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderstatus = 'F' THEN o_orderdate WHEN o_custkey = 7 THEN TIMESTAMP '2024-02-01' END AS revoked_at FROM orders")
+def revoke_sessions_of_user(t):
+    done = transitions.revoke_sessions(_as_users(t("customer")), _as_sessions(t("orders")), 7, AS_OF)
+    return done.tables["sessions"].select("id", _ntz("revoked_at").alias("revoked_at"))
+
+
+@_query("SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderstatus = 'F' THEN o_orderdate WHEN o_orderkey % 10 = 0 THEN TIMESTAMP '2024-02-01' END AS revoked_at FROM orders")
+def logout_many(t):
+    s = _as_sessions(t("orders"))
+    done = transitions.logout(s, s.filter("CAST(id AS long) % 10 = 0").select("id"), AS_OF)
+    return done.tables["sessions"].select("id", _ntz("revoked_at").alias("revoked_at"))
+
+
+@_query("SELECT c_custkey AS seq, CASE WHEN c_acctbal < 0 OR c_custkey % 5 = 0 THEN 'invalid_credentials' ELSE 'ok' END AS code FROM customer")
+def login_outcomes(t):
+    tries = t("customer").select(F.col("c_custkey").alias("seq"), F.upper("c_name").alias("email"), (F.col("c_custkey") % 5 != 0).alias("verified"), F.lit("s").alias("session_id"), F.lit("h").alias("refresh_token_hash"), F.lit(None).cast("string").alias("user_agent"), F.lit(None).cast("string").alias("ip"))
+    return transitions.login(_as_users(t("customer")), _as_sessions(t("orders")), tries, AS_OF).outcomes
+
+
+@_query("""SELECT n * 100000000 + o_orderkey AS seq, CASE WHEN n = 0 AND o_orderstatus <> 'F' AND o_orderdate + INTERVAL 30 DAY > TIMESTAMP '1997-01-01' AND NOT c_acctbal < 0 THEN 'ok' ELSE 'invalid_credentials' END AS code
+FROM orders JOIN customer ON o_custkey = c_custkey, (VALUES (0), (1)) v(n)""")
+def rotate_outcomes(t):
+    s = _as_sessions(t("orders"))
+    twice = s.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("n"), "id", F.col("refresh_token_hash").alias("old_hash"), "user_agent", "ip")
+    asks = twice.select((F.col("n") * 100000000 + F.col("id").cast("long")).alias("seq"), "old_hash", F.lit("new").alias("new_hash"), F.lit("s").alias("session_id"), "user_agent", "ip")
+    return transitions.rotate(_as_users(t("customer")), s, asks, "1997-01-01").outcomes
+
+
+@_query("SELECT doc_id AS seq, 'ok' AS code, sha256(text) AS sha256, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) > 1 AS deduped FROM documents")
+def upload_batch(t):
+    docs = t("documents")
+    spark = docs.sparkSession
+    empty = [spark.createDataFrame([], schema(n)) for n in ("files", "uploads")]
+    batch = docs.select(F.col("doc_id").alias("seq"), F.col("text").cast("binary").alias("content"), F.lit("unknown").alias("content_type"), F.lit("a.txt").alias("original_filename"), F.lit(1).alias("user_id"), F.lit("a").alias("agent_registration_id"), P.moment(AS_OF).alias("uploaded_at"))
+    return uploads.upload(*empty, batch).outcomes
+
+
+@_query("SELECT c_custkey AS seq, CASE WHEN c_custkey % 7 = 0 THEN 'weak_password' WHEN row_number() OVER (PARTITION BY c_mktsegment, c_nationkey, c_custkey % 7 = 0 ORDER BY c_custkey) = 1 THEN 'ok' ELSE 'email_already_taken' END AS code FROM customer")
+def register_outcomes(t):
+    c = t("customer")
+    spark = c.sparkSession
+    settings = spark.range(1).select(F.lit("registration_mode").alias("key"), F.lit('"open"').alias("value"), P.moment(AS_OF).alias("updated_at"), F.lit(None).cast("int").alias("updated_by_user_id"))
+    users, invites = (spark.createDataFrame([], schema(n)) for n in ("users", "invites"))
+    asks = c.select(F.col("c_custkey").alias("seq"), F.concat_ws("@", F.initcap("c_mktsegment"), "c_nationkey").alias("email"), F.when(F.col("c_custkey") % 7 == 0, 3).otherwise(20).alias("password_length"), F.lit("h").alias("password_hash"), F.lit(None).cast("string").alias("token"))
+    return transitions.register(users, invites, settings, asks, AS_OF).outcomes
+
+
+@_query(f"WITH {AGENTS_SQL} SELECT id, user_id FROM agents")
+def reassign_and_undo(t):
+    users, agents = _as_users(t("customer")), _as_agents(t("orders"))
+    log = users.sparkSession.createDataFrame([], schema("reassignment_log"))
+    target = users.filter("role = 'user'").agg(F.min("email")).first()[0]
+    moved = transitions.reassign_agents(users, agents, log, target, AS_OF).tables
+    return transitions.undo_reassignment(users, moved["agents"], moved["reassignment_log"]).tables["agents"].select("id", "user_id")

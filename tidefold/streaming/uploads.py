@@ -6,7 +6,7 @@ each batch to a folder of its own number, so that a repeat overwrites what it wr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -30,6 +30,12 @@ def ingest_stream(uploads: DataFrame, root: str, checkpoint: str, events_path: s
     return uploads.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def archive_stream(spark: SparkSession, root: str) -> DataFrame:
+    """Files that arrive in the raw archive: ``path``, ``sha256``, ``content``. What is in them is not defined, so nothing is parsed here."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(root)
+    return files.select("path", F.sha2("content", 256).alias("sha256"), "content")
+
+
 def new_contents(events: DataFrame, keep: str = "30 days") -> DataFrame:
     """A stream of uploads (``sha256``, ``uploaded_at``) to the first of each hash; hashes are remembered for ``keep`` past the watermark, which bounds the state."""
     return events.withWatermark("uploaded_at", keep).dropDuplicatesWithinWatermark(["sha256"])
