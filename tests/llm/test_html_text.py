@@ -25,6 +25,9 @@ def test_main_and_none():
     assert text("") == "" == text(None) == text("<nav>a</nav>")
     assert text("<article><p>cut of") == "cut of"
     assert text("<article>a < b and <p>c</article>") == "a < b and\nc"
+    assert text('<div class="post-content"><p>a</p></div><div class="alert">b</div>') == "a"
+    assert text("<article><p title=a\"b>x</p><p data-x='>' id=y>z</p><p cla") == "x\nz"
+    assert text("<article>" + "<a " + 'b="c" ' * 60) == ""
 
 
 def test_hosts(spark):

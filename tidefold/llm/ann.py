@@ -4,8 +4,8 @@ Nearness is the largest inner product. With M the largest norm, a vector x becom
 becomes (q, 0): the nearest point by distance is then the one with the largest product. Points are projected to ``dims``
 numbers by a Gaussian matrix, so that squared projected over squared real distance follows chi-square with ``dims`` degrees.
 
-Index: a kd-tree over the projections. Its upper part is fitted on at most ``sample`` points (those with the least id hashes) and
-cuts the space into cells of about ``cell`` points; every point is put in its cell. A cell's own tree goes on down to leaves
+Index: a kd-tree over the projections. Its upper part is fitted on about ``sample`` points (a share of all, by hash) and cuts
+the space into cells of about ``cell`` points; every point is put in its cell. A cell's own tree goes on down to leaves
 of ``leaf`` points, each with its bounding box.
 
 Search: a query visits its own cell first, then every cell whose box the test does not exclude. In a cell it takes leaves in
@@ -219,8 +219,9 @@ def _search_length(rows: DataFrame, is_query: str, length: int, s: Settings) ->
     points = few.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     points = stored(points, "points")
     count = points.count()
-    sample = points.orderBy(F.xxhash64("vec")).limit(s.sample).select("vec").toArrow()
-    taken = projected(_matrix(sample.column(0).combine_chunks()), largest, s)
+    share = min(1.0, s.sample / count)  # distinct points, chosen by hash: about ``sample`` of them
+    sample = points.filter(F.shiftrightunsigned(F.xxhash64("vec"), 1) <= F.lit(min(int(share * (1 << 63)), (1 << 63) - 1)).cast("long")).select("vec").toArrow()
+    taken = projected(_matrix(sample.column(0).combine_chunks()), largest, s) if sample.num_rows else np.zeros((0, s.dims))
     tree = spark.sparkContext.broadcast(fit_cells(taken, max(1, math.ceil(count / s.cell))))
 
     def place(query: bool):

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidefold.llm.common import bounded
+
 #: Texts over so many characters are cut into parts of about that size.
 LONG = 100_000
 #: Texts whose ids are held at once.
@@ -94,7 +96,7 @@ def encode(df: DataFrame, text_col: str, ranks_path: str, pattern: str, out: str
                     yield made(batch.slice(start, len(ids)), ids)
                     ids, start, size = [], k + 1, 0
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, ids_col: str, ranks_path: str, pattern: str, out: str = "decoded") -> DataFrame:
@@ -111,7 +113,7 @@ def decode(df: DataFrame, ids_col: str, ranks_path: str, pattern: str, out: str
                 raw = [None if x.as_py() is None else enc.decode_bytes(x.as_py()) for x in part.column(part.schema.get_field_index(ids_col))]
                 yield pa.RecordBatch.from_arrays([*column, pa.array(raw, pa.binary())], names=[f.name for f in schema])
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
 
 
 def digests(df: DataFrame, ids_col: str = "token_ids", decoded_col: str = "decoded") -> DataFrame:

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: ASCII white space; everything else belongs to words. ``bytes.split()`` splits at exactly these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,13 +31,23 @@ def shared_folder(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, name: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back, so that later steps and lost executors
-    neither recompute it nor hold its lineage. The folder's owner sweeps it, as with ``checkpoint()``."""
+    neither recompute it nor hold its lineage. The table goes when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    path = f"{shared_folder(spark)}/{context.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(where)  # when the driver ends
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, after its session is told to pass at most 4 MB of rows at once to Python: texts are long, and a batch stands in the
+    JVM, in Arrow and in Python at the same time."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    return df
+
+
 def map_rows(
     df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]], columns: list[str], schema: str, rows_per_batch: int = 2000
 ) -> DataFrame:
@@ -72,19 +79,9 @@ def map_rows(
         if out:
             yield flush()
 
-    return df.select(*columns).mapInArrow(run, struct)
+    return bounded(df).select(*columns).mapInArrow(run, struct)
 
 
 def plain(name: str) -> str:
     """A column name quoted for use in expressions."""
     return "`" + name.replace("`", "``") + "`"
-
-
-def least_pid(*columns: Any):
-    """A stable bucket number source from column values."""
-    return F.xxhash64(*columns)
-
-
-def normal_space(text: str) -> str:
-    """White space runs (any Unicode white space) as one space, trimmed."""
-    return re.sub(r"\s+", " ", text).strip()

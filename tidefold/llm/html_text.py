@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import map_rows, plain, stored
+from tidefold.llm.common import bounded, map_rows, plain, stored
 
 RUN, LONGEST, SHARE = 6, 200, 0.8
 
@@ -42,12 +42,14 @@ RAW = frozenset("script style textarea title noscript template iframe noembed no
 FURNITURE = frozenset("nav footer aside form menu dialog button select option datalist audio video map head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 NAMES = frozenset(
-    "ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu"
-    " modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion recommended related replies reply respond search share sharing sidebar"
+    "ad ads adsense alert alerts advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr login masthead menu"
+    " modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promotion recommended related replies reply respond search share sharing sidebar"
     " signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
 HEADERS = frozenset({"header"})
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S)
+#: With ``content`` in a name or id, these mark an article too.
+CONTENT_OF = frozenset("article entry main page post story".split())
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|<[!?/][^>]*>|<[a-zA-Z!?/][^>]*\Z|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _HEADING = re.compile(r"h[1-6]\Z")
 _HOST = re.compile(r"\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)")
@@ -73,6 +75,8 @@ def _kind(tag: str, attributes: str, inside: bool) -> str:
             elif name in ("class", "id"):
                 parts = re.split(r"[^a-z0-9]+", value)
                 named.update(p for k, p in enumerate(parts) if not k or parts[k - 1] not in ("with", "has", "no"))
+            elif name == "itemprop":
+                named.add(value.strip())
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                 return "furniture"
     if tag in ("html", "body"):
@@ -83,7 +87,9 @@ def _kind(tag: str, attributes: str, inside: bool) -> str:
         return "furniture"
     if tag in HEADERS or "header" in named and not _HEADING.match(tag):
         return "header" if inside else "furniture"
-    return "article" if tag == "article" or role == "article" else ""
+    if tag == "article" or role == "article" or "article" in named or "content" in named and named & CONTENT_OF or "articlebody" in named:
+        return "article"
+    return ""
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -233,7 +239,7 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
             if kept:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*kept)], names=["key", "tag", "pos", "is_open"])
 
-    suffixes = stored(pages.select("__url", "__html", "__tag").mapInArrow(keys, "key long, tag long, pos long, is_open boolean"), "suffixes")
+    suffixes = stored(bounded(pages).select("__url", "__html", "__tag").mapInArrow(keys, "key long, tag long, pos long, is_open boolean"), "suffixes")
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"{plain(id_col)} {kind}, {plain(url_col)} string, text string"
     columns = [plain(id_col), "__url", "__html"]

@@ -1,10 +1,10 @@
 """Cross-entropy difference with two matched bigram models over one vocabulary.
 
 The background model counts all documents, the target model those whose ids are in ``target``. Both use the same
-vocabulary: the ``vocabulary`` most frequent words of all documents (lower-cased; ties by word), and one more entry for all
-other words. Both have the same form: bigram shares, interpolated with smoothed unigram shares. Bigrams are counted in
+vocabulary: the most frequent words of all documents (lower-cased; at most ``vocabulary``), and one more entry for all other
+words. Both have the same form: bigram shares, interpolated with smoothed unigram shares. Bigrams are counted in
 2 ** ``bits`` hash buckets, so that a model has a fixed size whatever the corpus: that, and the vocabulary, is all
-that the driver holds and broadcasts (3 numbers a bucket). Every document and every word is counted.
+that the driver holds and broadcasts (2 numbers a bucket). Every document and every word is counted.
 
 A document's losses are the mean negative log probabilities of its words, in nats; ``score`` is the target's less the
 background's: low for text like the target.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import plain, stored
+from tidefold.llm.common import bounded, plain, stored
 
 #: Different words that a task counts before it passes them on.
 MOST = 200_000
@@ -61,13 +61,21 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if seen:
             yield flush()
 
-    return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return bounded(docs).select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(docs: DataFrame, size: int) -> dict[bytes, int]:
-    """The most frequent words, numbered from the most frequent on."""
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(size).collect()
-    return {bytes(r.word): k for k, r in enumerate(top)}
+    """All words that are at least as frequent as the least count that at most ``size`` words reach, numbered from the most
+    frequent on. Words that occur once never belong to it."""
+    counts = stored(word_counts(docs).filter("n > 1"), "words")
+    least, so_far = 2, 0
+    for n, many in sorted(((r.n, r.many) for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("many")).collect()), reverse=True):  # a row for each count
+        so_far += many
+        if so_far > size:
+            least = n + 1
+            break
+    top = counts.filter(F.col("n") >= least).collect()  # at most ``size``
+    return {word: k for k, (_, word) in enumerate(sorted((-r.n, bytes(r.word)) for r in top))}
 
 
 def buckets(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -76,47 +84,51 @@ def buckets(ids: np.ndarray, bits: int) -> np.ndarray:
     return ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def encoded(df: DataFrame, id_col: str, text_col: str, target: DataFrame, known: dict[bytes, int]) -> DataFrame:
-    """``id``, ``in_target`` and ``ids`` (little-endian 32-bit word numbers) of every row of ``df``."""
-    shared = df.sparkSession.sparkContext.broadcast(known)
-    marks = target.select(F.col(target.columns[0]).alias("__t")).filter("__t IS NOT NULL").distinct()
-    rows = df.select(F.col(plain(id_col)).alias("id"), F.col(plain(text_col)).alias("text"))
-    joined = rows.join(marks, F.col("id") == F.col("__t"), "left").select("id", F.col("__t").isNotNull().alias("in_target"), "text")
+def width(size: int) -> str:
+    """The numbers' type: little-endian, as wide as the vocabulary needs."""
+    return "<u2" if size < 1 << 16 else "<u4"
+
+
+def encoded(df: DataFrame, id_col: str, text_col: str, known: dict[bytes, int]) -> DataFrame:
+    """``id`` and ``ids`` (word numbers) of every row of ``df``."""
+    shared, kind = df.sparkSession.sparkContext.broadcast(known), width(len(known))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, other = shared.value.get, len(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = [np.array([get(w, other) for w in words(t.as_py())], dtype="<i4").tobytes() for t in part.column(2)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], names=["id", "in_target", "ids"])
+            ids = [np.array([get(w, other) for w in words(t.as_py())], dtype=kind).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
 
-    return joined.mapInArrow(encode, f"id {df.schema[id_col].dataType.simpleString()}, in_target boolean, ids binary")
+    rows = df.select(F.col(plain(id_col)).alias("id"), F.col(plain(text_col)).alias("text"))
+    return bounded(rows).mapInArrow(encode, f"id {df.schema[id_col].dataType.simpleString()}, ids binary")
 
 
 def model_counts(rows: DataFrame, size: int, bits: int) -> DataFrame:
-    """``slot`` (a bucket, or 2 ** bits and a word number), ``background`` and ``target`` counts."""
-    slots = (1 << bits) + size + 1
+    """``slot`` (a bucket, or 2 ** bits and a word number) and ``n`` over all ``ids``."""
+    slots, kind, at_once = (1 << bits) + size + 1, width(size), 1 << 21
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((2, slots), dtype=np.int64)
+        totals = np.zeros(slots, dtype=np.int64)
+        kept: list[np.ndarray] = []
+        held = 0
         for batch in batches:
-            for kind in (0, 1):
-                flags = np.asarray(batch.column(0))
-                chosen = batch.column(1).filter(pa.array(flags)) if kind else batch.column(1)
-                for value in chosen:
-                    ids = np.frombuffer(value.as_buffer(), dtype="<i4")
-                    for at in range(0, len(ids), PART):
-                        some = ids[at : at + PART + 1]
-                        totals[kind] += np.bincount(buckets(some, bits), minlength=slots)
-                        totals[kind] += np.bincount((1 << bits) + some[:PART].astype(np.int64), minlength=slots)
-        used = np.flatnonzero(totals[0])
+            for value in batch.column(0):
+                ids = np.frombuffer(value.as_buffer(), dtype=kind)
+                for at in range(0, len(ids), PART):
+                    some = ids[at : at + PART + 1]
+                    kept += [buckets(some, bits), (1 << bits) + some[:PART].astype(np.int64)]
+                    held += 2 * len(some)
+                    if held > at_once:
+                        totals += np.bincount(np.concatenate(kept), minlength=slots)
+                        kept, held = [], 0
+        if kept:
+            totals += np.bincount(np.concatenate(kept), minlength=slots)
+        used = np.flatnonzero(totals)
         for at in range(0, len(used), PART):
             some = used[at : at + PART]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(totals[0, some]), pa.array(totals[1, some])], names=["slot", "background", "target"])
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(totals[some])], names=["slot", "n"])
 
-    made = rows.select("in_target", "ids").mapInArrow(count, "slot int, background long, target long")
-    return made.groupBy("slot").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+    return rows.select("ids").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
 
 
 def losses(ids: np.ndarray, counts: np.ndarray, size: int, s: Settings) -> np.ndarray:
@@ -135,13 +147,16 @@ def score(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: st
     """Per row of ``df``: the id, ``n_tokens``, ``target_loss``, ``background_loss`` and ``score``. ``target``'s first column holds
     the ids of the target's documents."""
     s = settings
-    known = vocabulary(df.select(F.col(plain(id_col)), F.col(plain(text_col)).alias("text")), s.vocabulary)
-    rows = stored(encoded(df, id_col, text_col, target, known), "encoded")
+    known = vocabulary(df.select(F.col(plain(text_col)).alias("text")), s.vocabulary)
+    rows = stored(encoded(df, id_col, text_col, known), "encoded")
     size = len(known)
+    marks = target.select(F.col(plain(target.columns[0])).alias("__t")).filter("__t IS NOT NULL").distinct()
+    # the merge hint holds at every size: labels grow with the documents
+    inside = rows.join(marks.hint("merge"), F.col("id") == F.col("__t"), "left_semi")
     counts = np.zeros((2, (1 << s.bits) + size + 1), dtype=np.int64)
-    got = model_counts(rows, size, s.bits).toArrow()  # at most a row for each bucket and word
-    slot = got.column("slot").to_numpy()
-    counts[0, slot], counts[1, slot] = got.column("background").to_numpy(), got.column("target").to_numpy()
+    for k, part in enumerate((rows, inside)):
+        got = model_counts(part, size, s.bits).toArrow()  # at most a row for each bucket and word
+        counts[k, got.column("slot").to_numpy()] = got.column("n").to_numpy()
     shared = df.sparkSession.sparkContext.broadcast(counts)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +164,7 @@ def score(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             out: list[tuple] = []
             for value in batch.column(1):
-                ids = np.frombuffer(value.as_buffer(), dtype="<i4")
+                ids = np.frombuffer(value.as_buffer(), dtype=width(size))
                 sums = [0.0, 0.0]
                 for at in range(0, len(ids), PART):
                     some = ids[max(0, at - 1) : at + PART]

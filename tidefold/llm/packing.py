@@ -42,17 +42,32 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
-class WordIds(dict):
+class Recent(dict):
+    """A cache of at most 2 * ``most`` entries: when ``most`` are new, older ones that nobody asked for since go."""
+
+    def __init__(self, most: int):
+        self.most, self.older = most, {}
+
+    def keep(self, key: bytes, value: bytes) -> bytes:
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+class WordIds(Recent):
     """From a white-space-free UTF-8 chunk to its ids as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks in order.
     For chunks of Latin letters below U+0250 the normaliser only lowers case, and the model is asked for each word once;
-    any other chunk goes through the whole tokenizer. What is kept is bounded by MOST and LONGEST.
+    any other chunk goes through the whole tokenizer. Chunks and words over LONGEST bytes are not kept.
     """
 
-    MOST, LONGEST = 400_000, 64
+    LONGEST = 48
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, chunks: int = 100_000, words: int = 150_000):
+        super().__init__(chunks)
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
         self.model = self.whole.model
@@ -60,28 +75,34 @@ class WordIds(dict):
         #: The pre-tokenizer's pattern, as the tokenizer file states it.
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.simple = re.compile(r"[\x21-\x7e\xa1-ɏ]+\Z")
-        self.of_word: dict[str, bytes] = {}
-
-    def _word(self, word: str) -> bytes:
-        made = np.array([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))], dtype="<u4").tobytes()
-        if len(word) <= self.LONGEST:
-            if len(self.of_word) >= self.MOST:
-                self.of_word.clear()
-            self.of_word[word] = made
+        self.of_word = Recent(words)
+
+    def _word(self, word: bytes) -> bytes:
+        known = self.of_word
+        made = known.get(word)
+        if made is None:
+            made = known.older.get(word)
+            if made is None:
+                made = np.array([t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.letters))], dtype="<u4").tobytes()
+            if len(word) <= self.LONGEST:
+                known.keep(word, made)
         return made
 
     def __missing__(self, chunk: bytes) -> bytes:
-        text = chunk.decode("utf-8", "replace")
-        if self.simple.match(text):
-            of = self.of_word.get
-            made = b"".join([of(w) or self._word(w) for w in self.words.findall(text.lower())])
-        else:
-            made = np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(chunk) <= self.LONGEST:
-            if len(self) >= self.MOST:
-                self.clear()
-            self[chunk] = made
-        return made
+        made = self.older.get(chunk)
+        if made is None:
+            low = chunk.lower()  # ASCII letters only
+            if low.isalpha():
+                made = self._word(low)
+            elif low[:-1].isalpha() and low[-1] in b".,;:!?":
+                made = self._word(low[:-1]) + self._word(low[-1:])
+            else:
+                text = chunk.decode("utf-8", "replace")
+                if self.simple.match(text):
+                    made = b"".join([self._word(w.encode()) for w in self.words.findall(text.lower())])
+                else:
+                    made = np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self.keep(chunk, made) if len(chunk) <= self.LONGEST else made
 
     def of_text(self, text: str | None) -> bytes:
         return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split())) if text else b""

@@ -19,15 +19,15 @@ Extra columns pass ``clean`` through. Very long texts are measured with arrays a
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tidefold.llm.common import map_rows, plain, words_of
+from tidefold.llm.common import bounded, map_rows, plain, words_of
 
 #: Phrases of page furniture, in lower case.
 BOILERPLATE = (
@@ -139,17 +139,6 @@ def measure(text: str | None, rules: Rules = Rules()) -> Measured:
 FIGURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_lost_words long, kept boolean, cleaned string"
 
 
-def measured(df: DataFrame, text_col: str = "text", rules: Rules = Rules(), out: str = "quality") -> DataFrame:
-    """Add ``out``, a struct of the figures, the verdict and the cleaned text. All other columns pass through."""
-    names = [f.split()[0] for f in FIGURES.split(", ")]
-
-    @F.pandas_udf("struct<" + ", ".join(f.replace(" ", ":") for f in FIGURES.split(", ")) + ">")
-    def figures(series: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measure(x, rules) for x in series], columns=names)
-
-    return df.withColumn(out, figures(F.col(text_col)))
-
-
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Rules = Rules(), cleaned: bool = False) -> DataFrame:
     """One row a document: its id and figures; the cleaned text only on request."""
 
@@ -162,6 +151,16 @@ def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
 
 def clean(df: DataFrame, text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
     """The documents that stay, without their failing lines; columns as before."""
-    columns = [plain(c) for c in df.columns]
-    mark = "__quality"
-    return measured(df, text_col, rules, mark).filter(F.col(f"{mark}.kept")).withColumn(text_col, F.col(f"{mark}.cleaned")).select(*columns)
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                made = [measure(text.as_py(), rules) for text in part.column(at)]
+                rows = [k for k, m in enumerate(made) if m.kept]
+                if rows:
+                    columns = [pa.array([made[k].cleaned for k in rows]) if n == at else part.column(n).take(pa.array(rows)) for n in range(part.num_columns)]
+                    yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+
+    return bounded(df).mapInArrow(run, df.schema)

@@ -159,5 +159,32 @@ FROM (SELECT *, [{", ".join(found)}] AS f FROM s{last})
 """
 
 
+def _op9_sql() -> str:
+    """The base figures by words and windows, the line rules by lines."""
+    from tidefold.llm.quality import BOILERPLATE, SEPARATORS, Rules
+
+    r, word = Rules(), r"[^\x20\x09-\x0D]+"
+    separators = ", ".join(f"'{x.decode()}'" for x in sorted(SEPARATORS))
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '{word}') AS ws FROM d),
+grams AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS c FROM (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w))),
+reps AS (SELECT rid, count(DISTINCT i + k) AS n FROM grams, (VALUES (0), (1), (2)) v(k) WHERE c > 1 GROUP BY rid),
+lines AS (SELECT rid, pos, l, regexp_extract_all(l, '{word}') AS lw FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d)),
+sized AS (SELECT *, len(lw) AS n, list_sum(list_transform(lw, lambda x: strlen(x))) AS solid, len(list_filter(lw, lambda x: x IN ({separators}))) AS seps,
+  len(regexp_extract_all(l, '[#*$%&|<>~^=_+@{{}}\[\]\\]')) + length(l) - length(regexp_replace(l, '!!+|\?\?+|,,+|;;+|::+', '', 'g')) AS odd,
+  row_number() OVER (PARTITION BY rid, l ORDER BY pos) > 1 AS dup FROM lines WHERE len(lw) > 0),
+judged AS (SELECT rid, n, dup, (seps >= {r.min_separators} AND n - seps <= {r.max_entry_words} * (seps + 1)) OR odd > {r.symbol_share} * solid
+  OR (n <= {r.max_boilerplate_words} AND regexp_matches(lower(l), '{"|".join(BOILERPLATE)}'))
+  OR (n < {r.min_open_words} AND NOT regexp_matches(l, '[.!?…:;"''”’»)\]}}。！？]\s*$')) AS bad FROM sized),
+by_doc AS (SELECT rid, CAST(count_if(dup) AS BIGINT) AS dups, CAST(coalesce(sum(n) FILTER (bad), 0) AS BIGINT) AS lost FROM judged GROUP BY rid),
+base AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  coalesce(dups, 0) AS n_dup_lines, coalesce(reps.n, 0) AS n_repeat_words, coalesce(lost, 0) AS n_lost_words FROM w LEFT JOIN reps USING (rid) LEFT JOIN by_doc USING (rid))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {r.min_words} OR 100 * n_repeat_words > {r.max_repeat_percent} * n_words AS base_failed, n_lost_words,
+  NOT (n_words < {r.min_words} OR 100 * n_repeat_words > {r.max_repeat_percent} * n_words) AND n_lost_words <= {r.max_lost_share} * n_words AS kept
+FROM base
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": _op5_sql(), "op7_chat_format": OP7_SQL}
+    return {"op5_license_scan": _op5_sql(), "op7_chat_format": OP7_SQL, "op9_quality_rules": _op9_sql()}

@@ -67,6 +67,8 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, size: int = 3, seed:
 def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     """From distinct fingerprints (``fp``) to links ``a``, ``b`` (different, at most two bits apart). Not every such pair is
     there, but all pairs are connected by links."""
+    # a row becomes 64: a number of partitions that Spark does not merge by size
+    fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     # p: 0-31 the low segment's wildcard bit, 32-63 the high segment's
     variants = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p")).select(
         "fp",
@@ -97,13 +99,14 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
 def groups(fps: DataFrame, id_col: str = "doc_id", crowd: int = CROWD) -> DataFrame:
     """From ids and fingerprints to the same rows with ``component_id``, the least id of all that links reach.
     ``fps`` is read several times: give a stored table."""
-    different = fps.groupBy("fp").agg(F.min(plain(id_col)).alias("__least"))
+    different = stored(fps.groupBy("fp").agg(F.min(plain(id_col)).alias("__least")), "different")
     of = components(links(different.select("fp"), crowd)).withColumnRenamed("node", "fp")
     linked = of.join(different, "fp")
     least = linked.groupBy("root").agg(F.min("__least").alias("__component"))
     by_fp = linked.join(least, "root").select("fp", "__component")
     joined = different.join(by_fp, "fp", "left").select("fp", F.coalesce("__component", "__least").alias("component_id"))
-    return fps.join(joined, "fp")
+    # stored, so that both sides of the last join are plain exchanges, of which Spark can split a very common fingerprint
+    return fps.join(stored(joined, "components"), "fp")
 
 
 def keep_one(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

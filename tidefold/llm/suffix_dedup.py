@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import map_rows, plain, stored, words_of
+from tidefold.llm.common import bounded, map_rows, plain, stored, words_of
 
 LEAST, WINDOW, GRAM = 50, 25, 5
 #: Kinds of suffixes; one that begins a run of equal ones may be open too.
@@ -46,7 +46,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 class Hashes:
     """64-bit hashes of word ranges of a text; keeps the hashes of at most MOST different words between texts."""
 
-    MOST = 400_000
+    MOST = 200_000
 
     class _Words(dict):
         def __missing__(self, word: bytes) -> int:
@@ -140,7 +140,7 @@ def suffixes(docs: DataFrame, least: int = LEAST, window: int = WINDOW, gram: in
         if count:
             yield flush()
 
-    return docs.mapInArrow(run, "key long, all long, doc long, tag long, lo int, hi int")
+    return bounded(docs).mapInArrow(run, "key long, all long, doc long, tag long, lo int, hi int")
 
 
 def compared(kept: DataFrame) -> DataFrame:
