@@ -52,3 +52,25 @@ def test_held_out(spark):
     scores = {r.doc_id: r.score for r in lm.score(df, good).collect() if r.doc_id >= 200}
     inside, outside = (np.array([v for k, v in scores.items() if k % 2 == odd_]) for odd_ in (1, 0))
     assert (inside[:, None] < outside[None, :]).mean() > 0.99
+
+
+def test_nothing_is_capped(spark, monkeypatch):
+    """More words and bigrams than the former caps, over several chunks: losses as of exact counts."""
+    monkeypatch.setattr(lm, "CHUNK", 50_000)
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(60_000)}" for _ in range(2000)) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in lm.score(df, spark.createDataFrame([(k,) for k in range(0, 200, 3)], "doc_id long")).collect()}
+    s, models = lm.Settings(), []
+    for own in (texts[::3], texts):
+        split = [t.split() for t in own]
+        models.append((Counter(w for t in split for w in t), Counter(p for t in split for p in zip(t, t[1:]))))
+    size = len(models[1][0])
+    assert size > 32_768 and len(models[1][1]) > 1 << 18
+    for key in (0, 1, 150, 199):
+        t, want = texts[key].split(), []
+        for single, pairs in models:
+            share = [(single[w] + s.smoothing) / (single.total() + s.smoothing * (size + 1)) for w in t]
+            share[1:] = [s.bigram_weight * pairs[p] / max(1, single[p[0]]) + (1 - s.bigram_weight) * x for p, x in zip(zip(t, t[1:]), share[1:])]
+            want.append(-sum(map(math.log, share)) / len(t))
+        assert math.isclose(got[key].target_loss, want[0], rel_tol=1e-9) and math.isclose(got[key].background_loss, want[1], rel_tol=1e-9)

@@ -1,10 +1,14 @@
 """Cross-entropy difference with two matched bigram models over one vocabulary.
 
 The background model counts all documents, the target model those whose ids are in ``target``. Both use the same
-vocabulary: the most frequent words of all documents (lower-cased; at most ``vocabulary``), and one more entry for all other
-words. Both have the same form: bigram shares, interpolated with smoothed unigram shares. Bigrams are counted in
-2 ** ``bits`` hash buckets, so that a model has a fixed size whatever the corpus: that, and the vocabulary, is all
-that the driver holds and broadcasts (2 numbers a bucket). Every document and every word is counted.
+vocabulary: every word of all documents (lower-cased), and one more entry for words not seen. Both have the same form: bigram
+shares, interpolated with smoothed unigram shares. Every document, word and bigram is counted, and nothing is capped, unless
+``Settings`` asks for it (``vocabulary``: only the most frequent words, the others become one entry; ``bits``: bigrams in hash buckets).
+
+Words and bigrams stand under 64-bit keys. Documents go in chunks of about CHUNK words. A chunk counts its own keys and sends
+them, sorted, to the key ranges; so a common key is sent once a chunk. A range adds up its keys and answers every chunk in the
+order of the keys sent, so that no model is gathered anywhere. The number of ranges follows the measured number of words. The
+driver holds four sums.
 
 A document's losses are the mean negative log probabilities of its words, in nats; ``score`` is the target's less the
 background's: low for text like the target.
@@ -21,6 +25,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,13 +34,15 @@ from tidefold.llm.common import bounded, plain, stored
 
 #: Different words that a task counts before it passes them on.
 MOST = 200_000
-PART = 1 << 16
+#: Words of a chunk, and of a key range, about; ranges at least.
+CHUNK, RANGE, RANGES = 1 << 20, 1 << 21, 1024
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
 class Settings:
-    vocabulary: int = 32_768
-    bits: int = 18
+    vocabulary: int | None = None
+    bits: int | None = None
     bigram_weight: float = 0.6
     smoothing: float = 0.5
 
@@ -78,68 +86,145 @@ def vocabulary(docs: DataFrame, size: int) -> dict[bytes, int]:
     return {word: k for k, (_, word) in enumerate(sorted((-r.n, bytes(r.word)) for r in top))}
 
 
-def buckets(ids: np.ndarray, bits: int) -> np.ndarray:
-    """A bucket for each pair of neighbours."""
-    pair = ids[:-1].astype(np.uint64) << np.uint64(32) | ids[1:].astype(np.uint64)
-    return ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
+def packed(a: np.ndarray) -> bytes:
+    """The numbers compressed, all first bytes first: small numbers leave the other bytes zero."""
+    planes = np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(a) else b""
+
 
+def unpacked(blob: bytes, n: int, kind: type) -> np.ndarray:
+    if not n:
+        return np.zeros(0, dtype=kind)
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(blob, n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
-def width(size: int) -> str:
-    """The numbers' type: little-endian, as wide as the vocabulary needs."""
-    return "<u2" if size < 1 << 16 else "<u4"
 
+def chunks(df: DataFrame, id_col: str, text_col: str, known: dict[bytes, int] | None) -> DataFrame:
+    """``chunk``, ``ids`` and ``lengths`` of its documents, ``words`` (the keys of its different words), ``at`` (for each word of the
+    texts its place in ``words``, compressed) and ``n``."""
+    shared = None if known is None else df.sparkSession.sparkContext.broadcast(known)
+    names = ["chunk", "ids", "lengths", "words", "at", "n"]
 
-def encoded(df: DataFrame, id_col: str, text_col: str, known: dict[bytes, int]) -> DataFrame:
-    """``id`` and ``ids`` (word numbers) of every row of ``df``."""
-    shared, kind = df.sparkSession.sparkContext.broadcast(known), width(len(known))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, made = TaskContext.get().partitionId() << 32, 0
+        ids: list[pa.Array] = []
+        lengths: list[int] = []
+        at: list[np.ndarray] = []
+        place: dict[bytes, int] = {}
+        n = 0
+
+        def flush() -> pa.RecordBatch:
+            every = pa.concat_arrays(ids)
+            keys = np.fromiter(map(xxhash.xxh64_intdigest, place), dtype=np.uint64, count=len(place))
+            row = [[first + made], None, [np.array(lengths, dtype=np.int64).tobytes()], [keys.tobytes()], [packed(np.concatenate(at))], [n]]
+            kinds = (pa.int64(), None, pa.binary(), pa.binary(), pa.binary(), pa.int64())
+            arrays = [pa.ListArray.from_arrays(pa.array([0, len(every)], pa.int32()), every) if t is None else pa.array(x, t) for x, t in zip(row, kinds)]
+            return pa.RecordBatch.from_arrays(arrays, names=names)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, other = shared.value.get, len(shared.value)
         for batch in batches:
-            ids = [np.array([get(w, other) for w in words(t.as_py())], dtype=kind).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
+            begun = 0
+            for k, text in enumerate(batch.column(1)):
+                found = words(text.as_py())
+                if shared is not None:
+                    found = [w if w in shared.value else b"" for w in found]
+                at.append(np.fromiter((place.setdefault(w, len(place)) for w in found), dtype=np.uint32, count=len(found)))
+                lengths.append(len(found))
+                n += len(found)
+                if n >= CHUNK:
+                    ids.append(batch.column(0).slice(begun, k + 1 - begun))
+                    yield flush()
+                    ids, lengths, at, place, n, begun, made = [], [], [], {}, 0, k + 1, made + 1
+            if begun < batch.num_rows:
+                ids.append(batch.column(0).slice(begun))
+        if lengths:
+            yield flush()
 
     rows = df.select(F.col(plain(id_col)).alias("id"), F.col(plain(text_col)).alias("text"))
-    return bounded(rows).mapInArrow(encode, f"id {df.schema[id_col].dataType.simpleString()}, ids binary")
+    kind = df.schema[id_col].dataType.simpleString()
+    return bounded(rows).mapInArrow(cut, f"chunk long, ids array<{kind}>, lengths binary, words binary, at binary, n long")
 
 
-def model_counts(rows: DataFrame, size: int, bits: int) -> DataFrame:
-    """``slot`` (a bucket, or 2 ** bits and a word number) and ``n`` over all ``ids``."""
-    slots, kind, at_once = (1 << bits) + size + 1, width(size), 1 << 21
+class Chunk:
+    """A row of ``chunks`` with its keys."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros(slots, dtype=np.int64)
-        kept: list[np.ndarray] = []
-        held = 0
+    def __init__(self, lengths: bytes, keys: bytes, at: bytes, n: int, bits: int | None) -> None:
+        self.lengths, self.keys = np.frombuffer(lengths, np.int64), np.frombuffer(keys, np.uint64)
+        self.at = unpacked(at, n, np.uint32)
+        self.doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.order = np.argsort(self.keys)
+        #: where a word has a predecessor, and the key of the two
+        self.second = np.flatnonzero(self.doc[1:] == self.doc[:-1]) + 1
+        pairs = self.keys[self.at[self.second - 1]] * MIX + self.keys[self.at[self.second]]
+        self.pairs = pairs if bits is None else pairs >> np.uint64(64 - bits) << np.uint64(64 - bits)
+
+
+def sent(marked: DataFrame, ranges: int, bits: int | None) -> DataFrame:
+    """For each chunk and range: the sorted keys of words and of pairs (their steps), how many, and their counts in the background
+    and the target."""
+    names = ["part", "chunk", *(f"{side}{x}" for side in ("words", "pairs") for x in ("", "_n", "_b", "_t"))]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for value in batch.column(0):
-                ids = np.frombuffer(value.as_buffer(), dtype=kind)
-                for at in range(0, len(ids), PART):
-                    some = ids[at : at + PART + 1]
-                    kept += [buckets(some, bits), (1 << bits) + some[:PART].astype(np.int64)]
-                    held += 2 * len(some)
-                    if held > at_once:
-                        totals += np.bincount(np.concatenate(kept), minlength=slots)
-                        kept, held = [], 0
-        if kept:
-            totals += np.bincount(np.concatenate(kept), minlength=slots)
-        used = np.flatnonzero(totals)
-        for at in range(0, len(used), PART):
-            some = used[at : at + PART]
-            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(totals[some])], names=["slot", "n"])
-
-    return rows.select("ids").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-
-
-def losses(ids: np.ndarray, counts: np.ndarray, size: int, s: Settings) -> np.ndarray:
-    """The loss of each word under one model; the first word has no predecessor."""
-    cells = 1 << s.bits
-    single = counts[cells:]
-    share = (single[ids] + s.smoothing) / (single.sum() + s.smoothing * (size + 1))
-    if len(ids) > 1:
-        before = np.maximum(single[ids[:-1]], 1)
-        pair = np.minimum(counts[buckets(ids, s.bits)] / before, 1.0)
-        share[1:] = s.bigram_weight * pair + (1 - s.bigram_weight) * share[1:]
+            for row in batch.to_pylist():
+                c = Chunk(row["lengths"], row["words"], row["at"], row["n"], bits)
+                wanted = np.zeros(len(c.lengths), dtype=bool)
+                wanted[row["inside"] or []] = True
+                inside = wanted[c.doc]
+                some = [np.bincount(x, minlength=len(c.keys))[c.order] for x in (c.at, c.at[inside])]
+                pairs, count = np.unique(c.pairs, return_counts=True)
+                mine, many = np.unique(c.pairs[inside[c.second]], return_counts=True)
+                own = np.zeros(len(pairs), dtype=np.int64)
+                own[np.searchsorted(pairs, mine)] = many
+                out: list[list] = [[], []]
+                for place, arrays in enumerate(((c.keys[c.order], *some), (pairs, count, own))):
+                    part = (arrays[0] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+                    ends = np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64)).tolist()
+                    spans = [slice(x, y) for x, y in zip(ends, ends[1:])]
+                    small = [a.astype(np.uint32) for a in arrays[1:]]
+                    steps = [packed(np.diff(arrays[0][x], prepend=np.uint64(0))) for x in spans]
+                    out[place] = [steps, [x.stop - x.start for x in spans], *([packed(a[x]) for x in spans] for a in small)]
+                used = [k for k in range(ranges) if out[0][1][k] or out[1][1][k]]
+                columns = [pa.array(used, pa.int64()), pa.array([row["chunk"]] * len(used), pa.int64())]
+                kinds = (pa.binary(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array([x[k] for k in used], t) for side in out for x, t in zip(side, kinds))], names=names)
+
+    return marked.mapInArrow(send, "part long, chunk long, words binary, words_n long, words_b binary, words_t binary, pairs binary, pairs_n long, pairs_b binary, pairs_t binary")
+
+
+def answers(parts: DataFrame) -> DataFrame:
+    """For each chunk and range the sums over all chunks, in the order of the keys sent; and a row without chunk with the
+    number of different words."""
+    names = ["chunk", "part", *(f"{side}{x}" for side in ("words", "pairs") for x in ("_n", "_b", "_t")), "n"]
+
+    def add(table: pa.Table) -> pa.Table:
+        chunk, part = table.column("chunk").to_pylist(), table.column("part")[0].as_py()
+        columns: list[list] = [[*chunk, None], [part] * (len(chunk) + 1)]
+        different = 0
+        for side in ("words", "pairs"):
+            many = table.column(f"{side}_n").to_pylist()
+            sent_keys = [np.cumsum(unpacked(b, n, np.uint64), dtype=np.uint64) for b, n in zip(table.column(side).to_pylist(), many)]
+            keys, place = np.unique(np.concatenate(sent_keys), return_inverse=True)
+            ends = np.cumsum([0] + many).tolist()
+            columns.append([*many, None])
+            for model in ("b", "t"):
+                counts = np.concatenate([unpacked(b, n, np.uint32) for b, n in zip(table.column(f"{side}_{model}").to_pylist(), many)])
+                total = np.bincount(place, counts, len(keys)).astype(np.int64)[place]
+                columns.append([*(packed(total[x:y]) for x, y in zip(ends, ends[1:])), None])
+            different = different or len(keys) * (side == "words")
+        columns.append([None] * len(chunk) + [different])
+        kinds = (pa.int64(), pa.int64(), *[pa.int64(), pa.binary(), pa.binary()] * 2, pa.int64())
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+    return parts.groupBy("part").applyInArrow(add, "chunk long, part long, words_n long, words_b binary, words_t binary, pairs_n long, pairs_b binary, pairs_t binary, n long")
+
+
+def losses(c: Chunk, single: np.ndarray, pairs: np.ndarray, total: int, size: int, s: Settings) -> np.ndarray:
+    """The loss of each word of a chunk under one model, from the counts of its words and its pairs; a text's first word has no
+    predecessor."""
+    share = ((single + s.smoothing) / (total + s.smoothing * (size + 1)))[c.at]
+    before = np.maximum(single[c.at[c.second - 1]], 1)
+    share[c.second] = s.bigram_weight * np.minimum(pairs / before, 1.0) + (1 - s.bigram_weight) * share[c.second]
     return -np.log(share)
 
 
@@ -147,33 +232,48 @@ def score(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: st
     """Per row of ``df``: the id, ``n_tokens``, ``target_loss``, ``background_loss`` and ``score``. ``target``'s first column holds
     the ids of the target's documents."""
     s = settings
-    known = vocabulary(df.select(F.col(plain(text_col)).alias("text")), s.vocabulary)
-    rows = stored(encoded(df, id_col, text_col, known), "encoded")
-    size = len(known)
+    known = None if s.vocabulary is None else vocabulary(df.select(F.col(plain(text_col)).alias("text")), s.vocabulary)
+    rows = stored(chunks(df, id_col, text_col, known), "chunks")
     marks = target.select(F.col(plain(target.columns[0])).alias("__t")).filter("__t IS NOT NULL").distinct()
     # the merge hint holds at every size: labels grow with the documents
-    inside = rows.join(marks.hint("merge"), F.col("id") == F.col("__t"), "left_semi")
-    counts = np.zeros((2, (1 << s.bits) + size + 1), dtype=np.int64)
-    for k, part in enumerate((rows, inside)):
-        got = model_counts(part, size, s.bits).toArrow()  # at most a row for each bucket and word
-        counts[k, got.column("slot").to_numpy()] = got.column("n").to_numpy()
-    shared = df.sparkSession.sparkContext.broadcast(counts)
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        background, wanted = shared.value
-        for batch in batches:
-            out: list[tuple] = []
-            for value in batch.column(1):
-                ids = np.frombuffer(value.as_buffer(), dtype=width(size))
-                sums = [0.0, 0.0]
-                for at in range(0, len(ids), PART):
-                    some = ids[max(0, at - 1) : at + PART]
-                    for k, model in enumerate((wanted, background)):
-                        sums[k] += float(losses(some, model, size, s)[1 if at else 0 :].sum())
-                n = len(ids)
-                out.append((n, *((sums[0] / n, sums[1] / n, (sums[0] - sums[1]) / n) if n else (None, None, None))))
-            kinds = (pa.int64(), pa.float64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(zip(*out), kinds))], names=["id", "n_tokens", "target_loss", "background_loss", "score"])
+    docs = rows.select("chunk", F.posexplode("ids").alias("pos", "id"))
+    inside = stored(docs.join(marks.hint("merge"), F.col("id") == F.col("__t"), "left_semi").groupBy("chunk").agg(F.collect_list("pos").alias("inside")), "inside")
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    marked = rows.select("chunk", "lengths", "words", "at", "n").join(inside, "chunk", "left")
+    found = stored(answers(sent(marked, max(RANGES, total // RANGE), s.bits)), "answers")
+    size = (found.agg(F.sum("n")).first()[0] or 0) if known is None else len(known)
+    sizes = rows.join(inside, "chunk").select("lengths", "inside")
+    wanted = _words_inside(sizes)
+
+    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        ordered = right.sort_by("part")
+        for row in left.select(["lengths", "words", "at", "n"]).to_pylist():
+            c = Chunk(row["lengths"], row["words"], row["at"], row["n"], s.bits)
+            place = np.unique(c.pairs, return_inverse=True)[1]
+            sums = []
+            for model, words_in in (("t", wanted), ("b", total)):
+                got = {side: np.concatenate([np.zeros(0, np.int64), *(unpacked(b, n, np.int64) for b, n in zip(ordered.column(f"{side}_{model}").to_pylist(), ordered.column(f"{side}_n").to_pylist()))]) for side in ("words", "pairs")}
+                single = np.empty(len(c.keys), dtype=np.int64)
+                single[c.order] = got["words"]
+                sums.append(np.bincount(c.doc, losses(c, single, got["pairs"][place], words_in, size, s), len(c.lengths)))
+            none = c.lengths == 0
+            means = [x / np.maximum(c.lengths, 1) for x in (sums[0], sums[1], sums[0] - sums[1])]
+            out = [pa.array(c.lengths), *(pa.array(m, mask=none) for m in means)]
+        return pa.Table.from_arrays([left.column("ids").combine_chunks().flatten(), *out], names=["id", "n_tokens", "target_loss", "background_loss", "score"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return rows.select("id", "ids").mapInArrow(judge, f"id {kind}, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("id", id_col)
+    by_chunk = found.filter("chunk IS NOT NULL").drop("n").groupBy("chunk")
+    done = rows.groupBy("chunk").cogroup(by_chunk).applyInArrow(judge, f"id {kind}, n_tokens long, target_loss double, background_loss double, score double")
+    return done.withColumnRenamed("id", id_col)
+
+
+def _words_inside(marked: DataFrame) -> int:
+    """The number of words of the target's documents."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            many = [int(np.frombuffer(x, np.int64)[i].sum()) for x, i in zip(*(batch.column(k).to_pylist() for k in range(2)))]
+            yield pa.RecordBatch.from_arrays([pa.array(many, pa.int64())], names=["n"])
+
+    return marked.mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0
