@@ -1,5 +1,7 @@
 """Licence sentences and rules."""
 
+import textwrap
+
 from tidefold.llm import licenses
 
 MIT = """MIT License
@@ -37,3 +39,29 @@ def test_known_sentences_find_themselves(spark):
     for r in licenses.scan(df).collect():
         assert names[r.doc_id] in r.sentence_ids
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_wrapped(spark):
+    """Licence texts in their usual form: wrapped, as comments, with list marks."""
+    said = {name: texts[0] for name, texts in licenses.SENTENCES.items()}
+
+    def wrap(names, width, prefix="", between="\n\n", marks=None):
+        parts = [textwrap.fill((marks[k] if marks else "") + said[n], width) for k, n in enumerate(names)]
+        return "\n".join(prefix + line for line in between.join(parts).split("\n"))
+
+    mit, bsd = ("mit-grant", "mit-condition", "as-is"), ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")
+    head = "Copyright (c) 2020, Jane Doe\n"
+    cases = [
+        ("MIT License\n\n" + head + "\n" + wrap(mit, 72), ["MIT"], 0),
+        (head + wrap(mit, 78, " * "), ["MIT"], 1),
+        (head + "All rights reserved.\n\n" + wrap(bsd, 75, "# ", marks=("", "1. ", "2. ", "3. ")), ["BSD-3-Clause", "all-rights-reserved"], 0),
+        (head + wrap(bsd[:3], 70, "// ", "\n", ("", "* ", "* ")), ["BSD-2-Clause"], 1),
+        (wrap(bsd[:3], 70, "", "\n", ("", "(a) ", "b) ")), ["BSD-2-Clause"], 0),
+        (head + "\r\n" + wrap(("isc-grant", "as-is"), 70).replace("\n", "\r\n"), ["ISC"], 0),
+        (wrap(("gpl-free",), 60), ["GPL-3.0-or-later"], 0),
+        ("This is free and unencumbered software released into the public\ndomain.", ["Unlicense"], 0),
+        ("# SPDX-License-Identifier: MIT\nimport this\nAll rights reserved.", ["MIT", "all-rights-reserved"], 0),
+    ]
+    df = spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: (r.licenses, r.n_unmatched) for r in licenses.scan(df).collect()}
+    assert got == {k: c[1:] for k, c in enumerate(cases)}

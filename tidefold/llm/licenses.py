@@ -1,6 +1,9 @@
 """Licence recognition by sentences and rules, with DataFrame functions only.
 
-1. A text is split into sentences: at line ends, and after ``.``, ``!``, ``?`` or ``;`` before white space.
+1. A text is split into sentences: at line ends, and after ``.``, ``!``, ``?`` or ``;`` before white space. A line end inside a
+   wrapped sentence does not count: lines that are no known sentence by themselves are joined up to the next known line, line
+   without a letter or digit, list mark, ``:`` at a line's end, or end of a sentence. What marks a line as a comment is no letter or
+   digit and goes in step 2. A line of other words directly above a wrapped sentence, without a blank line between, hides it.
 2. A sentence is normalised: lower case, everything but letters and digits to one space, trimmed; a sentence that begins with
    ``copyright`` and a year, or with ``copyright c``, becomes ``copyright holder``.
 3. Known sentences map to identifiers; the others drop out.
@@ -88,6 +91,9 @@ ANCHORS = ("licen", "copyright", "reserved", "permission", "redistribution", "wa
 
 SPLIT = r"\n|(?<=[.!?;])\s+"
 OTHER = r"[^\p{L}\p{N}]+"
+#: List marks with a bracket (``1.`` ends a sentence anyway), and ends that no wrapped sentence goes across.
+MARK = r"(?m)^[^\p{L}\p{N}\n]*(?:\d{1,2}|\p{L}|[ivx]{2,4})\)\s+"
+END = r"(?<=[.!?;])\s+|(?<=:)[^\S\n]*\n"
 HOLDER = r"^copyright (c |\d{4})"
 
 
@@ -98,7 +104,10 @@ def normal(sentence: str) -> str:
 
 
 def _normal(sentence: Column) -> Column:
-    text = F.trim(F.regexp_replace(F.lower(sentence), OTHER, " "))
+    return _held(F.trim(F.regexp_replace(F.lower(sentence), OTHER, " ")))
+
+
+def _held(text: Column) -> Column:
     return F.when(text.rlike(HOLDER), F.lit("copyright holder")).otherwise(text)
 
 
@@ -121,9 +130,12 @@ class Rulebook:
 def sequence(text: Column, book: Rulebook = Rulebook()) -> Column:
     """The identifiers of a text's known sentences, in order."""
     ids = F.create_map(*(F.lit(x) for pair in book.known.items() for x in pair))
-    found = F.filter(F.transform(F.split(text, SPLIT), lambda s: F.try_element_at(ids, _normal(s))), lambda x: x.isNotNull())
+    lines = F.transform(F.split(F.regexp_replace(F.regexp_replace(text, MARK, "\n\n"), END, "\n\n"), "\n"), _normal)
+    apart = F.transform(lines, lambda s: F.when((s == "") | F.try_element_at(ids, s).isNotNull(), F.concat(F.lit("\n"), s, F.lit("\n"))).otherwise(s))
+    found = F.filter(F.transform(F.split(F.array_join(apart, " "), "\n"), lambda s: F.try_element_at(ids, _held(F.trim(s)))), lambda x: x.isNotNull())
     empty = F.array().cast("array<string>")
-    return F.when(F.lower(text).rlike("|".join(book.anchors)), found).otherwise(empty)
+    anchors = "|".join(a.replace(" ", OTHER) for a in book.anchors)
+    return F.when(F.lower(text).rlike(anchors), found).otherwise(empty)
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", book: Rulebook = Rulebook()) -> DataFrame:
