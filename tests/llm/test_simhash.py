@@ -76,3 +76,13 @@ def test_keep_one(spark):
     kept = s.keep_one(df, "doc_id", "text")
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [3, 7, 9]
     assert s.keep_one(df.limit(0), "doc_id", "text").count() == 0
+
+
+def test_keep_one_of_each_group(spark):
+    """Groups of null ids keep a row; unrelated texts under one id both stay; the survivor is a row of its own group."""
+    a, b, c = ("first text of some words alone", "second thing said about other matters", "third and last of all the stories told")
+    rows = [(None, a, "x"), (None, a, "y"), (1, b, "x"), (1, c, "x"), (1, c, "x"), (2, b, None), (None, b, "n"), (None, None, None), (None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, note string")
+    kept = [tuple(r) for r in s.keep_one(df, "doc_id", "text").collect()]
+    assert len(kept) == 4 and set(kept) <= set(rows)
+    assert sorted((r[0] or 0, r[1] or "") for r in kept) == sorted([(0, a), (1, b), (1, c), (0, "")])

@@ -20,7 +20,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidefold.llm.common import map_rows, plain, stored, words_of
@@ -110,10 +110,20 @@ def groups(fps: DataFrame, id_col: str = "doc_id", crowd: int = CROWD) -> DataFr
 
 
 def keep_one(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``df`` whose id is its group's least; of rows with that same id, one. Columns as before. A group without
-    any id keeps no row."""
-    found = stored(groups(stored(fingerprints(df, id_col, text_col), "fingerprints"), id_col), "groups")
-    kept = found.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    rows = df.join(kept, id_col, "left_semi")
-    first = Window.partitionBy(id_col).orderBy(F.xxhash64(*map(plain, df.columns)))
-    return rows.withColumn("__row", F.row_number().over(first)).filter("__row = 1").select(*map(plain, df.columns))
+    """Of each group (rows whose fingerprints links reach) one row of ``df``: the one with the least id, nulls last, and of these
+    with the least hash over all columns. Columns as before."""
+    columns = [plain(c) for c in df.columns]
+    # xxhash64 passes over nulls: where they stand is hashed too
+    row = F.xxhash64(*columns, *(F.col(c).isNull() for c in columns))
+    rows = df.withColumn("__row", row)
+    key = F.struct(F.col(plain(id_col)).isNull().alias("none"), F.col(plain(id_col)).alias("id"), F.col("__row").alias("row"))
+    fps = stored(fingerprints(rows.select(key.alias("key"), F.col(plain(text_col)).alias("text")), "key", "text"), "fingerprints")
+    different = stored(fps.groupBy("fp").agg(F.min("key").alias("least")), "different")
+    of = components(links(different.select("fp"))).withColumnRenamed("node", "fp")
+    least = different.join(of, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
+    times = fps.groupBy(F.col("key.row").alias("__row")).agg(F.count(F.lit(1)).alias("__times"))
+    kept = stored(least.select(F.col("least.row").alias("__row")).join(times, "__row"), "kept")
+    once = rows.join(kept.filter("__times = 1").select("__row"), "__row", "left_semi")
+    # repeated rows: one stays, aggregated before the exchange
+    again = rows.join(kept.filter("__times > 1").select("__row"), "__row", "left_semi").dropDuplicates(["__row"])
+    return once.union(again).select(*columns)
