@@ -217,3 +217,9 @@ def test_rules(spark):
     bad = spark.createDataFrame([("a" * 65, -1, "movie", None, NOW), ("b", 1, "unknown", "p", NOW)], "sha256 string, size_bytes long, content_type string, storage_path string, first_uploaded_at timestamp")
     assert [set(r.broken) for r in broken_rules(bad, "files").collect()] == [{"sha256_too_long", "size_bytes_negative", "content_type_unknown", "storage_path_missing"}]
     assert {(r.rule, r.value) for r in repeated_keys(users(spark, (1, "A@x", "user", False), (2, "a@X", "user", False)), "users").collect()} == {("lower(email)", "a@x")}
+
+
+def test_commands_without_a_token_are_no_group(spark):
+    rows = [(k, None) for k in range(50)] + [(50, "a"), (51, "a"), (52, "n3")]
+    df = spark.createDataFrame(rows, "seq long, token_hash string")
+    assert df.groupBy(M.apart("token_hash")).count().count() == 52

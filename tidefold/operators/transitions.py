@@ -266,6 +266,11 @@ def seed_setting(settings: DataFrame, as_of: Moment, key: str = "registration_mo
     return insert_or_ignore(settings, _one(settings, "settings", key=key, value=value, updated_at=moment(as_of)), "key")
 
 
+def apart(key: str) -> Column:
+    """What commands are dealt by: their key, or without one their own number, so that those without a key are no group."""
+    return F.coalesce(F.concat(F.lit("k"), key), F.concat(F.lit("n"), F.col("seq").cast("string")))
+
+
 def register(users: DataFrame, invites: DataFrame, settings: DataFrame, commands: DataFrame, as_of: Moment, min_password: int = 12, rounds: int = 1000) -> Change:
     """M9 and M10. ``commands``: seq, email, password_length, password_hash, token. The checks go in this order: blank address, weak password, token needed,
     token valid, address taken. Of commands that want one token or one address the earliest that passes wins; the others get the code of what
@@ -285,12 +290,12 @@ def register(users: DataFrame, invites: DataFrame, settings: DataFrame, commands
     c = c.withColumn("code", code).drop("__token", "__email")
     for _ in range(rounds):  # a round settles the earliest command of every address and token
         left = F.col("code").isNull()
-        by_email, by_token = (Window.partitionBy(k, left).orderBy("seq") for k in ("email", "token_hash"))
+        by_email, by_token = (Window.partitionBy(apart(k), left).orderBy("seq") for k in ("email", "token_hash"))
         free = left & (F.row_number().over(by_email) == 1) & (F.col("token_hash").isNull() | (F.row_number().over(by_token) == 1))
         c = c.withColumn("__free", free).withColumn("code", F.when(F.col("__free"), "ok").otherwise(F.col("code"))).drop("__free")
         won = F.col("code") == "ok"
-        lost_token = F.max(won).over(Window.partitionBy("token_hash")) & F.col("token_hash").isNotNull()
-        lost_email = F.max(won).over(Window.partitionBy("email"))
+        lost_token = F.max(won).over(Window.partitionBy(apart("token_hash"))) & F.col("token_hash").isNotNull()
+        lost_email = F.max(won).over(Window.partitionBy(apart("email")))
         c = c.withColumn("__t", F.coalesce(lost_token, F.lit(False))).withColumn("__e", F.coalesce(lost_email, F.lit(False)))
         c = c.withColumn("code", F.when(F.col("code").isNull() & F.col("__t"), "invalid_invite_token").when(F.col("code").isNull() & F.col("__e"), "email_already_taken").otherwise(F.col("code"))).drop("__t", "__e")
         c = c.checkpoint() if c.sparkSession.sparkContext.getCheckpointDir() else c.cache()
