@@ -1,24 +1,33 @@
-"""Main text of web pages: markup first, a host suffix array for what markup leaves open.
+"""Main text of web pages: markup as evidence, and a host suffix array that decides about what repeats.
 
 A page is cut into blocks at block-level tags. Scripts, styles, forms, navigation, headers, footers, sidebars, notices,
 adverts and reader comments go by element, role, class or id. If the page marks its article (``article``, else ``main``),
-the blocks inside are its text, whole and in order: text that other pages share is part of it, as copied articles are.
-
-If a page marks no article, its open blocks are held against its host. The words of all blocks outside articles, of all
-pages of the host, form one token stream a page, with a mark between blocks; suffixes are grouped by host and their
-first ``run`` tokens, which are the equal neighbours of the sorted array. A run that a second, different page has is
-repeated; a block goes if four fifths of its words lie in repeated runs, or are link text. Blocks of more than ``longest``
-words stay (a copied article is no furniture), and so does every block of words that are unique in the host.
-
-Pages are told apart by their content (id, url, html). Null or empty html gives an empty text. A null url or one without a
-host is a host of its own. Repeated rows stay, and don't count as a second page. Extra columns do not matter.
+the blocks inside are its text, in order; else its open blocks are.
+
+The array holds all pages of a host. The words of a page's blocks outside articles form one token stream with a mark between
+blocks, and every suffix of it stands under the host and its first ``run`` tokens. Nothing but whole blocks is cut from an
+article, so there the suffixes are those at block starts, under all words of their block. Suffixes that are equal so far are
+neighbours; they are met by grouping, which Spark aggregates before it shuffles, and a group's size is the number of pages.
+Overlapping repeated prefixes join to the long repeated substrings.
+
+* An article's block is boilerplate if at least half of the host's pages, and three, hold it. Such blocks go, unless
+  they are half of the article or more: that is a copied article, which stays whole.
+* Without a marked article, substrings on at least half of the host's pages, and two, are cut from the open blocks; the unique
+  runs between them stay. Pieces of a block shorter than ``run`` words follow what stands around them. If nothing is left, the
+  substrings on the fewest pages stay: pages that are copies of each other keep what tells them from the rest of the host.
+  Blocks of link text only go.
+
+Null or empty html gives an empty text. A null url or one without a host is a host of its own. Repeated rows stay, and count as
+pages like any other. Extra columns do not matter. Blocks and pages may have any length.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from math import ceil
 from typing import NamedTuple
 
 import numpy as np
@@ -29,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tidefold.llm.common import bounded, map_rows, plain, stored
 
-RUN, LONGEST, SHARE = 6, 200, 0.8
+RUN, LINKED = 6, 0.8
 
 #: Fixed values of HTML: elements that break a block, and elements without end tags.
 BREAKS = frozenset(
@@ -37,8 +46,11 @@ BREAKS = frozenset(
     " legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe noembed noframes svg math object canvas xmp".split())
-#: Elements, roles and parts of class names or ids that mark page furniture.
+#: What these hold is no text of the page. Of those in HIDDEN the end tag may be missing; they then hold nothing.
+HIDDEN = frozenset("noscript template svg object canvas annotation annotation-xml".split())
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split()) | HIDDEN
+#: Elements and roles that mark page furniture, and words of class names or ids that do: a name does if it holds a word of NAMES and
+#: else only words of AROUND and numbers, so that ``ad-box-3`` and ``comments`` do, and ``category-social`` and ``related-work`` do not.
 FURNITURE = frozenset("nav footer aside form menu dialog button select option datalist audio video map head".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 NAMES = frozenset(
@@ -46,10 +58,19 @@ NAMES = frozenset(
     " modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promotion recommended related replies reply respond search share sharing sidebar"
     " signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+AROUND = frozenset(
+    "a area articles bar block body bottom box btn button buttons center col column container content cta desktop element feed footer global group header holder inner inline item items"
+    " layer left link links list local main mobile module outer overlay page pane panel post posts primary right row secondary section site slot small stories strip thread top unit wrap wrapper x".split()
+)
 HEADERS = frozenset({"header"})
+#: Elements that hold text themselves: their names and ids are about their text.
+TEXTS = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre figure figcaption table tbody thead tr td th li dt dd b i em strong a span code".split())
+#: Classes of ``article`` elements that are no articles.
+LESSER = frozenset("ad ads advert advertisement comment comments comment-body promo related reply sponsored teaser".split())
 #: With ``content`` in a name or id, these mark an article too.
 CONTENT_OF = frozenset("article entry main page post story".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|<[!?/][^>]*>|<[a-zA-Z!?/][^>]*\Z|[^<]+|<", re.S)
+_END = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in RAW}
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _HEADING = re.compile(r"h[1-6]\Z")
 _HOST = re.compile(r"\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)")
@@ -63,18 +84,30 @@ class Block(NamedTuple):
     linked: float
 
 
+def _names(value: str) -> Iterable[str]:
+    """The furniture words of a class or id value (lower case)."""
+    for name in value.split():
+        parts = [p for p in re.split(r"[^a-z]+", name) if p]
+        if any(p in NAMES for p in parts) and all(p in NAMES or p in AROUND for p in parts):
+            yield from parts
+
+
 def _kind(tag: str, attributes: str, inside: bool) -> str:
     """``furniture``, ``article``, ``main`` or nothing: what an element with these attributes opens."""
     named: set[str] = set()
+    classes: set[str] = set()
     role = ""
+    furniture = False
     if attributes and "=" in attributes or "hidden" in attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if name == "role":
                 role = value.strip()
             elif name in ("class", "id"):
-                parts = re.split(r"[^a-z0-9]+", value)
-                named.update(p for k, p in enumerate(parts) if not k or parts[k - 1] not in ("with", "has", "no"))
+                if name == "class":
+                    classes.update(value.split())
+                named.update(re.split(r"[^a-z0-9]+", value))
+                furniture = furniture or tag not in TEXTS and any(True for _ in _names(value)) or tag in TEXTS and not inside and name == "class" and any(x in NAMES for x in value.split())
             elif name == "itemprop":
                 named.add(value.strip())
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
@@ -83,17 +116,20 @@ def _kind(tag: str, attributes: str, inside: bool) -> str:
         return ""
     if tag == "main" or role == "main":
         return "main"
-    if tag in FURNITURE or role in ROLES or named & NAMES:
+    if tag == "article" or role == "article" and tag not in FURNITURE:
+        return "furniture" if classes & LESSER else "article"
+    if tag in FURNITURE or role in ROLES or furniture:
         return "furniture"
-    if tag in HEADERS or "header" in named and not _HEADING.match(tag):
+    if tag in HEADERS or "header" in classes and not _HEADING.match(tag):
         return "header" if inside else "furniture"
-    if tag == "article" or role == "article" or "article" in named or "content" in named and named & CONTENT_OF or "articlebody" in named:
+    if tag not in TEXTS and ("article" in named or "content" in named and named & CONTENT_OF or "articlebody" in named):
         return "article"
     return ""
 
 
 def blocks(page: str | None) -> list[Block]:
     """All blocks with text, furniture too."""
+    page = page or ""
     out: list[Block] = []
     parts: list[str] = []
     linked = chars = 0
@@ -117,26 +153,33 @@ def blocks(page: str | None) -> list[Block]:
                 out.append(Block(text, place(), linked / max(1, chars)))
         parts, linked, chars = [], 0, 0
 
-    skip = ""
-    for m in _TOKEN.finditer(page or ""):
+    last: dict[str, int] = {}
+
+    def left_open(tag: str, at: int) -> bool:
+        """No end tag of that name follows."""
+        if tag not in last:
+            last[tag] = max((m.start() for m in re.finditer(rf"</{re.escape(tag)}\b", page, re.I)), default=-1)
+        return last[tag] < at
+
+    at, scan = 0, _TOKEN.match
+    while m := scan(page, at):
+        at = m.end()
         tag = m[2]
         if tag is None:
             text = m[0]
-            if not skip and text[0] != "<" or text == "<":
-                if not skip:
-                    parts.append(text)
-                    chars += len(text)
-                    linked += len(text) * (links > 0)
+            if text[0] != "<" or text == "<":
+                parts.append(text)
+                chars += len(text)
+                linked += len(text) * (links > 0)
             continue
         tag = tag.lower()
         closing = bool(m[1])
-        if skip:
-            if closing and tag == skip:
-                skip = ""
-            continue
         if tag in RAW:
-            if not closing and not m[3].endswith("/"):
-                skip = tag
+            if not closing and not (tag == "svg" and m[3].endswith("/")):
+                if left_open(tag, at):
+                    at = at if tag in HIDDEN else len(page)
+                else:
+                    at = _END[tag].search(page, at).end()
             continue
         if tag == "br":
             parts.append(" ")
@@ -146,7 +189,7 @@ def blocks(page: str | None) -> list[Block]:
         breaks = tag in BREAKS
         if breaks:
             end_block()
-        if tag in VOID or m[3].endswith("/"):
+        if tag in VOID:
             continue
         if closing:
             for k in range(len(stack) - 1, -1, -1):
@@ -162,6 +205,9 @@ def blocks(page: str | None) -> list[Block]:
         kind = _kind(tag, m[3], any(s[1] == "article" for s in stack))
         if kind == "main":
             stack[:] = [s for s in stack if s[1] not in ("furniture", "header")]  # these were left open
+        elif kind == "article" and any(s[1] in ("furniture", "header") for s in stack):
+            # a form around the page is no furniture, nor is what nothing closes
+            stack[:] = [s for s in stack if s[1] not in ("furniture", "header") or s[0] != "form" and not left_open(s[0], at)]
         if kind or _HEADING.match(tag):
             if not breaks and kind:
                 end_block()
@@ -175,18 +221,25 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
-def marked_text(found: list[Block]) -> str | None:
-    """The text of the marked article; None if it must be told from the host's other pages."""
+def own_blocks(found: list[Block]) -> list[int]:
+    """The blocks of the marked article, if there is one."""
     for where in ("article", "main"):
-        own = [b.text for b in found if b.place == where]
+        own = [k for k, b in enumerate(found) if b.place == where]
         if own:
-            return "\n".join(own)
+            return own
+    return []
+
+
+def marked_text(found: list[Block]) -> str | None:
+    """The text of the marked article; None if it must be told from the host's other pages."""
+    if own := own_blocks(found):
+        return "\n".join(found[k].text for k in own)
     return None if any(b.place == "open" for b in found) else ""
 
 
-def host_of(url: str | None) -> str:
+def host_of(url: str | None) -> str | None:
     m = _HOST.match(url or "")
-    return m[1].lower() if m else f"\0{url}"
+    return m[1].lower() if m else None
 
 
 def stream(found: list[Block]) -> tuple[list[str], list[int]]:
@@ -200,31 +253,76 @@ def stream(found: list[Block]) -> tuple[list[str], list[int]]:
     return tokens, at
 
 
-def suffix_keys(url: str | None, found: list[Block], run: int = RUN) -> np.ndarray:
-    """One 64-bit key for the first ``run`` tokens of each suffix, the host included."""
-    tokens, _ = stream(found)
-    seed = xxhash.xxh64_intdigest(host_of(url).encode("utf-8", "surrogatepass")) & 0xFFFFFFFF
-    joined = [t.encode("utf-8", "surrogatepass") for t in tokens]
-    return np.array([xxhash.xxh64_intdigest(b"\x01".join(joined[k : k + run]), seed) for k in range(len(joined) - run + 1)], dtype=np.uint64).view(np.int64)
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
-def open_text(found: list[Block], repeated: Iterable[int], run: int = RUN, longest: int = LONGEST) -> str:
-    """The text of a page without a marked article, given where repeated runs begin in its stream."""
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def suffix_keys(found: list[Block], run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (64 bits) and places of a page's suffixes: in the stream, from 0 on, by their first ``run`` tokens; -1 - k: at the start of
+    the marked article's block k, by all its words."""
+    tokens, _ = stream(found)
+    own = own_blocks(found)
+    keys = [_hash("\1".join(tokens[k : k + run])) for k in range(len(tokens) - run + 1)]
+    at = [*range(len(keys)), *(-1 - k for k in own)]
+    keys += [_hash("\2" + found[k].text) for k in own]
+    return np.array(keys, dtype=np.uint64).view(np.int64), np.array(at, dtype=np.int32)
+
+
+def least_pages(pages: int, marked: bool) -> int:
+    """On how many of a host's pages boilerplate stands at least."""
+    return max(3 if marked else 2, ceil(pages / 2))
+
+
+def told_text(found: list[Block], repeated: Iterable[tuple[int, int]], pages: int, run: int = RUN) -> tuple[str, int]:
+    """A page's text and how many words the array cut from it: ``repeated`` are the places of its suffixes that other pages of the
+    host have too, with the number of pages; ``pages`` is the host's."""
+    if own := own_blocks(found):
+        least = least_pages(pages, True)
+        gone = {-1 - at for at, n in repeated if at < 0 and n >= least}
+        cut = sum(found[k].text.count(" ") + 1 for k in gone)
+        if 2 * cut >= sum(found[k].text.count(" ") + 1 for k in own):
+            gone, cut = set(), 0
+        return "\n".join(found[k].text for k in own if k not in gone), cut
     tokens, at = stream(found)
-    covered = np.zeros(len(tokens) + run, dtype=bool)
-    for start in repeated:
-        covered[start : start + run] = True
-    total, hit = [0] * len(found), [0] * len(found)
-    for k, c in zip(at, covered.tolist()):
-        if k >= 0:
-            total[k] += 1
-            hit[k] += c
-    keep = [b.text for k, b in enumerate(found) if b.place == "open" and b.linked < SHARE and (total[k] > longest or hit[k] < SHARE * total[k])]
-    return "\n".join(keep)
-
-
-def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN, longest: int = LONGEST) -> DataFrame:
-    """The id, the url and ``text`` of every page."""
+    most = np.zeros(len(tokens) + run, dtype=np.int64)
+    for start, n in repeated:
+        if start >= 0:
+            most[start : start + run] = np.maximum(most[start : start + run], n)
+    asked = np.array([k >= 0 and found[k].place == "open" and found[k].linked < LINKED for k in at])
+    most = most[: len(tokens)]
+    text, cut = _without(tokens, at, asked, most >= least_pages(pages, False), run)
+    if not text and asked.any():
+        text, cut = _without(tokens, at, asked, most > most[asked].min(), run)
+    return text, cut
+
+
+def _without(tokens: list[str], at: list[int], asked: np.ndarray, covered: np.ndarray, run: int) -> tuple[str, int]:
+    """The asked blocks without their covered tokens, and how many went."""
+    made, cut = [], 0
+    block = np.array(at)
+    edges = np.flatnonzero(np.diff(block, prepend=-2, append=-2)).tolist()
+    for start, end in zip(edges, edges[1:]):  # a block's tokens stand together
+        if not asked[start]:
+            continue
+        hit = covered[start:end].copy()
+        if not hit.all():  # short pieces of a block: first of the neighbours' repeats, then between what is cut
+            for kind in (True, False):
+                ends = np.flatnonzero(np.diff(hit.astype(np.int8))) + 1
+                for a, b in zip([0, *ends.tolist()], [*ends.tolist(), len(hit)]):
+                    if b - a < run and b - a < len(hit) and hit[a] == kind:
+                        hit[a:b] = not kind
+        cut += int(hit.sum())
+        if not hit.all():
+            made.append(" ".join(t for t, h in zip(tokens[start:end], hit.tolist()) if not h))
+    return "\n".join(made), cut
+
+
+def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN) -> DataFrame:
+    """The id, the url, ``text`` and ``n_cut`` (words that the array cut) of every page."""
     pages = df.select(
         F.col(plain(id_col)), F.col(plain(url_col)).cast("string").alias("__url"), F.col(plain(html_col)).cast("string").alias("__html"), F.xxhash64(plain(id_col), plain(url_col), plain(html_col)).alias("__tag")
     )
@@ -234,36 +332,33 @@ def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_c
             kept: list[tuple] = []
             for url, page, tag in zip(*(batch.column(k).to_pylist() for k in range(3))):
                 found = blocks(page)
-                own = suffix_keys(url, found, run)
-                kept.append((own, np.full(len(own), tag), np.arange(len(own)), np.full(len(own), marked_text(found) is None)))
+                own, at = suffix_keys(found, run)
+                n, host = len(own), host_of(url)
+                first, head = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+                first[np.unique(own, return_index=True)[1]] = head[:1] = True
+                kept.append((np.full(n, tag if host is None else _signed(_hash(host))), own, np.full(n, tag), at, first, head, np.full(n, marked_text(found) is None)))
             if kept:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*kept)], names=["key", "tag", "pos", "is_open"])
-
-    suffixes = stored(bounded(pages).select("__url", "__html", "__tag").mapInArrow(keys, "key long, tag long, pos long, is_open boolean"), "suffixes")
-    kind = df.schema[id_col].dataType.simpleString()
-    schema = f"{plain(id_col)} {kind}, {plain(url_col)} string, text string"
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*kept)], names=["host", "key", "tag", "at", "first", "head", "is_open"])
+
+    schema = "host long, key long, tag long, at int, first boolean, head boolean, is_open boolean"
+    suffixes = stored(bounded(pages).select("__url", "__html", "__tag").mapInArrow(keys, schema), "suffixes")
+    hosts = suffixes.filter("head").groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    counts = suffixes.groupBy("host", "key").agg(F.count(F.when(F.col("first"), 1)).alias("n")).filter("n > 1").join(hosts, "host")
+    shared = [
+        suffixes.filter(which).select("host", "key", "tag", "at").join(counts.filter(enough), ["host", "key"])
+        for which, enough in (("at < 0", F.col("n") >= F.greatest(F.lit(3), F.ceil(F.col("pages") / 2))), ("is_open AND at >= 0", F.lit(True)))
+    ]
+    where = shared[0].union(shared[1]).groupBy("tag").agg(F.collect_set(F.struct("at", "n")).alias("__repeated"), F.max("pages").alias("__pages"))
+    where = stored(where.withColumnRenamed("tag", "__of"), "repeated")
     columns = [plain(id_col), "__url", "__html"]
 
-    def marked():
-        def one(key, url, page):
-            text = marked_text(blocks(page))
-            if text is not None:
-                yield key, url, text
-
-        return one
-
-    def told():
-        def one(key, url, page, repeated):
-            yield key, url, open_text(blocks(page), repeated or (), run, longest)
+    def make():
+        def one(key, url, page, repeated=(), of=1):
+            yield key, url, *told_text(blocks(page), [(r["at"], r["n"]) for r in repeated or ()], of or 1, run)
 
         return one
 
-    done = map_rows(pages, marked, columns, schema)
-    unsure = suffixes.filter("is_open")
-    if unsure.isEmpty():  # saves the exchange of pages
-        return done
-    twice = suffixes.groupBy("key").agg(F.min("tag").alias("a"), F.max("tag").alias("b")).filter("a <> b").select("key")
-    where = unsure.join(twice, "key", "left_semi").groupBy("tag").agg(F.collect_set("pos").alias("__repeated"))
-    tags = unsure.select("tag").distinct().join(where, "tag", "left").withColumnRenamed("tag", "__open")
-    rest = pages.join(tags, F.col("__tag") == F.col("__open"))
-    return done.union(map_rows(rest, told, [*columns, "__repeated"], schema))
+    schema = f"{plain(id_col)} {df.schema[id_col].dataType.simpleString()}, {plain(url_col)} string, text string, n_cut long"
+    if where.isEmpty():  # saves the exchange of pages
+        return map_rows(pages, make, columns, schema)
+    return map_rows(pages.join(where, F.col("__tag") == F.col("__of"), "left"), make, [*columns, "__repeated", "__pages"], schema)
