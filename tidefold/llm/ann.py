@@ -11,14 +11,17 @@ of ``leaf`` points, each with its bounding box.
 Search: a query visits its own cell first, then every cell whose box the test does not exclude. In a cell it takes leaves in
 the order of their projected distance and verifies their points on the original vectors; it stops when the next
 leaf's squared projected distance exceeds ``quantile`` (of chi-square) times the squared distance of its k-th neighbour
-so far. So each true neighbour is found with at least the probability of ``quantile``.
+so far. So each true neighbour is found with at least the probability of ``quantile``; in practice with much more, as a leaf's
+box is nearer than its points.
 
-Cells and queries meet in packs: a row holds a cell's points, or at most about ``pack`` queries of one cell. Equal vectors are one
+Cells and queries meet in packs: a row holds a cell's points, or at most about ``pack`` queries of one block of BLOCK neighbouring
+cells with the cells that each visits, so that a query's vector is sent once for a block of cells. Equal vectors are one
 point with their k + 1 least ids, which is all that any result can need.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, as points or queries. Products are of
-vectors of one length only. Scores are computed in double precision on the original vectors; ties go by id. A null id
-takes no part. Of rows with equal id and vector one counts. An empty table gives an empty result.
+vectors of one length only. Scores are computed in double precision on the original vectors; equal scores go by id, also
+where a leaf or a cell is cut at its best k + 1. A null id takes no part. Of rows with equal ids one counts, that with the
+least vector. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,19 +33,24 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidefold.llm.common import plain, stored
 
 
+#: Cells that a query's vector is sent to at once.
+BLOCK = 64
+
+
 @dataclass(frozen=True)
 class Settings:
     k: int = 20
-    dims: int = 8
-    probability: float = 0.96
+    dims: int = 6
+    probability: float = 0.5
     cell: int = 8192
-    leaf: int = 256
+    leaf: int = 64
     pack: int = 2048
     sample: int = 65_536
     seed: int = 7
@@ -144,16 +152,20 @@ def leaf_order(points: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray, n
     return np.concatenate(parts), bounds, np.stack([np.stack([points[p].min(axis=0), points[p].max(axis=0)]) for p in parts])
 
 
-def search(queries: np.ndarray, q_proj: np.ndarray, worst: np.ndarray, vectors: np.ndarray, v_proj: np.ndarray, largest: float, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """For each query the rows and products of the best points that it verified (k + 1 columns, -1 where none). ``worst`` is
-    each query's k-th product so far (-inf: none)."""
+def search(
+    queries: np.ndarray, q_proj: np.ndarray, worst: np.ndarray, vectors: np.ndarray, v_proj: np.ndarray, turns: np.ndarray, largest: float, s: Settings
+) -> tuple[np.ndarray, np.ndarray]:
+    """For each query the rows of the best points that it verified (k + 1 columns, -1 where none), and how many leaves it visited.
+    ``worst`` is each query's k-th product so far (-inf: none); ``turns`` orders points of equal products."""
     order, bounds, boxes = leaf_order(v_proj, s.leaf)
-    vectors = vectors[order]
+    vectors, turns = vectors[order], turns[order]
     lows = box_distance(q_proj, boxes)
     turn = np.argsort(lows, axis=1)
     norms = np.einsum("ij,ij->i", queries, queries) + largest**2
     width = s.k + 1
     best, rows = np.full((len(queries), width), -np.inf), np.full((len(queries), width), -1, dtype=np.int64)
+    near_enough = 1e-12 * norms  # products that differ by less are computed again, pair by pair
+    visited = np.zeros(len(queries), dtype=np.int64)
     active = np.arange(len(queries))
     limit = worst.copy()
     for step in range(len(boxes)):
@@ -163,6 +175,7 @@ def search(queries: np.ndarray, q_proj: np.ndarray, worst: np.ndarray, vectors:
         active, near = active[go], near[go]
         if not len(active):
             break
+        visited[active] += 1
         by = np.argsort(near, kind="stable")
         for some in np.split(by, np.flatnonzero(np.diff(near[by])) + 1):
             q, leaf = active[some], near[some[0]]
@@ -171,11 +184,22 @@ def search(queries: np.ndarray, q_proj: np.ndarray, worst: np.ndarray, vectors:
             ids = np.concatenate([rows[q], np.broadcast_to(np.arange(a, b), (len(q), b - a))], axis=1)
             if both.shape[1] > width:
                 top = np.argpartition(-both, width - 1, axis=1)[:, :width]
+                least = np.take_along_axis(both, top, axis=1).min(axis=1)
+                close = both >= (least - near_enough[q])[:, None]
+                for k in np.flatnonzero((close.sum(axis=1) > width) & (least > -np.inf)).tolist():  # a tie at the end
+                    at = np.flatnonzero(close[k])
+                    exact = products(queries[q[k]][None], vectors[ids[k, at]])
+                    top[k] = at[np.lexsort((turns[ids[k, at]], -exact))[:width]]
                 both, ids = np.take_along_axis(both, top, axis=1), np.take_along_axis(ids, top, axis=1)
             best[q], rows[q] = both, ids
             # k + 1 points: one of them may be the query itself
             limit[q] = np.maximum(limit[q], both.min(axis=1))
-    return np.where(rows >= 0, order[rows], -1), best
+    return np.where(rows >= 0, order[rows], -1), visited
+
+
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products row by row; the same sum for the same two vectors, whatever the rows around."""
+    return np.add.reduce(a * b, axis=1)
 
 
 # --- on Spark -------------------------------------------------------------------------------------------------------
@@ -197,7 +221,7 @@ def search_table(df: DataFrame, is_query: str, id_col: str = "vec_id", vector_co
     """``query_id``, ``rank`` (from 1), ``id``, ``score``: the nearest points of the rows for which the SQL condition ``is_query``
     (of ``id``) holds."""
     s = settings
-    rows = stored(valid(df, id_col, vector_col), "vectors")
+    rows = stored(valid(df, id_col, vector_col).groupBy("id").agg(F.min("vec").alias("vec")), "vectors")
     parts = [r.n for r in rows.select(F.size("vec").alias("n")).distinct().collect()]  # lengths: a handful
     spark = df.sparkSession
     made = [_search_length(rows.filter(F.size("vec") == n), is_query, n, s) for n in sorted(parts)]
@@ -215,7 +239,7 @@ def _search_length(rows: DataFrame, is_query: str, length: int, s: Settings) ->
     kind = rows.schema["id"].dataType.simpleString()
     largest = float(rows.agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)))).first()[0])
     among = Window.partitionBy("vec").orderBy("id")
-    few = rows.distinct().withColumn("__n", F.row_number().over(among)).filter(F.col("__n") <= s.k + 1)
+    few = rows.withColumn("__n", F.row_number().over(among)).filter(F.col("__n") <= s.k + 1)
     points = few.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     points = stored(points, "points")
     count = points.count()
@@ -229,7 +253,9 @@ def _search_length(rows: DataFrame, is_query: str, length: int, s: Settings) ->
             for batch in batches:
                 if batch.num_rows:
                     proj = projected(_matrix(batch.column(1)), largest, s, query)
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell_of(proj, tree.value[0]))], names=["id", "vec", "cell"])
+                    cells = cell_of(proj, tree.value[0])
+                    cells = pa.ListArray.from_arrays(pa.array(np.arange(len(cells) + 1, dtype=np.int32)), pa.array(cells)) if query else pa.array(cells)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), cells], names=["id", "vec", "cell"])
 
         return run
 
@@ -238,52 +264,65 @@ def _search_length(rows: DataFrame, is_query: str, length: int, s: Settings) ->
         return pd.DataFrame({"cell": [frame["cell"].iloc[0]], "ids": [[list(x) for x in frame["ids"]]], "points": [vectors.tobytes()]})
 
     placed = points.select("ids", "vec").mapInArrow(place(False), f"ids array<{kind}>, vec array<double>, cell int")
-    cells = stored(placed.groupBy("cell").applyInPandas(pack, f"cell int, ids array<array<{kind}>>, points binary"), "cells")
-    queries = stored(rows.filter(is_query).distinct().mapInArrow(place(True), f"id {kind}, vec array<double>, cell int"), "queries")
-    blocks = max(1, math.ceil(queries.count() / s.pack))
+    cells = stored(placed.groupBy("cell").applyInPandas(pack, f"cell int, ids array<array<{kind}>>, points binary").withColumn("block", F.expr(f"cell div {BLOCK}")), "cells")
+    queries = stored(rows.filter(is_query).mapInArrow(place(True), f"id {kind}, vec array<double>, cell array<int>"), "queries")
+    parts = max(1, math.ceil(queries.count() / s.pack))
 
     def visit(visits: DataFrame) -> DataFrame:
-        """``visits``: id, vec, cell, worst; gives the found neighbours of each."""
-        packs = visits.groupBy("cell", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", "vec", "worst")).alias("queries"))
+        """``visits``: id, vec, worst, block, cell (the cells of the block that the query visits); gives the found neighbours of each."""
+        packs = visits.groupBy("block", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).agg(F.collect_list(F.struct("id", "vec", "worst", "cell")).alias("queries"))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for k in range(batch.num_rows):
-                    asked = batch.column(0)[k].values
+                    asked, cell = batch.column(0)[k].values, batch.column(3)[k].as_py()
+                    wanted = asked.field("cell")
+                    here = np.unique(np.repeat(np.arange(len(asked)), np.diff(wanted.offsets.to_numpy()))[wanted.flatten().to_numpy() == cell])
+                    if not len(here):
+                        continue
+                    asked = asked.take(pa.array(here))
                     q_ids, q, worst = asked.field("id"), _matrix(asked.field("vec")), asked.field("worst").to_numpy(zero_copy_only=False)
                     ids = batch.column(1)[k].values
+                    least = ids.values.take(ids.offsets[:-1].cast(pa.int64()))  # each point's least id
+                    turns = np.empty(len(ids), dtype=np.int64)
+                    turns[pc.sort_indices(least).to_numpy()] = np.arange(len(ids))
                     vectors = np.frombuffer(batch.column(2)[k].as_py(), dtype=np.float64).reshape(-1, length)
-                    found, product = search(q, projected(q, largest, s, True), worst, vectors, projected(vectors, largest, s), largest, s)
+                    found, _ = search(q, projected(q, largest, s, True), worst, vectors, projected(vectors, largest, s), turns, largest, s)
                     at, column = np.nonzero(found >= 0)
                     point = found[at, column]
-                    exact = np.einsum("ij,ij->i", q[at], vectors[point])
-                    yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(at)), ids.take(pa.array(point)), pa.array(exact)], names=["query_id", "ids", "score"])
+                    yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(at)), ids.take(pa.array(point)), pa.array(products(q[at], vectors[point]))], names=["query_id", "ids", "score"])
 
-        found = packs.join(cells, "cell").select("queries", "ids", "points").mapInArrow(run, f"query_id {kind}, ids array<{kind}>, score double")
+        met = packs.join(cells, "block").select("queries", "ids", "points", "cell")
+        found = met.mapInArrow(run, f"query_id {kind}, ids array<{kind}>, score double")
         return found.select("query_id", F.explode("ids").alias("id"), "score").filter("query_id <> id")
 
     def top(found: DataFrame) -> DataFrame:
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
         return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= s.k)
 
-    first = stored(top(visit(queries.withColumn("worst", F.lit(float("-inf"))))), "first")
+    own = queries.withColumn("worst", F.lit(float("-inf"))).withColumn("block", F.expr(f"cell[0] div {BLOCK}"))
+    first = stored(top(visit(own)), "first")
     worst = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == s.k, F.min("score")).alias("worst"))
-    known = queries.join(worst, queries["id"] == worst["query_id"], "left").select("id", "vec", "cell", F.coalesce("worst", F.lit(float("-inf"))).alias("worst"))
+    known = queries.join(worst, queries["id"] == worst["query_id"], "left").select("id", "vec", F.col("cell")[0].alias("cell"), F.coalesce("worst", F.lit(float("-inf"))).alias("worst"))
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         boxes = tree.value[1]
+        some = max(1, (1 << 22) // len(boxes))
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, some):
+                part = batch.slice(at, some)
                 q = _matrix(part.column(1))
                 limit = part.column(3).to_numpy(zero_copy_only=False)
                 distance = np.maximum(np.einsum("ij,ij->i", q, q) + largest**2 - 2 * limit, 0)
                 go = ~(box_distance(projected(q, largest, s, True), boxes) > s.quantile * distance[:, None])
                 go[np.arange(len(q)), part.column(2).to_numpy()] = False
-                row, cell = np.nonzero(go)
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(cell.astype(np.int32)), part.column(3).take(take)], names=["id", "vec", "cell", "worst"])
-
-    rest = visit(known.mapInArrow(others, f"id {kind}, vec array<double>, cell int, worst double"))
+                row, cell = np.nonzero(go)  # by query, then by cell: what goes to one block stands together
+                starts = np.flatnonzero(np.diff(row * len(boxes) + cell // BLOCK, prepend=-1))
+                take = pa.array(row[starts])
+                lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(cell)).astype(np.int32)), pa.array(cell.astype(np.int32)))
+                blocks = pa.array((cell[starts] // BLOCK).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), part.column(3).take(take), blocks, lists], names=["id", "vec", "worst", "block", "cell"])
+
+    rest = visit(known.mapInArrow(others, f"id {kind}, vec array<double>, worst double, block int, cell array<int>"))
     every = first.select("query_id", "id", "score").union(rest)
     return top(every).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
