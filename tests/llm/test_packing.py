@@ -13,9 +13,7 @@ PATH = P.path("word_bpe_49k.json")
 
 
 def whole():
-    made = Tokenizer.from_file(PATH)
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(PATH)
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -88,3 +86,20 @@ def test_pack(spark):
         assert at <= 4096
     assert len(by_seq) == -(-sum(r.length for r in got) // 4096)
     assert packing.pack(pieces.limit(0), "length", ["doc_id", "piece"]).count() == 0
+
+
+def test_special_tokens_and_other_files(tmp_path):
+    import json
+
+    ids = packing.WordIds(PATH)
+    assert np.frombuffer(ids.of_text("a <|endoftext|> b<|startoftext|>c"), "<u4").tolist() == whole().encode("a <|endoftext|> b<|startoftext|>c", add_special_tokens=False).ids
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\p{L}]+|[\p{N}]+|[^\s\p{L}\p{N}]+"
+    spec["normalizer"]["normalizers"].pop()  # keeps upper case
+    other = str(tmp_path / "other.json")
+    with open(other, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    text = "It's 2024, Don't\nSHOUT  é é"
+    made = packing.WordIds(other)
+    assert made.words is None and np.frombuffer(made.of_text(text), "<u4").tolist() == Tokenizer.from_file(other).encode(text, add_special_tokens=False).ids

@@ -106,7 +106,6 @@ def test_op6(spark, docs):
 
 def test_op8(spark, docs):
     enc = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    enc.encode_special_tokens = True
     got = run(spark, "op8_best_fit_packing").collect()
     by_doc, by_seq = {}, {}
     for r in got:

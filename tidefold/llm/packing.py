@@ -15,7 +15,9 @@ by the key columns. An empty table gives an empty result. Other columns of the i
 
 from __future__ import annotations
 
+import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -48,7 +50,7 @@ class Recent(dict):
     def __init__(self, most: int):
         self.most, self.older = most, {}
 
-    def keep(self, key: bytes, value: bytes) -> bytes:
+    def keep(self, key: str | bytes, value: bytes) -> bytes:
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
@@ -56,56 +58,83 @@ class Recent(dict):
         return value
 
 
+class Words(Recent):
+    """From a word of the pre-tokenizer, lower-cased, to its ids; the model is asked for each word once."""
+
+    def __init__(self, model, most: int):
+        super().__init__(most)
+        self.tokenize = model.tokenize
+        self.letters = [x for _, x in sorted(_byte_letters().items())]
+
+    def __missing__(self, word: str) -> bytes:
+        made = self.older.get(word)
+        if made is None:
+            raw = word if word.isascii() and word.isalnum() else "".join(map(self.letters.__getitem__, word.encode()))
+            made = array("I", [t.id for t in self.tokenize(raw)]).tobytes()
+        return self.keep(word, made) if len(word) <= WordIds.LONGEST else made
+
+
 class WordIds(Recent):
     """From a white-space-free UTF-8 chunk to its ids as little-endian unsigned 32-bit bytes.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks in order.
-    For chunks of Latin letters below U+0250 the normaliser only lowers case, and the model is asked for each word once;
-    any other chunk goes through the whole tokenizer. Chunks and words over LONGEST bytes are not kept.
+    Where the tokenizer's file says that it normalises by NFC, white space to spaces and lower case, and then takes the words of
+    one pattern that holds no white space, a text's ids are those of its chunks in order. For chunks of Latin letters below
+    U+0250 the normaliser then only lowers case, and the file's pattern and the model give the ids; any other chunk, and
+    one that holds a special token, goes through the whole tokenizer. With any other file whole texts do.
+    Chunks and words over LONGEST characters are not kept.
     """
 
     LONGEST = 48
 
-    def __init__(self, path: str, chunks: int = 100_000, words: int = 150_000):
+    def __init__(self, path: str, chunks: int = 200_000, words: int = 150_000):
         super().__init__(chunks)
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        self.model = self.whole.model
-        self.letters = _byte_letters()
-        #: The pre-tokenizer's pattern, as the tokenizer file states it.
-        self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        pattern = _word_pattern(spec)
+        self.words = None if pattern is None else regex.compile(pattern)
+        self.of_word = Words(self.whole.model, words)
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in spec["added_tokens"]) or r"(?!)")
         self.simple = re.compile(r"[\x21-\x7e\xa1-ɏ]+\Z")
-        self.of_word = Recent(words)
-
-    def _word(self, word: bytes) -> bytes:
-        known = self.of_word
-        made = known.get(word)
-        if made is None:
-            made = known.older.get(word)
-            if made is None:
-                made = np.array([t.id for t in self.model.tokenize(word.decode("latin-1").translate(self.letters))], dtype="<u4").tobytes()
-            if len(word) <= self.LONGEST:
-                known.keep(word, made)
-        return made
 
     def __missing__(self, chunk: bytes) -> bytes:
         made = self.older.get(chunk)
         if made is None:
-            low = chunk.lower()  # ASCII letters only
-            if low.isalpha():
-                made = self._word(low)
-            elif low[:-1].isalpha() and low[-1] in b".,;:!?":
-                made = self._word(low[:-1]) + self._word(low[-1:])
+            of_word = self.of_word
+            if chunk.isalpha():  # ASCII letters
+                made = of_word[chunk.lower().decode()]
+            elif chunk[:-1].isalpha() and chunk[-1:] in b".,;:!?":
+                made = of_word[chunk[:-1].lower().decode()] + of_word[chunk[-1:].decode()]
             else:
                 text = chunk.decode("utf-8", "replace")
-                if self.simple.match(text):
-                    made = b"".join([self._word(w.encode()) for w in self.words.findall(text.lower())])
+                if not self.simple.match(text) or self.special.search(text):
+                    made = self._library(text)
                 else:
-                    made = np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+                    low = text.lower()
+                    made = of_word[low] if low.isalpha() else b"".join([of_word[w] for w in self.words.findall(low)])
         return self.keep(chunk, made) if len(chunk) <= self.LONGEST else made
 
+    def _library(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
     def of_text(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split())) if text else b""
+        if not text:
+            return b""
+        if self.words is None:
+            return self._library(text.encode("utf-8", "replace").decode())
+        return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split()))
+
+
+def _word_pattern(spec: dict) -> str | None:
+    """The pattern of words of a tokenizer file, if the file normalises and splits in the way that ``WordIds`` takes chunks by."""
+    normal = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    pattern = (steps[0].get("pattern") or {}).get("Regex")
+    split = {"type": "Split", "pattern": {"Regex": pattern}, "behavior": "Removed", "invert": True}
+    letters = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    known = spec.get("normalizer") == normal and steps == [split, letters] and spec.get("post_processor") is None and spec["model"]["type"] == "BPE"
+    plain_tokens = not any(t["content"].isalpha() or t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in spec["added_tokens"])
+    return pattern if known and plain_tokens and pattern.startswith("'s|'t|'re|'ve|'m|'ll|'d|") and pattern.endswith(r"|[^\s\p{L}\p{N}]+") else None
 
 
 @lru_cache(maxsize=2)
