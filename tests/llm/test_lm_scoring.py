@@ -12,6 +12,21 @@ def sentence(rng, words, n):
     return " ".join(rng.choice(words) for _ in range(n))
 
 
+def left_out(single, pairs, words, size, s, inside):
+    """The mean loss under counts, less the text's own where they hold it."""
+    ones, twos = Counter(words), Counter(zip(words, words[1:]))
+    n = single.total() - inside * len(words)
+    count = lambda w: single[w] - inside * ones[w]
+    loss = 0.0
+    for k, w in enumerate(words):
+        share = (count(w) + s.smoothing) / (n + s.smoothing * (size + 1))
+        if k:
+            pair = words[k - 1], w
+            share = s.bigram_weight * min(1, (pairs[pair] - inside * twos[pair]) / max(1, count(words[k - 1]))) + (1 - s.bigram_weight) * share
+        loss -= math.log(share)
+    return loss / len(words)
+
+
 def test_counts_and_losses(spark):
     texts = {1: "A b a B", 2: "b c c", 3: "", 4: None, 5: "a " * 70_000}
     df = spark.createDataFrame([(k, t, 1, "x") for k, t in texts.items()] + [(2, "b c c", 1, "x"), (None, "c", 1, "x")], "doc_id long, text string, score int, word string")
@@ -25,17 +40,12 @@ def test_counts_and_losses(spark):
     single = {"b": every, "t": Counter("a b a b b c c b c c".split())}
     pairs = {"b": Counter(p for r in df.collect() for p in zip((r.text or "").lower().split(), (r.text or "").lower().split()[1:])), "t": Counter({("a", "b"): 2, ("b", "a"): 1, ("b", "c"): 2, ("c", "c"): 2})}
 
-    def loss(model, text):
-        words, total = text.lower().split(), 0.0
-        for k, w in enumerate(words):
-            share = (single[model][w] + s.smoothing) / (sum(single[model].values()) + s.smoothing * 4)
-            if k:
-                share = s.bigram_weight * min(1, pairs[model][words[k - 1], w] / max(1, single[model][words[k - 1]])) + (1 - s.bigram_weight) * share
-            total -= math.log(share)
-        return total / len(words)
+    def loss(model, text, inside):
+        words = text.lower().split()
+        return left_out(single[model], pairs[model], words, 3, s, inside)
 
     for key in (1, 2, 5):
-        assert math.isclose(got[key].target_loss, loss("t", texts[key]), rel_tol=1e-9) and math.isclose(got[key].background_loss, loss("b", texts[key]), rel_tol=1e-9)
+        assert math.isclose(got[key].target_loss, loss("t", texts[key], key != 5), rel_tol=1e-9) and math.isclose(got[key].background_loss, loss("b", texts[key], True), rel_tol=1e-9)
         assert math.isclose(got[key].score, got[key].target_loss - got[key].background_loss, abs_tol=1e-9) and got[key].n_tokens == len(texts[key].split())
     assert got[3].score is None and got[4].n_tokens == 0 and got[None].n_tokens == 1
     assert lm.score(df.limit(0), good.limit(0)).count() == 0
@@ -54,6 +64,19 @@ def test_held_out(spark):
     assert (inside[:, None] < outside[None, :]).mean() > 0.99
 
 
+def test_the_target_is_not_favoured(spark):
+    """Of documents of one kind, those inside the target score like those outside; copies are told by the background."""
+    rng = random.Random(3)
+    rows = [(k, sentence(rng, [f"w{j}" for j in range(3000)], 60)) for k in range(300)]
+    rows += [(1000 + k, rows[k][1]) for k in range(200, 240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.score(df, spark.createDataFrame([(k,) for k in range(100)], "doc_id long")).collect()}
+    inside, outside = (np.array([got[k].score for k in ks]) for ks in (range(100), range(100, 200)))
+    assert abs((inside[:, None] < outside[None, :]).mean() - 0.5) < 0.15
+    twice, once = (np.array([got[k].score for k in ks]) for ks in (range(200, 240), range(240, 300)))
+    assert (twice[:, None] > once[None, :]).mean() > 0.99
+
+
 def test_nothing_is_capped(spark, monkeypatch):
     """More words and bigrams than the former caps, over several chunks: losses as of exact counts."""
     monkeypatch.setattr(lm, "CHUNK", 50_000)
@@ -68,9 +91,6 @@ def test_nothing_is_capped(spark, monkeypatch):
     size = len(models[1][0])
     assert size > 32_768 and len(models[1][1]) > 1 << 18
     for key in (0, 1, 150, 199):
-        t, want = texts[key].split(), []
-        for single, pairs in models:
-            share = [(single[w] + s.smoothing) / (single.total() + s.smoothing * (size + 1)) for w in t]
-            share[1:] = [s.bigram_weight * pairs[p] / max(1, single[p[0]]) + (1 - s.bigram_weight) * x for p, x in zip(zip(t, t[1:]), share[1:])]
-            want.append(-sum(map(math.log, share)) / len(t))
+        t = texts[key].split()
+        want = [left_out(*models[0], t, size, s, key % 3 == 0), left_out(*models[1], t, size, s, True)]
         assert math.isclose(got[key].target_loss, want[0], rel_tol=1e-9) and math.isclose(got[key].background_loss, want[1], rel_tol=1e-9)

@@ -49,8 +49,23 @@ def test_sql(spark, duck, name):
     assert rows(df.collect(), df.columns) == rows(want.fetchall(), want.columns)
 
 
-def test_op1(spark, docs):
+def test_op1(spark, docs, duck):
+    import math
+    from collections import Counter
+
+    from tidefold.llm.lm_scoring import Settings
+
+    from .test_lm_scoring import left_out
+
     got = run(spark, "op1_lm_scoring").collect()
+    good = {r[0] for r in duck.sql("SELECT doc_id FROM labels WHERE quality = 1").fetchall()}
+    split = [(d, (t or "").lower().encode().split()) for d, t in docs]
+    models = [(Counter(w for d, ws in split if f(d) for w in ws), Counter(p for d, ws in split if f(d) for p in zip(ws, ws[1:]))) for f in (lambda d: d in good, lambda d: True)]
+    by = {r.doc_id: r for r in got}
+    for d, ws in split:
+        if ws:
+            want = [left_out(*m, ws, len(models[1][0]), Settings(), inside) for m, inside in zip(models, (d in good, True))]
+            assert math.isclose(by[d].target_loss, want[0], rel_tol=1e-9) and math.isclose(by[d].background_loss, want[1], rel_tol=1e-9)
     assert sorted(r.doc_id for r in got) == sorted(d for d, _ in docs)
     assert {r.doc_id: r.n_tokens for r in got} == {d: len((t or "").lower().encode().split()) for d, t in docs}
 

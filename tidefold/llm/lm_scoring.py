@@ -11,7 +11,8 @@ order of the keys sent, so that no model is gathered anywhere. The number of ran
 driver holds four sums.
 
 A document's losses are the mean negative log probabilities of its words, in nats; ``score`` is the target's less the
-background's: low for text like the target.
+background's: low for text like the target. A document's own words and bigrams are left out of the models that judge it, so that
+documents inside the target, outside it and rare ones are held to the same measure; a copy of it elsewhere stays in.
 
 Null or empty text: no words, and null losses. A null id is never in the target. Repeated rows are scored and counted as
 often as they stand there. Extra columns do not matter. An empty target leaves a smoothed uniform model.
@@ -25,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -219,12 +221,20 @@ def answers(parts: DataFrame) -> DataFrame:
     return parts.groupBy("part").applyInArrow(add, "chunk long, part long, words_n long, words_b binary, words_t binary, pairs_n long, pairs_b binary, pairs_t binary, n long")
 
 
-def losses(c: Chunk, single: np.ndarray, pairs: np.ndarray, total: int, size: int, s: Settings) -> np.ndarray:
-    """The loss of each word of a chunk under one model, from the counts of its words and its pairs; a text's first word has no
-    predecessor."""
-    share = ((single + s.smoothing) / (total + s.smoothing * (size + 1)))[c.at]
-    before = np.maximum(single[c.at[c.second - 1]], 1)
-    share[c.second] = s.bigram_weight * np.minimum(pairs / before, 1.0) + (1 - s.bigram_weight) * share[c.second]
+def own_counts(places: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """For each entry how many entries of its document have its place."""
+    _, at, count = np.unique(docs * (int(places.max(initial=0)) + 1) + places, return_inverse=True, return_counts=True)
+    return count[at]
+
+
+def losses(c: Chunk, single: np.ndarray, pairs: np.ndarray, own: tuple[np.ndarray, np.ndarray], inside: np.ndarray, total: int, size: int, s: Settings) -> np.ndarray:
+    """The loss of each word of a chunk under one model, from the counts of its words and its pairs, less a document's own counts
+    where the model holds it (``inside``); a text's first word has no predecessor."""
+    known = inside[c.doc]
+    ones = single[c.at] - own[0] * known
+    share = (ones + s.smoothing) / ((total - c.lengths * inside)[c.doc] + s.smoothing * (size + 1))
+    before = np.maximum(ones[c.second - 1], 1)
+    share[c.second] = s.bigram_weight * np.minimum((pairs - own[1] * known[c.second]) / before, 1.0) + (1 - s.bigram_weight) * share[c.second]
     return -np.log(share)
 
 
@@ -247,23 +257,27 @@ def score(df: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: st
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        ordered = right.sort_by("part")
+        ordered = right.filter(pc.is_valid(right.column("part"))).sort_by("part")
+        marks = [x for row in right.column("inside").to_pylist() for x in row or ()]
         for row in left.select(["lengths", "words", "at", "n"]).to_pylist():
             c = Chunk(row["lengths"], row["words"], row["at"], row["n"], s.bits)
             place = np.unique(c.pairs, return_inverse=True)[1]
+            own = own_counts(c.at.astype(np.int64), c.doc), own_counts(place, c.doc[c.second])
+            inside = np.zeros(len(c.lengths), dtype=bool)
+            inside[marks] = True
             sums = []
-            for model, words_in in (("t", wanted), ("b", total)):
+            for model, words_in, within in (("t", wanted, inside), ("b", total, np.ones_like(inside))):
                 got = {side: np.concatenate([np.zeros(0, np.int64), *(unpacked(b, n, np.int64) for b, n in zip(ordered.column(f"{side}_{model}").to_pylist(), ordered.column(f"{side}_n").to_pylist()))]) for side in ("words", "pairs")}
                 single = np.empty(len(c.keys), dtype=np.int64)
                 single[c.order] = got["words"]
-                sums.append(np.bincount(c.doc, losses(c, single, got["pairs"][place], words_in, size, s), len(c.lengths)))
+                sums.append(np.bincount(c.doc, losses(c, single, got["pairs"][place], own, within, words_in, size, s), len(c.lengths)))
             none = c.lengths == 0
             means = [x / np.maximum(c.lengths, 1) for x in (sums[0], sums[1], sums[0] - sums[1])]
             out = [pa.array(c.lengths), *(pa.array(m, mask=none) for m in means)]
         return pa.Table.from_arrays([left.column("ids").combine_chunks().flatten(), *out], names=["id", "n_tokens", "target_loss", "background_loss", "score"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    by_chunk = found.filter("chunk IS NOT NULL").drop("n").groupBy("chunk")
+    by_chunk = found.filter("chunk IS NOT NULL").drop("n").unionByName(inside, allowMissingColumns=True).groupBy("chunk")
     done = rows.groupBy("chunk").cogroup(by_chunk).applyInArrow(judge, f"id {kind}, n_tokens long, target_loss double, background_loss double, score double")
     return done.withColumnRenamed("id", id_col)
 
