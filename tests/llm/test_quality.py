@@ -38,6 +38,10 @@ def test_lines():
     assert q.line_fails("word### other%%% third&&& fourth***") == "punctuation"
     assert q.line_fails("All rights reserved.") == "boilerplate"
     assert q.line_fails("Contact form") == "punctuation"
+    for line in ("» Read more", "Alle Rechte vorbehalten.", "© 2020 Tous droits réservés.", "Lea nuestra política de privacidad.", "Sign in"):
+        assert q.line_fails(line) == "boilerplate", line
+    for fine in ("Her design in oak won a prize.", "The blog in question is closed now.", "He will read more books this year.", "They read more.", "Das war die Anmeldung."):
+        assert q.line_fails(fine) == "", fine
     for fine in ("A plain sentence, as it should be.", "Die.", "", "   ", "A line that goes on without any end", "She said: \"Yes\"", "Costs are 5% lower (see p. 3).", "Wait... what?"):
         assert q.line_fails(fine) == "", fine
 

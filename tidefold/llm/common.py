@@ -20,10 +20,12 @@ def words_of(text: str | None) -> list[bytes]:
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or the context's checkpoint
-    folder; only where neither is set (tests on one machine) a temporary one is set."""
+    folder. Where neither is set a temporary one serves, but only on a local master; on a cluster that is an error."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tidefold-"))
         folder = context.getCheckpointDir()
     return folder.rstrip("/")

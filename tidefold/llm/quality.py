@@ -8,7 +8,7 @@ Lines are split at \\n; words are runs of anything but ASCII white space. A line
   ``min_open_words`` words.
 * navigation: at least ``min_separators`` words are lone separators (``|``, ``»``, ``›``, ``•``, ``·``, ``/``, ``>``) with at
   most ``max_entry_words`` words for each.
-* boilerplate: at most ``max_boilerplate_words`` words, with a phrase of BOILERPLATE.
+* boilerplate: at most ``max_boilerplate_words`` words, with a phrase of BOILERPLATE as whole words, or nothing but one of CALLS.
 
 Base rules: fewer than ``min_words`` words, or over half of the words in repeated three-word windows.
 
@@ -29,18 +29,23 @@ from pyspark.sql import DataFrame
 
 from tidefold.llm.common import bounded, map_rows, plain, words_of
 
-#: Phrases of page furniture, in lower case.
+#: Phrases of page furniture in English, German, French and Spanish, in lower case.
 BOILERPLATE = (
     "all rights reserved", "accept cookies", "click here", "cookie policy", "cookie settings", "enable javascript",
-    "javascript is disabled", "log in", "lorem ipsum", "privacy policy", "read more", "share this", "sign in", "sign up",
+    "javascript is disabled", "lorem ipsum", "log in to", "privacy policy", "share this", "sign in to", "sign up for",
     "skip to content", "subscribe to our", "terms of service", "terms of use", "this site uses cookies", "uses cookies", "we use cookies",
+    "alle rechte vorbehalten", "cookies akzeptieren", "cookie einstellungen", "datenschutzerklärung", "nutzungsbedingungen", "verwendet cookies", "zum inhalt springen",
+    "tous droits réservés", "accepter les cookies", "politique de confidentialité", "conditions d'utilisation", "utilise des cookies", "aller au contenu",
+    "todos los derechos reservados", "aceptar cookies", "política de privacidad", "condiciones de uso", "utiliza cookies", "saltar al contenido",
 )
+#: Short calls that are furniture only where a line holds nothing else.
+CALLS = ("log in", "read more", "sign in", "sign up", "anmelden", "weiterlesen", "se connecter", "lire la suite", "iniciar sesión", "leer más")
 SEPARATORS = frozenset(x.encode() for x in ("|", "»", "›", "•", "·", "/", ">"))
 #: Characters that may end a finished line.
 TERMINAL = tuple(".!?…:;\"'”’»)]}。！？")
 SYMBOLS = b"#*$%&|<>~^=_+@{}[]\\"
 CONTRACT_SYMBOLS = b"#*$%&|<>"
-_BOILERPLATE = re.compile("|".join(map(re.escape, BOILERPLATE)))
+_BOILERPLATE = re.compile(rf"(?:^|[\W_])(?:{'|'.join(map(re.escape, BOILERPLATE))})(?:[\W_]|$)|^[\W_]*(?:{'|'.join(map(re.escape, CALLS))})[\W_]*$")
 _REPEATED_MARK = re.compile(rb"([!?,;:])\1+")
 _SPACE = b" \t\n\r\x0b\x0c"
 

@@ -57,12 +57,12 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     says = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", says), (-7, 1, "assistant", says)], rows.schema)
     made = chat.format_chats(rows.unionByName(extra), "conv_id", "turn", "role", "text")
-    texts = made.select("conv_id", chat.formatted(F.col("segments")).alias("formatted"), chat.learnt(F.col("segments")).alias("learnt"))
+    texts = made.select("conv_id", "state", "valid", chat.formatted(F.col("segments")).alias("formatted"), chat.learnt(F.col("segments")).alias("learnt"))
     read = texts.withColumn("turns", chat.read_back(F.col("formatted")))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("learnt").cast("long").alias("loss_chars"),
-        F.sha2("learnt", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+        F.sha2("learnt", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "state", "valid",
     )
 
 
@@ -124,12 +124,16 @@ WITH rows AS (
   SELECT *, CASE role WHEN 'system' THEN 11 WHEN 'user' THEN 13 WHEN 'assistant' THEN 9 ELSE 20 + length(role) END
     + length(text) + len(regexp_extract_all(text, '[<\[]\\*(?:s>|/s>|SYS\]|/SYS\]|INST\]|/INST\]|ANS\]|ROLE\]|/ROLE\]|/TURN\])')) AS size
   FROM rows
+), numbered AS (
+  SELECT *, row_number() OVER w AS n, lag(role, 1, 'start') OVER w AS before FROM sized WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+), ordered AS (
+  SELECT *, before || '>' || role IN ('start>system', 'start>user', 'system>user', 'user>assistant', 'assistant>user') AS ok FROM numbered
 )
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(3 + sum(size) AS BIGINT) AS formatted_chars
-FROM sized GROUP BY conv_id
+  CAST(3 + sum(size) AS BIGINT) AS formatted_chars, CASE WHEN bool_and(ok) THEN arg_max(role, n) ELSE 'invalid' END AS state, bool_and(ok) AS valid
+FROM ordered GROUP BY conv_id
 """
 
 
@@ -161,7 +165,7 @@ FROM (SELECT *, [{", ".join(found)}] AS f FROM s{last})
 
 def _op9_sql() -> str:
     """The base figures by words and windows, the line rules by lines."""
-    from tidefold.llm.quality import BOILERPLATE, SEPARATORS, Rules
+    from tidefold.llm.quality import BOILERPLATE, CALLS, SEPARATORS, Rules
 
     r, word = Rules(), r"[^\x20\x09-\x0D]+"
     separators = ", ".join(f"'{x.decode()}'" for x in sorted(SEPARATORS))
@@ -175,7 +179,7 @@ sized AS (SELECT *, len(lw) AS n, list_sum(list_transform(lw, lambda x: strlen(x
   len(regexp_extract_all(l, '[#*$%&|<>~^=_+@{{}}\[\]\\]')) + length(l) - length(regexp_replace(l, '!!+|\?\?+|,,+|;;+|::+', '', 'g')) AS odd,
   row_number() OVER (PARTITION BY rid, l ORDER BY pos) > 1 AS dup FROM lines WHERE len(lw) > 0),
 judged AS (SELECT rid, n, dup, (seps >= {r.min_separators} AND n - seps <= {r.max_entry_words} * (seps + 1)) OR odd > {r.symbol_share} * solid
-  OR (n <= {r.max_boilerplate_words} AND regexp_matches(lower(l), '{"|".join(BOILERPLATE)}'))
+  OR (n <= {r.max_boilerplate_words} AND regexp_matches(lower(l), '(?:^|[^\p{{L}}\p{{N}}])(?:{"|".join(BOILERPLATE).replace("'", "''")})(?:[^\p{{L}}\p{{N}}]|$)|^[^\p{{L}}\p{{N}}]*(?:{"|".join(CALLS)})[^\p{{L}}\p{{N}}]*$'))
   OR (n < {r.min_open_words} AND NOT regexp_matches(l, '[.!?…:;"''”’»)\]}}。！？]\s*$')) AS bad FROM sized),
 by_doc AS (SELECT rid, CAST(count_if(dup) AS BIGINT) AS dups, CAST(coalesce(sum(n) FILTER (bad), 0) AS BIGINT) AS lost FROM judged GROUP BY rid),
 base AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
