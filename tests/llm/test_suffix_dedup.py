@@ -76,3 +76,27 @@ def test_cut_keeps_the_first_and_the_rest(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert sd.repeats(df).count() == 0 and sd.remove_repeats(df).count() == 0
+
+
+def test_text_ids(spark):
+    passage = " ".join(f"p{k}" for k in range(60))
+    docs = [("one", f"alpha {passage}"), ("two", f"{passage} beta"), (None, passage), ("three", "clean")]
+    made = {r.name: r.text for r in sd.remove_repeats(spark.createDataFrame(docs, "name string, text string"), "name", "text").collect()}
+    assert sorted(made[k].count("p1 ") for k in ("one", "two")) == [0, 1] and made["three"] == "clean" and made[None] == passage
+
+
+def test_equal_first_hashes_are_not_enough(spark, monkeypatch):
+    """With a first hash that takes all windows for equal, the second one still tells them apart."""
+    ranges = sd.Hashes.ranges
+    docs = [(k, " ".join(f"w{k}x{j}" for j in range(30))) for k in range(6)]
+    opened = spark.createDataFrame([(k, sd._tag(t), 0, 5) for k, t in docs], "doc long, tag long, lo int, hi int")
+    plain = spark.createDataFrame(docs, "doc long, text string")
+
+    class Blind(sd.Hashes):
+        def ranges(self, sums, start, end, which=0):
+            return ranges(self, sums, start, end, which) * (which > 0)
+
+    monkeypatch.setattr(sd, "Hashes", Blind)
+    assert sd.extended(plain, opened, 24).count() == 0
+    twice = spark.createDataFrame([*docs, (9, docs[0][1])], "doc long, text string")
+    assert sd.extended(twice, opened.union(spark.createDataFrame([(9, sd._tag(docs[0][1]), 0, 5)], opened.schema)), 24).count() == 12

@@ -2,7 +2,7 @@
 
 A passage of ``least`` words (50) that occurs again is found, whatever stands around it, and every occurrence but the
 first is marked. The result is exact: a word is marked as repeated if and only if some window of ``least`` words that
-holds it also occurs elsewhere (up to collisions of 64-bit hashes).
+holds it also occurs elsewhere. Passages are equal if 128 bits of hashes over their words are.
 
 1. Suffixes are kept at minimisers only: of each ``window`` (25) neighbouring five-word grams the one with the least hash
    (the first, if equal). The choice looks at the words alone, so both occurrences of a passage keep the same suffixes.
@@ -11,15 +11,18 @@ holds it also occurs elsewhere (up to collisions of 64-bit hashes).
 2. The kept suffixes are sorted by those 26 words' hash, then by the hash of all words their windows cover, over
    ranges that split even one very common suffix; neighbours are compared. A suffix unlike both its neighbours is unique.
    One that equals its neighbour over all its windows repeats as a whole.
-3. The others match in part: they are extended left and right. Their windows, at most 25 each, are compared one by
-   one; windows that stand at both ends of a range are among them, as their neighbours are not known.
+3. The others match in part: each match is extended word by word to the left and the right of its suffix, over the at most 25
+   windows that hold the suffix's head. An extension by one word is a window of its own, and its copies are met by grouping, so
+   that any other text counts, not only the two neighbours in the order. Suffixes at both ends of a range are among
+   these, as their neighbours are not known.
 4. Marked windows merge into spans of words.
 
 The first occurrence is the one with the least (id, text hash, position). Where passage and first occurrence overlap
 in one text (a word repeated on and on), only the words after the first occurrence are marked.
 
 Null ids, null texts and texts of fewer than ``least`` words take no part and stay as they are. Rows with equal id and
-text count as one document and are treated alike; rows with equal ids and different texts are different documents.
+text count as one document and are treated alike; rows with equal ids and different texts are different documents. Ids
+of other types than whole numbers stand under their 64-bit hashes, by which the first occurrence then goes.
 """
 
 from __future__ import annotations
@@ -31,16 +34,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidefold.llm.common import bounded, map_rows, plain, stored, words_of
 
 LEAST, WINDOW, GRAM = 50, 25, 5
 #: Kinds of suffixes; one that begins a run of equal ones may be open too.
 OPEN, BEGINS, WHOLE = 1, 2, 4
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Two odd multipliers: of the first hash of a range of words and of the second.
+_BASES = 0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1
 
 
 class Hashes:
@@ -59,25 +63,32 @@ class Hashes:
 
     def __init__(self) -> None:
         self.words = self._Words()
-        self.up, self.down = np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)
+        one = np.ones(1, dtype=np.uint64)
+        self.up, self.down = [one, one], [one, one]
 
     def powers(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
+        if len(self.up[0]) < n:
+            n = max(n, 2 * len(self.up[0]))
             with np.errstate(over="ignore"):
-                for name, base in (("up", _BASE), ("down", _INVERSE)):
-                    factors = np.full(n, base, dtype=np.uint64)
-                    factors[0] = 1
-                    setattr(self, name, np.cumprod(factors, dtype=np.uint64))
-
-    def sums(self, words: list[bytes]) -> np.ndarray:
-        n = len(words)
+                for k, base in enumerate(_BASES):
+                    for of, by in ((self.up, base), (self.down, pow(base, -1, 1 << 64))):
+                        factors = np.full(n, by, dtype=np.uint64)
+                        factors[0] = 1
+                        of[k] = np.cumprod(factors, dtype=np.uint64)
+
+    def own(self, words: list[bytes]) -> np.ndarray:
+        """A hash of each word."""
+        return np.fromiter(map(self.words.__getitem__, words), dtype=np.uint64, count=len(words))
+
+    def sums(self, own: np.ndarray, which: int = 0) -> np.ndarray:
+        n = len(own)
         self.powers(n + 1)
-        own = np.fromiter(map(self.words.__getitem__, words), dtype=np.uint64, count=n)
-        return np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(own * self.up[:n], dtype=np.uint64)))
+        if which:  # words that the first hash weighs alike, the second does not
+            own = (own ^ (own >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        return np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(own * self.up[which][:n], dtype=np.uint64)))
 
-    def ranges(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        x = (sums[end] - sums[start]) * self.down[start]
+    def ranges(self, sums: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+        x = (sums[end] - sums[start]) * self.down[which][start]
         x ^= x >> np.uint64(32)
         x *= np.uint64(0xD6E8FEB86659FD93)
         return x ^ (x >> np.uint64(29))
@@ -98,7 +109,13 @@ def kept_suffixes(sums: np.ndarray, n: int, of: Hashes, least: int, window: int,
 
 
 def _columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(plain(id_col)).cast("long").alias("doc"), F.col(plain(text_col)).alias("text")).filter("doc IS NOT NULL AND text IS NOT NULL")
+    return df.select(_number(df, id_col).alias("doc"), F.col(plain(text_col)).alias("text")).filter("doc IS NOT NULL AND text IS NOT NULL")
+
+
+def _number(df: DataFrame, id_col: str) -> Column:
+    """The id as a long: itself, or its hash if it is no whole number."""
+    key = F.col(plain(id_col))
+    return key.cast("long") if isinstance(df.schema[id_col].dataType, T.IntegralType) else F.when(key.isNotNull(), F.xxhash64(key))
 
 
 def _tag(text: str) -> int:
@@ -126,7 +143,7 @@ def suffixes(docs: DataFrame, least: int = LEAST, window: int = WINDOW, gram: in
                     n = len(words)
                     if n < least:
                         continue
-                    sums = of.sums(words)
+                    sums = of.sums(of.own(words))
                     pos, lo, hi = kept_suffixes(sums, n, of, least, window, gram)
                     key = of.ranges(sums, pos, pos + head)
                     whole = of.ranges(sums, lo, hi + least) + np.uint64(31) * (pos - lo).astype(np.uint64) + (hi - lo).astype(np.uint64)
@@ -229,19 +246,20 @@ def extended(docs: DataFrame, opened: DataFrame, least: int = LEAST) -> DataFram
             ranges = [(w["lo"], w["hi"]) for w in wanted if w["tag"] == tag]
             if ranges:
                 with np.errstate(over="ignore"):
-                    sums = of.sums(words_of(text))
+                    own = of.own(words_of(text))
                     starts = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in ranges]))
-                    found = of.ranges(sums, starts, starts + least).view(np.int64)
-                for start, value in zip(starts.tolist(), found.tolist()):
-                    yield value, doc, tag, start
+                    found = [of.ranges(of.sums(own, k), starts, starts + least, k).view(np.int64).tolist() for k in (0, 1)]
+                for start, value, more in zip(starts.tolist(), *found):
+                    yield value, more, doc, tag, start
 
         return windows
 
-    rows = map_rows(docs.join(wanted, "doc"), make, ["doc", "text", "wanted"], "win long, doc long, tag long, lo int", 50_000)
+    rows = map_rows(docs.join(wanted, "doc"), make, ["doc", "text", "wanted"], "win long, more long, doc long, tag long, lo int", 50_000)
     rows = stored(rows, "windows")
     place = F.struct("doc", "tag", "lo")
-    twice = rows.groupBy("win").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select("win", "first")
-    return rows.join(twice, "win").select(
+    window = ["win", "more"]
+    twice = rows.groupBy(window).agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select(*window, "first")
+    return rows.join(twice, window).select(
         "doc", "tag", "lo", F.col("lo").alias("hi"),
         F.col("first.doc").alias("first_doc"), F.col("first.tag").alias("first_tag"), F.col("first.lo").cast("long").alias("first_lo"),
     )
@@ -259,7 +277,7 @@ def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, window: int = WINDOW) -> DataFrame:
-    """One row for each document that shares a passage: doc, tag (its text's hash), ``again`` (spans of words, from and
+    """One row for each document that shares a passage: doc (the id, or its hash if it is no whole number), tag (its text's hash), ``again`` (spans of words, from and
     to, that occur earlier) and ``first`` (spans outside these that occur again later)."""
     docs = _columns(df, id_col, text_col)
     found = stored(compared(stored(suffixes(docs, least, window), "suffixes")), "repeats")
@@ -340,7 +358,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pd.Series(out, dtype=object)
 
     columns = [plain(c) for c in df.columns]
-    joined = df.join(found, F.col(plain(id_col)).cast("long") == F.col("__doc"), "left")
+    joined = df.join(found, _number(df, id_col) == F.col("__doc"), "left")
     changed = joined.withColumn("__new", F.when(F.col("__cuts").isNull(), F.col(plain(text_col))).otherwise(cut(plain(text_col), "__cuts")))
     left = changed.filter(F.col("__cuts").isNull() | F.col("__new").rlike(r"[^\x20\x09-\x0D]"))
     return left.withColumn(text_col, F.col("__new")).select(*columns)
