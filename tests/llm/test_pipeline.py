@@ -23,7 +23,7 @@ def test_stages(spark, tmp_path):
         if k < 3:
             assert tables[-1].columns == docs.columns
     raw, cleaned, single, cut, packed = ([r.asDict() for r in t.collect()] for t in tables)
-    judged = {r["doc_id"]: quality.measure(r["text"]) for r in raw}
+    judged = {r["doc_id"]: quality.measure(r["text"], corpus_pipeline.RULES) for r in raw}
     assert {r["doc_id"]: r["text"] for r in cleaned} == {d: m.cleaned for d, m in judged.items() if m.kept}
     assert all(r["n_chars"] == len(r["text"]) for r in cleaned + cut)
     groups = slow_groups([(r["doc_id"], slow_fingerprint(r["text"])) for r in cleaned])

@@ -236,7 +236,8 @@ def compared(kept: DataFrame) -> DataFrame:
 
 def extended(docs: DataFrame, opened: DataFrame, least: int = LEAST) -> DataFrame:
     """The windows of open suffixes that occur twice or more: doc, tag, lo, and the first occurrence."""
-    wanted = opened.groupBy("doc").agg(F.collect_list(F.struct("tag", "lo", "hi")).alias("wanted"))
+    # merge joins at every size: what is joined to the documents grows with them
+    wanted = opened.groupBy("doc").agg(F.collect_list(F.struct("tag", "lo", "hi")).alias("wanted")).hint("merge")
 
     def make():
         of = Hashes()
@@ -259,7 +260,7 @@ def extended(docs: DataFrame, opened: DataFrame, least: int = LEAST) -> DataFram
     place = F.struct("doc", "tag", "lo")
     window = ["win", "more"]
     twice = rows.groupBy(window).agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last").select(*window, "first")
-    return rows.join(twice, window).select(
+    return rows.join(twice.hint("merge"), window).select(
         "doc", "tag", "lo", F.col("lo").alias("hi"),
         F.col("first.doc").alias("first_doc"), F.col("first.tag").alias("first_tag"), F.col("first.lo").cast("long").alias("first_lo"),
     )
@@ -358,7 +359,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pd.Series(out, dtype=object)
 
     columns = [plain(c) for c in df.columns]
-    joined = df.join(found, _number(df, id_col) == F.col("__doc"), "left")
+    joined = df.join(found.hint("merge"), _number(df, id_col) == F.col("__doc"), "left")
     changed = joined.withColumn("__new", F.when(F.col("__cuts").isNull(), F.col(plain(text_col))).otherwise(cut(plain(text_col), "__cuts")))
     left = changed.filter(F.col("__cuts").isNull() | F.col("__new").rlike(r"[^\x20\x09-\x0D]"))
     return left.withColumn(text_col, F.col("__new")).select(*columns)
