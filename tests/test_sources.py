@@ -28,8 +28,13 @@ def test_archive(spark, tmp_path):
     root = str(tmp_path / "raw")
     assert [r.written for r in blobs.store(df, root).collect()] == [True] * 3
     assert [r.written for r in blobs.store(df, root).collect()] == [False] * 3
-    read = blobs.read_bodies(spark, root, 1000)
-    assert {r.sha256: bytes(r.content) for r in read.collect()} == {hashlib.sha256(d).hexdigest(): d for d in data if 0 < len(d) <= 1000}
+    (tmp_path / "raw/none.dat").touch()
+    (tmp_path / "raw/ab").mkdir(exist_ok=True)
+    (tmp_path / "raw/ab/none.dat").touch()
+    read = blobs.read_bodies(spark, root, 1000).collect()
+    assert sorted((r.sha256, bytes(r.content)) for r in read if r.code == "ok") == sorted([(hashlib.sha256(d).hexdigest(), d) for d in data if len(d) <= 1000] + [(hashlib.sha256(b"").hexdigest(), b"")] * 2)
+    large = [r for r in read if r.code != "ok"]
+    assert [(r.code, r.size_bytes, r.sha256, r.content) for r in large] == [("file_too_large", 150_000, None, None)] and len({r.path.rsplit(":")[0] for r in read}) == 1
     assert {r.path for r in blobs.stored_paths(spark, root).collect()} == {p for p, _ in rows}
     parts = blobs.chunks(df.select(F.sha2("content", 256).alias("sha256"), "content")).orderBy("sha256", "index").collect()
     for d in data:

@@ -5,7 +5,7 @@ import time
 from datetime import datetime
 
 from tidefold.schemas import schema
-from tidefold.sources.versions import read_version
+from tidefold.sources.versions import read_batches
 from tidefold.streaming import codes, heartbeats, uploads
 
 UPLOADS = "seq int, content binary, content_type string, original_filename string, user_id int, agent_registration_id string, uploaded_at timestamp"
@@ -24,10 +24,19 @@ def test_uploads_announce_new_contents_once(spark, tmp_path):
         if more:
             spark.createDataFrame([(9, more, "decklist", None, 9, "a", NOW)], UPLOADS).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(UPLOADS).option("maxFilesPerTrigger", 1).parquet(source)
-        query = uploads.ingest_stream(stream, str(tmp_path / "t"), str(tmp_path / "c"), str(tmp_path / "e"))
+        query = uploads.ingest_stream(stream, str(tmp_path / "t"), str(tmp_path / "c"), str(tmp_path / "e"), str(tmp_path / "raw"))
         assert query.awaitTermination(120)
-    assert read_version(spark, str(tmp_path / "t"), "uploads").count() == 4 and read_version(spark, str(tmp_path / "t"), "files").count() == 2
-    said = [json.loads(r.payload) for r in spark.read.json(str(tmp_path / "e")).collect()]
+    tables = lambda: [sorted(map(tuple, read_batches(spark, str(tmp_path / "t"), n).collect()), key=str) for n in ("uploads", "files")]
+    events = lambda: sorted(r.payload for r in spark.read.json(str(tmp_path / "e")).collect())
+    before = tables(), events()
+    assert [len(x) for x in before[0]] == [4, 2] and sorted(x.read_bytes() for x in (tmp_path / "raw").glob("*/*/*.dat")) == [b"one", b"two"]
+    # the last batch runs again, as after a failure before its commit
+    last = max((tmp_path / "c/commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    for p in (last, last.with_name(f".{last.name}.crc")):
+        p.unlink(missing_ok=True)
+    assert uploads.ingest_stream(stream, str(tmp_path / "t"), str(tmp_path / "c"), str(tmp_path / "e"), str(tmp_path / "raw")).awaitTermination(120)
+    assert (tables(), events()) == before
+    said = [json.loads(p) for p in events()]
     assert sorted(x["user_id"] for x in said) in ([0, 2], [1, 2]) and all(x["content_type"] == "match-log" for x in said)
 
 
@@ -47,7 +56,9 @@ def test_codes(spark, tmp_path):
     batches = [
         [("A", "mint", "7", 1, at(0)), ("B", "mint", "8", 2, at(0)), ("C", "mint", "x", 3, at(0)), ("A", "consume", None, 4, at(1)), ("A", "consume", None, 5, at(1)), ("Z", "consume", None, 6, at(1))],
         [("B", "consume", None, 7, at(600)), ("C", "consume", None, 8, at(10)), ("A", "consume", None, 9, at(10)), ("D", "mint", "9", 10, at(700))],
-        [("D", "consume", None, 11, at(1299)), ("C", "consume", None, 12, at(11))],
+        [("D", "consume", None, 11, at(1299)), ("C", "consume", None, 12, at(11)), ("F", "mint", "1", 13, at(5))],
+        [("G", "mint", "1", 14, at(200_000))],
+        [("G", "mint", "1", 15, at(200_001))],
     ]
     source = str(tmp_path / "in")
     for rows in batches:
@@ -56,6 +67,8 @@ def test_codes(spark, tmp_path):
     stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(source)
     query = codes.consumed(stream).writeStream.format("memory").queryName("codes").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
     assert query.awaitTermination(120)
+    # F, which nobody consumed, went when the watermark passed its end; G is there
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
     assert {s: u for _, s, u in rows_of(spark, "codes")} == {4: 7, 5: None, 6: None, 7: None, 8: None, 9: None, 11: 9, 12: None}
 
 

@@ -219,7 +219,25 @@ def test_rules(spark):
     assert {(r.rule, r.value) for r in repeated_keys(users(spark, (1, "A@x", "user", False), (2, "a@X", "user", False)), "users").collect()} == {("lower(email)", "a@x")}
 
 
-def test_commands_without_a_token_are_no_group(spark):
-    rows = [(k, None) for k in range(50)] + [(50, "a"), (51, "a"), (52, "n3")]
-    df = spark.createDataFrame(rows, "seq long, token_hash string")
-    assert df.groupBy(M.apart("token_hash")).count().count() == 52
+def test_arrival_numbers_far_apart(spark):
+    df = spark.createDataFrame([(k * 10**12,) for k in range(500)] + [(7,)], "seq long")
+    got = sorted((r.seq, r.number) for r in M.numbered(df, M.arrival(df), "seq").collect())
+    assert [n for _, n in got] == list(range(1, 502)) and df.select(M.arrival(df)).distinct().count() == 1
+
+
+def test_registrations_in_chains(spark):
+    """Commands that race for addresses and tokens at once, against one after the other."""
+    import random
+
+    rng = random.Random(4)
+    i = invites(spark, *((f"i{k}", f"t{k}", NOW, NOW + DAY, None) for k in range(12)))
+    asks = [(s, f"e{rng.randrange(14)}@x.com", rng.choice([5, 20, 20, 20]), f"t{rng.randrange(15)}") for s in range(60)]
+    commands = spark.createDataFrame([(s, e, n, "h", t) for s, e, n, t in asks], "seq int, email string, password_length int, password_hash string, token string")
+    settings = M.seed_setting(spark.createDataFrame([], schema("settings")), NOW).tables["table"]
+    used, taken, want = set(), set(), {}
+    for s, e, n, t in asks:
+        want[s] = "weak_password" if n < 12 else "invalid_invite_token" if int(t[1:]) > 11 or t in used else "email_already_taken" if e in taken else "ok"
+        if want[s] == "ok":
+            used.add(t)
+            taken.add(e)
+    assert by(M.register(users(spark, *BASE), i, settings, commands, NOW).outcomes, "seq", "code") == want

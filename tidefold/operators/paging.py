@@ -18,11 +18,19 @@ def page_offset(page: int, per_page: int = DEFAULT) -> int:
 
 
 def page(df: DataFrame, *order: str | Column, limit: int = DEFAULT, offset: int = 0) -> DataFrame:
-    """Rows ``offset`` to ``offset + limit`` in the order: each partition keeps that many rows at most before they meet."""
+    """Rows ``offset`` to ``offset + limit`` in the order: each partition keeps that many rows at most before they meet. Deep pages (see
+    ``session.SETTINGS``) are sorted over ranges; ``after`` pages by key instead and costs the same at any depth."""
     check_limits(limit=(limit, 1, MOST), offset=(offset, 0, 1 << 40))
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def after(df: DataFrame, last: dict[str, object], limit: int = DEFAULT) -> DataFrame:
+    """The page behind the row whose ordering columns (ascending, the last one a key, none null) have the values ``last``; without values, the first page."""
+    check_limits(limit=(limit, 1, MOST))
+    behind = F.struct(*last) > F.struct(*map(F.lit, last.values())) if all(v is not None for v in last.values()) else F.lit(True)
+    return df.filter(behind).orderBy(*last).limit(limit)
+
+
 def newest(df: DataFrame, at: str, key: str, limit: int = DEFAULT, offset: int = 0) -> DataFrame:
     """By ``at``, the latest first; ties by key, the largest first. Null moments come first, as in the service's database."""
     return page(df, F.desc_nulls_first(at), F.desc(key), limit=limit, offset=offset)

@@ -72,9 +72,12 @@ def numbered(df: DataFrame, bucket: Column, *order: str, name: str = "number") -
     return inside.join(counts.select(F.col("__bucket").alias("__b"), "__before"), F.col("__bucket").eqNullSafe(F.col("__b"))).withColumn(name, F.col(name) + F.col("__before")).drop("__bucket", "__b", "__before")
 
 
-def arrival(seq: str = "seq") -> Column:
-    """A bucket for each 65,536 arrival numbers."""
-    return F.floor(F.col(seq) / 65_536)
+def arrival(df: DataFrame, seq: str = "seq") -> Column:
+    """Buckets of about 65,536 rows, if arrival numbers are spread evenly between the least and the largest."""
+    low, high, many = df.agg(F.min(seq), F.max(seq), F.count(F.lit(1))).first()
+    if not many or low is None:
+        return F.lit(0)
+    return F.floor((F.col(seq) - low) / ((int(high) - int(low)) // (many // 65_536 + 1) + 1))
 
 
 def _user(users: DataFrame, user_id: int):
@@ -266,9 +269,12 @@ def seed_setting(settings: DataFrame, as_of: Moment, key: str = "registration_mo
     return insert_or_ignore(settings, _one(settings, "settings", key=key, value=value, updated_at=moment(as_of)), "key")
 
 
-def apart(key: str) -> Column:
-    """What commands are dealt by: their key, or without one their own number, so that those without a key are no group."""
-    return F.coalesce(F.concat(F.lit("k"), key), F.concat(F.lit("n"), F.col("seq").cast("string")))
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut, where the session has a checkpoint folder; else cached."""
+    context, folder = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder and not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return df.checkpoint() if context.getCheckpointDir() else df.cache()
 
 
 def register(users: DataFrame, invites: DataFrame, settings: DataFrame, commands: DataFrame, as_of: Moment, min_password: int = 12, rounds: int = 1000) -> Change:
@@ -287,30 +293,39 @@ def register(users: DataFrame, invites: DataFrame, settings: DataFrame, commands
         .when(F.col("token_hash").isNotNull() & F.col("invite_id").isNull(), "invalid_invite_token")
         .when(F.col("__email").isNotNull(), "email_already_exists")
     )
-    c = c.withColumn("code", code).drop("__token", "__email")
+    c = _kept(c.withColumn("code", code).drop("__token", "__email"))
+    settled, left = [c.filter("code IS NOT NULL")], c.filter("code IS NULL")
     for _ in range(rounds):  # a round settles the earliest command of every address and token
-        left = F.col("code").isNull()
-        by_email, by_token = (Window.partitionBy(apart(k), left).orderBy("seq") for k in ("email", "token_hash"))
-        free = left & (F.row_number().over(by_email) == 1) & (F.col("token_hash").isNull() | (F.row_number().over(by_token) == 1))
-        c = c.withColumn("__free", free).withColumn("code", F.when(F.col("__free"), "ok").otherwise(F.col("code"))).drop("__free")
-        won = F.col("code") == "ok"
-        lost_token = F.max(won).over(Window.partitionBy(apart("token_hash"))) & F.col("token_hash").isNotNull()
-        lost_email = F.max(won).over(Window.partitionBy(apart("email")))
-        c = c.withColumn("__t", F.coalesce(lost_token, F.lit(False))).withColumn("__e", F.coalesce(lost_email, F.lit(False)))
-        c = c.withColumn("code", F.when(F.col("code").isNull() & F.col("__t"), "invalid_invite_token").when(F.col("code").isNull() & F.col("__e"), "email_already_taken").otherwise(F.col("code"))).drop("__t", "__e")
-        c = c.checkpoint() if c.sparkSession.sparkContext.getCheckpointDir() else c.cache()
-        if c.filter("code IS NULL").isEmpty():
+        if left.isEmpty():
             break
+        # the earliest of each key, pre-aggregated; commands without a token have no group
+        firsts = {k: left.filter(F.col(k).isNotNull()).groupBy(F.col(k).alias(f"__{k}")).agg(F.min("seq").alias(f"__first_{k}")) for k in ("email", "token_hash")}
+        for k, first in firsts.items():
+            left = left.join(first, F.col(k) == F.col(f"__{k}"), "left").drop(f"__{k}")
+        wins = (F.col("seq") == F.col("__first_email")) & (F.col("token_hash").isNull() | (F.col("seq") == F.col("__first_token_hash")))
+        left = _kept(left.withColumn("code", F.when(wins, "ok")).drop("__first_email", "__first_token_hash"))
+        won, rest = left.filter("code = 'ok'"), left.filter("code IS NULL")
+        for k in firsts:
+            rest = rest.join(won.select(F.col(k).alias(f"__{k}")).filter(F.col(f"__{k}").isNotNull()), F.col(k) == F.col(f"__{k}"), "left")
+        lost = F.when(F.col("__token_hash").isNotNull(), "invalid_invite_token").when(F.col("__email").isNotNull(), "email_already_taken")
+        rest = _kept(rest.withColumn("code", lost).drop("__email", "__token_hash"))
+        settled += [won, rest.filter("code IS NOT NULL")]
+        left = rest.filter("code IS NULL")
     else:
         raise RuntimeError("registrations did not settle")
+    c = unioned(settled)
     won = c.filter("code = 'ok'")
+    # a token comes before an address: who would have come too late for both hears of the token
+    used = won.filter("token_hash IS NOT NULL").select(F.col("token_hash").alias("__token"), F.col("seq").alias("__used"))
+    late = F.col("code").isin("email_already_exists", "email_already_taken") & (F.col("__used") < F.col("seq"))
+    outcomes = c.join(used, F.col("token_hash") == F.col("__token"), "left").select("seq", F.when(late, "invalid_invite_token").otherwise(F.col("code")).alias("code"))
     first = _next(users)
-    placed = numbered(won, arrival(), "seq").withColumn("id", F.col("number") + (first - 1))
+    placed = numbered(won, arrival(won), "seq").withColumn("id", F.col("number") + (first - 1))
     now = moment(as_of)
     new = placed.select("id", "email", "password_hash", F.lit("user").alias("role"), F.lit(False).alias("must_change_password"), F.lit(False).alias("disabled"), now.alias("created_at"), now.alias("updated_at"))
     used = placed.filter("invite_id IS NOT NULL").select(F.col("invite_id").alias("__invite"), F.col("id").alias("__user"))
     stamped = changed(invites.join(used, F.col("id") == F.col("__invite"), "left"), F.col("__invite").isNotNull(), used_at=now, used_by_user_id=F.col("__user")).drop("__invite", "__user")
-    return Change({"users": appended(users, new), "invites": stamped}, c.select("seq", "code"))
+    return Change({"users": appended(users, new), "invites": stamped}, outcomes)
 
 
 # --- agents ---------------------------------------------------------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -16,6 +17,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # beyond so many rows a page is sorted over ranges instead of being held by every task
+    "spark.sql.execution.topKSortFallbackThreshold": "100000",
 }
 
 
@@ -29,6 +32,21 @@ def get_spark(app: str = "tidefold", master: str | None = None, **more: str) ->
     return builder.getOrCreate()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, under ``spark.checkpoint.dir`` or the context's checkpoint folder; it goes when the driver
+    ends. Only a local master may do without either."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tidefold-")
+    path = f"{base.rstrip('/')}/{context.applicationId}/{name}-{uuid.uuid4().hex}"
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once a context, so that Python workers can import it wherever they run."""
     context = spark.sparkContext

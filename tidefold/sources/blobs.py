@@ -15,11 +15,40 @@ from tidefold.operators.uploads import MAX_BYTES
 CHUNK = 65_536
 
 
+def _system(root: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (pafs.LocalFileSystem(), root)
+
+
 def read_bodies(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """``path``, ``modified_at``, ``size_bytes``, ``sha256``, ``content`` of files up to a size; larger ones are not even opened, and
-    Spark passes over empty ones."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).filter(F.col("length") <= max_bytes)
-    return files.select("path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("size_bytes"), X.sha256_hex("content").alias("sha256"), "content")
+    """``path``, ``modified_at``, ``size_bytes``, ``sha256``, ``content``, ``code`` of all files. Larger ones than ``max_bytes`` are not opened: their code is
+    ``file_too_large``, their hash and content are null."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    about = ["path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("size_bytes")]
+    read = files.filter(F.col("length") <= max_bytes).select(*about, X.sha256_hex("content").alias("sha256"), "content", F.lit("ok").alias("code"))
+    large = files.filter(F.col("length") > max_bytes).select(*about, F.lit(None).cast("string"), F.lit(None).cast("binary"), F.lit("file_too_large"))
+    return read.union(large).union(_empty_files(spark, path))
+
+
+def _empty_files(spark: SparkSession, path: str) -> DataFrame:
+    """Files without content, over which Spark's reader passes: each folder below ``path`` is listed by its own task."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    top = fs.makeQualified(root).toString()
+    folders = [(x.getPath().toString(), True) for x in fs.listStatus(root) if x.isDirectory()] + [(top, False)]
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for folder, deep in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                system, base = _system(folder)
+                found += [(x.path, x.mtime) for x in system.get_file_info(pafs.FileSelector(base, recursive=deep)) if x.is_file and not x.size and not x.base_name.startswith(("_", "."))]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([m for _, m in found], pa.timestamp("us", "UTC"))], names=["path", "modified_at"])
+
+    listed = spark.createDataFrame(folders, "folder string, deep boolean").repartition("folder").mapInArrow(look, "path string, modified_at timestamp")
+    scheme = F.lit(top.split(":")[0] + ":")
+    body = F.lit(b"")
+    return listed.select(F.concat(scheme, "path"), "modified_at", F.lit(0).cast("long"), F.sha2(body, 256), body, F.lit("ok"))
 
 
 def stored_paths(spark: SparkSession, root: str) -> DataFrame:
@@ -33,7 +62,7 @@ def store(blobs: DataFrame, root: str) -> DataFrame:
     repeated task does no harm. Gives ``path`` and ``written`` (false: it was there); nothing happens before an action."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pafs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (pafs.LocalFileSystem(), root)
+        fs, base = _system(root)
         for batch in batches:
             done = []
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):

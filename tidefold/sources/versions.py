@@ -1,4 +1,5 @@
-"""Tables as versions: every change writes a new folder and then names it, so that no plan reads what it overwrites."""
+"""Tables as versions: every change writes a new folder and then names it, so that no plan reads what it overwrites. What streams only add to
+is kept as one folder for each micro-batch instead."""
 
 from __future__ import annotations
 
@@ -31,6 +32,22 @@ def read_version(spark: SparkSession, root: str, name: str, version: int | None
     return spark.read.schema(schema(name)).parquet(f"{root}/{name}/v{have[-1] if version is None else version:08d}")
 
 
+def write_batch(df: DataFrame, root: str, name: str, stream: str, number: int) -> None:
+    """Write what micro-batch ``number`` of a stream adds to a table; written again, it replaces what it wrote before."""
+    columns = [F.col(f.name).cast(f.dataType) for f in schema(name)]
+    df.select(*columns).write.mode("overwrite").parquet(f"{root}/{name}/b-{stream}-{number:012d}")
+
+
+def read_batches(spark: SparkSession, root: str, name: str, stream: str = "", before: int | None = None) -> DataFrame:
+    """All finished batches of a table; with ``before``, of ``stream`` only those with lower numbers, so that a batch that runs again sees what
+    it saw the first time."""
+    fs, p, path = _files(spark, f"{root}/{name}")
+    found = [x.getPath() for x in fs.listStatus(p) if x.isDirectory() and x.getPath().getName().startswith("b-")] if fs.exists(p) else []
+    mine = f"b-{stream}-"
+    wanted = [str(x) for x in found if fs.exists(path(x, "_SUCCESS")) and (before is None or not x.getName().startswith(mine) or int(x.getName()[len(mine) :]) < before)]
+    return spark.read.schema(schema(name)).parquet(*wanted) if wanted else spark.createDataFrame([], schema(name))
+
+
 def write_version(df: DataFrame, root: str, name: str) -> int:
     """Write the next version; gives its number. One writer a table."""
     spark = df.sparkSession

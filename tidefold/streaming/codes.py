@@ -2,7 +2,8 @@
 
 A stateful operator by code. The session needs the RocksDB state store. Commands are rows ``code``, ``kind`` (``mint`` or ``consume``), ``user_id`` (text, of a mint), ``seq``, ``at``. Within
 a batch they take effect by ``seq``, so of two that consume one code exactly one wins. Minting creates state and consuming only clears it: a code that has
-expired or is used cannot come back by a replayed consume.
+expired or is used cannot come back by a replayed consume. Codes that nobody consumes go by a timer once the watermark has passed their end, so that
+the state holds what can still be consumed; commands later than the watermark's delay are dropped.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ class CodeStore(StatefulProcessor):
         self.ttl = ttl_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.value = handle.getValueState("code", "user_id string, expires double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -49,13 +51,20 @@ class CodeStore(StatefulProcessor):
             self.value.clear()
         else:
             self.value.update(state)
+            self.handle.registerTimer(int(state[1] * 1000))
         columns = zip(*out) if out else ((), (), ())
         yield pd.DataFrame({c: pd.Series(list(v), dtype=object) for c, v in zip(("code", "seq", "user_id"), columns)})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        # a code minted again has a later end and a timer of its own
+        if self.value.exists() and self.value.get()[1] * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+            self.value.clear()
+        yield pd.DataFrame({c: pd.Series([], dtype=object) for c in ("code", "seq", "user_id")})
+
     def close(self) -> None:
         pass
 
 
-def consumed(commands: DataFrame, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
+def consumed(commands: DataFrame, ttl_seconds: int = TTL_SECONDS, delay: str = "1 day") -> DataFrame:
     """One row for each consume: ``code``, ``seq``, ``user_id`` (null: no such code, used, or expired)."""
-    return commands.groupBy("code").transformWithStateInPandas(CodeStore(ttl_seconds), outputStructType="code string, seq long, user_id int", outputMode="append", timeMode="None")
+    return commands.withWatermark("at", delay).groupBy("code").transformWithStateInPandas(CodeStore(ttl_seconds), outputStructType="code string, seq long, user_id int", outputMode="append", timeMode="eventTime")

@@ -1,30 +1,38 @@
 """Upload events: each new content is announced once.
 
-Delivery is at least once: a batch that is run again after a failure announces again, under the same hash and batch number, and the sink writes
-each batch to a folder of its own number, so that a repeat overwrites what it wrote. The service itself may lose events; this may not.
+Delivery is at least once: a batch that is run again after a failure is computed against the tables as they were before it and replaces what it
+wrote, so that files and uploads are the same and its events are announced again, under the same hash and batch number. The service itself may
+lose events; this may not.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidefold.operators.uploads import upload
-from tidefold.sources.versions import read_version, write_version
+from tidefold.sources.blobs import store
+from tidefold.sources.versions import read_batches, write_batch
 
 
-def ingest_stream(uploads: DataFrame, root: str, checkpoint: str, events_path: str) -> StreamingQuery:
-    """Run M20 over a stream of uploads (the columns of ``operators.uploads.upload``'s batch): every micro-batch appends to the versioned tables ``files`` and
-    ``uploads`` under ``root`` and writes its events to ``events_path``."""
+def ingest_stream(uploads: DataFrame, root: str, checkpoint: str, events_path: str, archive: str | None = None) -> StreamingQuery:
+    """Run M20 over a stream of uploads (the columns of ``operators.uploads.upload``'s batch): every micro-batch adds to the tables ``files`` and ``uploads``
+    under ``root`` (``sources.versions.read_batches``), stores new contents under ``archive`` if that is given, and last writes its events to ``events_path``."""
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch.persist()
-        change = upload(read_version(spark, root, "files"), read_version(spark, root, "uploads"), batch)
-        change.tables["events"].write.mode("overwrite").json(f"{events_path}/batch={number}")
-        write_version(change.tables["files"], root, "files")
-        write_version(change.tables["uploads"], root, "uploads")
+        have = [read_batches(spark, root, name, stream, number) for name in ("files", "uploads")]
+        change = upload(*have, batch)
+        if archive is not None:
+            store(change.tables["blobs"], archive).write.format("noop").mode("overwrite").save()
+        write_batch(change.tables["new_files"], root, "files", stream, number)
+        write_batch(change.tables["new_uploads"], root, "uploads", stream, number)
+        change.tables["events"].write.mode("overwrite").json(f"{events_path}/stream={stream}/batch={number}")
         batch.unpersist()
 
     return uploads.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
