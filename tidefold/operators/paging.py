@@ -27,7 +27,7 @@ def page(df: DataFrame, *order: str | Column, limit: int = DEFAULT, offset: int
 def after(df: DataFrame, last: dict[str, object], limit: int = DEFAULT) -> DataFrame:
     """The page behind the row whose ordering columns (ascending, the last one a key, none null) have the values ``last``; without values, the first page."""
     check_limits(limit=(limit, 1, MOST))
-    behind = F.struct(*last) > F.struct(*map(F.lit, last.values())) if all(v is not None for v in last.values()) else F.lit(True)
+    behind = F.struct(*last) > F.struct(*(F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in last.items())) if all(v is not None for v in last.values()) else F.lit(True)
     return df.filter(behind).orderBy(*last).limit(limit)
 
 
