@@ -48,9 +48,9 @@ BLOCK = 64
 class Settings:
     k: int = 20
     dims: int = 6
-    probability: float = 0.5
+    probability: float = 0.3
     cell: int = 8192
-    leaf: int = 64
+    leaf: int = 256
     pack: int = 2048
     sample: int = 65_536
     seed: int = 7
