@@ -65,3 +65,51 @@ def test_wrapped(spark):
     df = spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "doc_id long, text string")
     got = {r.doc_id: (r.licenses, r.n_unmatched) for r in licenses.scan(df).collect()}
     assert got == {k: c[1:] for k, c in enumerate(cases)}
+
+
+def test_bodies_and_lines_above(spark):
+    apache = """   Copyright 2020 Some One
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License."""
+    gpl2 = """ * frobnicate - does things
+ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details."""
+    gpl3 = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+
+  The GNU General Public License is a free, copyleft license for
+software and other kinds of works."""
+    hidden = "My fine project, by me\nPermission is hereby granted, free of charge, to any person obtaining a copy\n" + """of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+    mpl = "Mozilla Public License Version 2.0\n==================================\n\n2.1. Grants\n\nEach Contributor hereby grants You a world-wide, royalty-free,\nnon-exclusive license:\n"
+    plain = "No licence here.\n" + "just words without an end\n" * 3000 + "The MIT Licence is not meant."
+    texts = {"apache": apache, "gpl2": gpl2, "gpl3": gpl3, "hidden": hidden, "mpl": mpl, "plain": plain}
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(texts.items()), "doc_id string, text string")).collect()}
+    assert {k: r.licenses for k, r in got.items()} == {"apache": ["Apache-2.0"], "gpl2": ["GPL-2.0-or-later"], "gpl3": ["GPL-3.0"], "hidden": ["MIT"], "mpl": ["MPL-2.0"]}
+    assert "apache-see" in got["apache"].sentence_ids and "gpl-details" in got["gpl2"].sentence_ids

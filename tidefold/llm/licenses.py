@@ -3,7 +3,8 @@
 1. A text is split into sentences: at line ends, and after ``.``, ``!``, ``?`` or ``;`` before white space. A line end inside a
    wrapped sentence does not count: lines that are no known sentence by themselves are joined up to the next known line, line
    without a letter or digit, list mark, ``:`` at a line's end, or end of a sentence. What marks a line as a comment is no letter or
-   digit and goes in step 2. A line of other words directly above a wrapped sentence, without a blank line between, hides it.
+   digit and goes in step 2. Where lines joined in this way are no known sentence, the last of them may be: leading lines drop out
+   one by one, so that a line of other words above a wrapped sentence does not hide it. No known sentence has more lines than words.
 2. A sentence is normalised: lower case, everything but letters and digits to one space, trimmed; a sentence that begins with
    ``copyright`` and a year, or with ``copyright c``, becomes ``copyright holder``.
 3. Known sentences map to identifiers; the others drop out.
@@ -68,6 +69,40 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "cc-by-nc-sa-notice": ("Licensed under CC BY-NC-SA 4.0.", "This work is licensed under CC BY-NC-SA 4.0."),
     "cc-by-nc-nd-notice": ("Licensed under CC BY-NC-ND 4.0.", "This work is licensed under CC BY-NC-ND 4.0."),
     "unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "unlicense-dedicate": ("In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain.",),
+    "bsd-as-is": (
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    ),
+    "apache-title": ("Apache License",),
+    "apache-as-is": ("Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",),
+    "apache-see": ("See the License for the specific language governing permissions and limitations under the License.",),
+    "apache-copyright": (
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form.",
+    ),
+    "gpl-copy": ("Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed.",),
+    "gpl-title": ("GNU GENERAL PUBLIC LICENSE",),
+    "gpl3-body": ("The GNU General Public License is a free, copyleft license for software and other kinds of works.",),
+    "gpl2-body": ("The licenses for most software are designed to take away your freedom to share and change it.",),
+    "gpl-redistribute": ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation;",),
+    "gpl2-or-later": ("either version 2 of the License, or (at your option) any later version.",),
+    "gpl-without": ("This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",),
+    "gpl-implied": ("without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",),
+    "gpl-details": ("See the GNU General Public License for more details.",),
+    "gpl-received": ("You should have received a copy of the GNU General Public License along with this program.",),
+    "lgpl-title": ("GNU LESSER GENERAL PUBLIC LICENSE",),
+    "lgpl3-body": ("This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below.",),
+    "lgpl3-free": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
+    "lgpl-redistribute": ("you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation;",),
+    "lgpl21-or-later": ("either version 2.1 of the License, or (at your option) any later version.",),
+    "agpl-title": ("GNU AFFERO GENERAL PUBLIC LICENSE",),
+    "agpl3-body": ("The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software.",),
+    "agpl3-free": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
+    "mpl-title": ("Mozilla Public License Version 2.0",),
+    "mpl-grant": ("Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license:",),
+    "cc0-rights": ("A Work made available under CC0 may be protected by copyright and related or neighboring rights (\"Copyright and Related Rights\").",),
+    "cc0-deed": (
+        "The person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law, including all related and neighboring rights, to the extent allowed by law.",
+    ),
 }
 
 #: Rules in order: a licence and the run of sentences that shows it; longer runs first.
@@ -76,9 +111,18 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", ("mit-title", "copyright", "mit-grant", "mit-condition", "as-is")),
     ("MIT", ("mit-grant", "mit-condition", "as-is")),
     ("ISC", ("copyright", "isc-grant", "as-is")),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
+    ("Apache-2.0", ("apache-notice", "apache-comply", "apache-copy", "apache-as-is", "apache-see")),
     ("Apache-2.0", ("apache-notice", "apache-comply", "apache-copy")),
+    ("GPL-3.0-or-later", ("gpl-free", "gpl-without", "gpl-implied", "gpl-details", "gpl-received")),
+    ("GPL-2.0-or-later", ("gpl-redistribute", "gpl2-or-later", "gpl-without", "gpl-implied", "gpl-details", "gpl-received")), ("GPL-2.0-or-later", ("gpl-redistribute", "gpl2-or-later")),
+    ("LGPL-2.1-or-later", ("lgpl-redistribute", "lgpl21-or-later")), ("LGPL-3.0-or-later", ("lgpl3-free",)), ("AGPL-3.0-or-later", ("agpl3-free",)),
+    ("GPL-3.0", ("gpl-title", "gpl-copy", "gpl3-body")), ("GPL-2.0", ("gpl-title", "gpl-copy", "gpl2-body")), ("LGPL-3.0", ("lgpl-title", "gpl-copy", "lgpl3-body")), ("AGPL-3.0", ("agpl-title", "gpl-copy", "agpl3-body")),
+    ("Apache-2.0", ("apache-title", "apache-copyright")), ("MPL-2.0", ("mpl-title", "mpl-grant")), ("Unlicense", ("unlicense", "unlicense-dedicate")),
+    ("GPL-3.0", ("gpl3-body",)), ("LGPL-3.0", ("lgpl3-body",)), ("AGPL-3.0", ("agpl3-body",)), ("Apache-2.0", ("apache-copyright",)), ("MPL-2.0", ("mpl-grant",)), ("CC0-1.0", ("cc0-rights",)), ("CC0-1.0", ("cc0-deed",)),
     ("MIT", ("mit-grant",)), ("ISC", ("isc-grant",)), ("Apache-2.0", ("apache-notice",)), ("MIT", ("mit-notice",)), ("MIT", ("mit-title",)), ("ISC", ("isc-notice",)),
     ("BSD-2-Clause", ("bsd2-notice",)), ("BSD-3-Clause", ("bsd3-notice",)),
     ("GPL-3.0-or-later", ("gpl-free",)), ("GPL-3.0", ("gpl3-notice",)), ("GPL-2.0", ("gpl2-notice",)), ("LGPL-3.0", ("lgpl3-notice",)), ("AGPL-3.0", ("agpl3-notice",)),
@@ -132,7 +176,19 @@ def sequence(text: Column, book: Rulebook = Rulebook()) -> Column:
     ids = F.create_map(*(F.lit(x) for pair in book.known.items() for x in pair))
     lines = F.transform(F.split(F.regexp_replace(F.regexp_replace(text, MARK, "\n\n"), END, "\n\n"), "\n"), _normal)
     apart = F.transform(lines, lambda s: F.when((s == "") | F.try_element_at(ids, s).isNotNull(), F.concat(F.lit("\n"), s, F.lit("\n"))).otherwise(s))
-    found = F.filter(F.transform(F.split(F.array_join(apart, " "), "\n"), lambda s: F.try_element_at(ids, _held(F.trim(s)))), lambda x: x.isNotNull())
+    most = max(text.count(" ") + 1 for text in book.known)
+
+    def sentence(joined: Column) -> Column:
+        """The identifier of lines joined by a mark, or of the most of the last of them that are known."""
+        text = F.trim(joined, F.lit("\x1f"))
+        parts = F.split(text, "\x1f")
+        n = F.size(parts)
+        last = F.transform(F.sequence(F.greatest(F.lit(2), n - most + 1), n), lambda k: F.try_element_at(ids, _held(F.array_join(F.slice(parts, k, n), " "))))
+        rest = F.when((n > 1) & text.rlike(some), F.try_element_at(F.filter(last, lambda x: x.isNotNull()), F.lit(1)))
+        return F.coalesce(F.try_element_at(ids, _held(F.replace(text, F.lit("\x1f"), F.lit(" ")))), rest)
+
+    some = "|".join(a.replace(" ", "[ \x1f]") for a in book.anchors)
+    found = F.filter(F.transform(F.split(F.array_join(apart, "\x1f"), "\n"), sentence), lambda x: x.isNotNull())
     empty = F.array().cast("array<string>")
     anchors = "|".join(a.replace(" ", OTHER) for a in book.anchors)
     return F.when(F.lower(text).rlike(anchors), found).otherwise(empty)
