@@ -86,3 +86,44 @@ def test_keep_one_of_each_group(spark):
     kept = [tuple(r) for r in s.keep_one(df, "doc_id", "text").collect()]
     assert len(kept) == 4 and set(kept) <= set(rows)
     assert sorted((r[0] or 0, r[1] or "") for r in kept) == sorted([(0, a), (1, b), (1, c), (0, "")])
+
+
+def slow_kept(rows):
+    """The least id of each group of (id, fingerprints) rows that links of any of the fingerprints reach."""
+    root = list(range(len(rows)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if any((x ^ y).bit_count() <= 2 for x, y in zip(rows[a][1], rows[b][1])):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    least = {}
+    for a, (i, _) in enumerate(rows):
+        least[find(a)] = min(i, least.get(find(a), i))
+    return sorted(least.values())
+
+
+def test_several_fingerprints(spark):
+    """Near copies that one fingerprint misses are met by another; the rest stays."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(5000)}"
+    rows = []
+    for k in range(25):
+        words = [word() for _ in range(rng.randrange(100, 300))]
+        for j in range(rng.choice([1, 2, 6])):
+            copy = list(words)
+            for _ in range(rng.randrange(1, 5)):
+                copy[rng.randrange(len(copy))] = word()
+            rows.append((100 * k + j, " ".join(copy)))
+    rows += [(9000, None), (9001, ""), (9002, "one"), (9003, "One")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [(i, s.several(t, 3, 42, 4)) for i, t in rows]
+    assert all(f[0] == s.fingerprint(t) for (_, f), (_, t) in zip(found, rows)) and len(set(found[0][1])) == 4
+    one, four = slow_kept([(i, f[:1]) for i, f in found]), slow_kept(found)
+    assert sorted(r.doc_id for r in s.keep_one(df, "doc_id", "text").collect()) == one
+    assert sorted(r.doc_id for r in s.keep_one(df, "doc_id", "text", 4).collect()) == four
+    assert len(four) < len(one)

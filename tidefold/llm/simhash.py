@@ -10,6 +10,9 @@ midpoints instead: two fingerprints are within two bits if and only if some valu
 gets 65 midpoints, and all members of a midpoint link to the least of them. That is exact and linear. Only different
 fingerprints take part; exact copies are grouped before.
 
+``keep_one`` may look through several independent fingerprints of a text, which link two texts if any of them does: near copies that miss
+each other by a bit in one are met in another. Everything stays exact for the fingerprints that it takes.
+
 Null and empty texts have the fingerprint zero and link like any other. A null id takes part in its group but is
 never the least id, except in a group of nulls only. Repeated rows give repeated rows.
 """
@@ -20,7 +23,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidefold.llm.common import map_rows, plain, stored, words_of
@@ -33,35 +36,53 @@ AT_ONCE = 1 << 16
 
 def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
     """The 64-bit SimHash (unsigned) of the word shingles, repeats included; letters A-Z are lower-cased first."""
+    return several(text, size, seed, 1)[0]
+
+
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th hash of what has these hashes; the 0-th are the hashes themselves."""
+    if not k:
+        return hashes
+    with np.errstate(over="ignore"):
+        x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+        return x ^ (x >> np.uint64(31))
+
+
+def several(text: str | None, size: int, seed: int, count: int) -> list[int]:
+    """``count`` fingerprints of a text, each from a hash of its own; the first is ``fingerprint``'s."""
     words = words_of(text)
     if not words:
-        return 0
+        return [0] * count
     joined = b" ".join(words).lower()  # bytes: only A-Z change
     if len(words) <= size:
-        return xxhash.xxh64_intdigest(joined, seed)
+        one = np.array([xxhash.xxh64_intdigest(joined, seed)], dtype=np.uint64)
+        return [int(_mixed(one, k)[0]) for k in range(count)]
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n, digest = len(words) - size + 1, xxhash.xxh64_intdigest
-    counts = np.zeros(64, dtype=np.int64)
+    counts = np.zeros((count, 64), dtype=np.int64)
     for at in range(0, n, AT_ONCE):
         to = min(n, at + AT_ONCE)
-        hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[at:to].tolist(), ends[at + size - 1 : to + size - 1].tolist())], dtype=">u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+        hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[at:to].tolist(), ends[at + size - 1 : to + size - 1].tolist())], dtype=np.uint64)
+        for k in range(count):
+            counts[k] += np.unpackbits(_mixed(hashes, k).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return [int.from_bytes(np.packbits(2 * c > n).tobytes(), "big") for c in counts]
 
 
-def fingerprints(df: DataFrame, id_col: str, text_col: str, size: int = 3, seed: int = 42) -> DataFrame:
-    """The id and ``fp``, the fingerprint as a signed long."""
+def fingerprints(df: DataFrame, id_col: str, text_col: str, size: int = 3, seed: int = 42, count: int = 1) -> DataFrame:
+    """The id and ``fp``, the fingerprint as a signed long; with a ``count`` over 1 also ``fp1``, ``fp2`` and so on, the further ones."""
 
     def make():
         def one(key, text) -> Iterable[tuple]:
-            value = fingerprint(text, size, seed)
-            yield key, value - (1 << 64) if value >> 63 else value
+            yield key, *(value - (1 << 64) if value >> 63 else value for value in several(text, size, seed, count))
 
         return one
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_rows(df, make, [plain(id_col), plain(text_col)], f"{plain(id_col)} {kind}, fp long")
+    names = ["fp", *(f"fp{k}" for k in range(1, count))]
+    return map_rows(df, make, [plain(id_col), plain(text_col)], f"{plain(id_col)} {kind}, " + ", ".join(f"{n} long" for n in names))
 
 
 def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -77,8 +98,8 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
             "((shiftrightunsigned(fp, cast(p div 32 * 32 as int)) & 4294967295L) & ~shiftleft(1L, cast(p % 32 as int)))"
         ).alias("variant"),
     )
-    counts = variants.groupBy("variant").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = stored(variants.join(counts, "variant"), "variants")
+    # one exchange for counts and rows; fingerprints are distinct, so that copies do not make a variant common
+    shared = stored(variants.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("variant"))).filter("n > 1"), "variants")
 
     few = shared.filter(F.col("n") <= crowd)
     pairs = (
@@ -109,17 +130,32 @@ def groups(fps: DataFrame, id_col: str = "doc_id", crowd: int = CROWD) -> DataFr
     return fps.join(stored(joined, "components"), "fp")
 
 
-def keep_one(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Of each group (rows whose fingerprints links reach) one row of ``df``: the one with the least id, nulls last, and of these
-    with the least hash over all columns. Columns as before."""
+def united(nodes: DataFrame, count: int) -> DataFrame:
+    """Links between fingerprints ``fp`` of a table with ``fp``, ``fp1`` ... (stored): those of ``fp`` itself, and what the further
+    fingerprints link, each told by the least ``fp`` that has it."""
+    edges = links(nodes.select("fp").distinct())
+    for k in range(1, count):
+        of = stored(nodes.groupBy(f"fp{k}").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).withColumnRenamed(f"fp{k}", "other"), "others")
+        same = nodes.select("fp", F.col(f"fp{k}").alias("other")).join(of.filter("least < most"), "other").filter("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+        near = links(of.select(F.col("other").alias("fp")))
+        for side in ("a", "b"):
+            near = near.join(of.select(F.col("other").alias(side), F.col("least").alias(f"__{side}")), side)
+        edges = edges.union(same).union(near.select(F.col("__a").alias("a"), F.col("__b").alias("b")))
+    return edges
+
+
+def keep_one(df: DataFrame, id_col: str, text_col: str, count: int = 1) -> DataFrame:
+    """Of each group (rows whose fingerprints links reach, through any of ``count`` fingerprints) one row of ``df``: the one with the least
+    id, nulls last, and of these with the least hash over all columns. Columns as before."""
     columns = [plain(c) for c in df.columns]
     # xxhash64 passes over nulls: where they stand is hashed too
     row = F.xxhash64(*columns, *(F.col(c).isNull() for c in columns))
     rows = df.withColumn("__row", row)
     key = F.struct(F.col(plain(id_col)).isNull().alias("none"), F.col(plain(id_col)).alias("id"), F.col("__row").alias("row"))
-    fps = stored(fingerprints(rows.select(key.alias("key"), F.col(plain(text_col)).alias("text")), "key", "text"), "fingerprints")
+    fps = stored(fingerprints(rows.select(key.alias("key"), F.col(plain(text_col)).alias("text")), "key", "text", count=count), "fingerprints")
     different = stored(fps.groupBy("fp").agg(F.min("key").alias("least")), "different")
-    of = components(links(different.select("fp"))).withColumnRenamed("node", "fp")
+    nodes = stored(fps.select("fp", *(f"fp{k}" for k in range(1, count))).distinct(), "nodes") if count > 1 else different
+    of = components(united(nodes, count)).withColumnRenamed("node", "fp")
     least = different.join(of, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
     times = fps.groupBy(F.col("key.row").alias("__row")).agg(F.count(F.lit(1)).alias("__times"))
     kept = stored(least.select(F.col("least.row").alias("__row")).join(times, "__row"), "kept")
