@@ -28,9 +28,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _counted(quality.clean(docs, "text", RULES))
 
 
+FINGERPRINTS = 4
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group the document with the least id stays."""
-    return simhash.keep_one(docs, "doc_id", "text")
+    """Of each SimHash group the document with the least id stays; four fingerprints meet more near copies than one."""
+    return simhash.keep_one(docs, "doc_id", "text", FINGERPRINTS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
