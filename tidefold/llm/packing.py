@@ -86,7 +86,7 @@ class WordIds(Recent):
 
     LONGEST = 48
 
-    def __init__(self, path: str, chunks: int = 200_000, words: int = 150_000):
+    def __init__(self, path: str, chunks: int = 80_000, words: int = 80_000):
         super().__init__(chunks)
         self.whole = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
