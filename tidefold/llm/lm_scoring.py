@@ -77,15 +77,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def vocabulary(docs: DataFrame, size: int) -> dict[bytes, int]:
     """All words that are at least as frequent as the least count that at most ``size`` words reach, numbered from the most
     frequent on. Words that occur once never belong to it."""
-    counts = stored(word_counts(docs).filter("n > 1"), "words")
-    least, so_far = 2, 0
-    for n, many in sorted(((r.n, r.many) for r in counts.groupBy("n").agg(F.count(F.lit(1)).alias("many")).collect()), reverse=True):  # a row for each count
-        so_far += many
-        if so_far > size:
-            least = n + 1
-            break
-    top = counts.filter(F.col("n") >= least).collect()  # at most ``size``
-    return {word: k for k, (_, word) in enumerate(sorted((-r.n, bytes(r.word)) for r in top))}
+    top = [(r.n, bytes(r.word)) for r in word_counts(docs).filter("n > 1").orderBy(F.desc("n"), "word").limit(size + 1).collect()]
+    least = top[size][0] + 1 if len(top) > size else 2
+    return {word: k for k, (n, word) in enumerate(top) if n >= least}
 
 
 def packed(a: np.ndarray) -> bytes:
