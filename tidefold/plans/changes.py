@@ -498,3 +498,35 @@ def codes_consumed(t):
     query = codes.consumed(stream, 36_000, "3650 days").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema("code string, seq long, user_id int").parquet(f"{root}/out")
+
+
+@registered("""SELECT DISTINCT sha256(text) AS sha256, strlen(text) AS size_bytes, CASE WHEN strlen(text) > 1500 THEN 'file_too_large' ELSE 'ok' END AS code, CASE WHEN strlen(text) <= 1500 THEN md5(text) END AS body FROM documents""")
+def archive_round_trip(t):
+    """Texts stored under their hashes twice, which changes nothing, and read back; empty and large files have their codes."""
+    from tidefold.session import scratch
+    from tidefold.sources import blobs
+
+    docs = t("documents").select(F.col("text").cast("binary").alias("content")).distinct()
+    root = scratch(docs.sparkSession, "archive")
+    files = docs.select(X.shard_path(X.sha256_hex("content"), ".dat").alias("path"), "content")
+    for _ in range(2):
+        blobs.store(files, root).write.format("noop").mode("overwrite").save()
+    read = blobs.read_bodies(docs.sparkSession, root, 1500)
+    return read.select(F.regexp_extract("path", "([0-9a-f]{64})[.]dat$", 1).alias("sha256"), "size_bytes", "code", F.md5("content").alias("body")).filter(F.coalesce("sha256", F.lit("")) != "")
+
+
+@registered(f"""WITH gone AS (SELECT c_custkey AS id FROM customer WHERE c_custkey = 7), n AS (SELECT count(*) AS n FROM gone)
+SELECT 'users' AS "table", (SELECT count(*) FROM customer) - n AS rows FROM n UNION ALL SELECT 'agents', (SELECT count(*) FROM orders WHERE o_custkey <> 7) UNION ALL SELECT 'sessions', (SELECT count(*) FROM orders WHERE o_custkey <> 7)
+UNION ALL SELECT 'uploads', (SELECT count(*) FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey <> 7 AND l_suppkey <> 7) UNION ALL SELECT 'files', (SELECT count(DISTINCT l_partkey) FROM lineitem)
+UNION ALL SELECT 'invites', (SELECT count(*) FROM labels) UNION ALL SELECT 'invites without creator', (SELECT count(*) FROM labels WHERE doc_id % 10 = 7) UNION ALL SELECT 'settings without user', 1""")
+def user_deleted_everywhere(t):
+    """What belongs to the user goes, down to uploads of the user's machines; contents stay; pointers become null."""
+    lines = t("lineitem").join(t("orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    made = lines.select(F.col("l_partkey").cast("string").alias("sha256"), F.col("l_suppkey").cast("int").alias("user_id"), F.col("l_orderkey").cast("string").alias("agent_registration_id"), F.lit(1).alias("id"))
+    invites = t("labels").select(F.col("doc_id").cast("string").alias("id"), (F.col("doc_id") % 10).cast("int").alias("created_by_user_id"), F.lit(None).cast("int").alias("used_by_user_id"))
+    settings = t("region").limit(1).select(F.lit("k").alias("key"), F.lit(7).alias("updated_by_user_id"))
+    tables = {"users": _users(t("customer")), "agents": as_agents(t("orders")), "sessions": as_sessions(t("orders")), "uploads": made, "files": made.select("sha256").distinct(), "invites": invites, "settings": settings}
+    after = transitions.delete_user(tables, 1, 7).tables
+    counts = {k: after[k] for k in ("users", "agents", "sessions", "uploads", "files", "invites")}
+    counts |= {"invites without creator": after["invites"].filter("created_by_user_id IS NULL"), "settings without user": after["settings"].filter("updated_by_user_id IS NULL")}
+    return transitions.unioned([df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(k).alias("table"), "rows") for k, df in counts.items()])
