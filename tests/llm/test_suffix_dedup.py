@@ -61,6 +61,7 @@ def test_equals_all_windows(spark, seed):
 
 def test_low_variety_and_edges(spark):
     docs = [(1, "ha " * 300), (2, "ha " * 200 + "end"), (3, "a b " * 100), (4, ""), (5, None), (None, "ha " * 100), (6, "one two"), (8, "b a " * 60)]
+    docs += [(20 + p, " ".join(f"p{p}x{k % p}" for k in range(110))) for p in (7, 17, 23, 28, 40)]  # periods that overlap themselves
     check(spark, docs, 24, 12, 5)
 
 

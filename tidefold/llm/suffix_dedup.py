@@ -289,7 +289,7 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least
     here = (F.col("doc") == F.col("first_doc")) & (F.col("tag") == F.col("first_tag"))
     end = F.col("hi") + least
     # in one text, what overlaps the first occurrence stays
-    start = F.when(here, F.greatest(F.col("lo"), F.col("first_lo").cast("int") + F.col("hi") - F.col("lo") + least)).otherwise(F.col("lo"))
+    start = F.when(here, F.greatest(F.col("lo"), F.col("first_lo").cast("int") + least)).otherwise(F.col("lo"))
     is_first = here & (F.col("lo") == F.col("first_lo"))
     spans = wholes.union(windows).union(begins).select(
         "doc", "tag", is_first.alias("is_first"), F.when(is_first, F.col("lo")).otherwise(start).alias("a"), end.alias("b")
