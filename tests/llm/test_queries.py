@@ -65,7 +65,7 @@ def test_op1(spark, docs, duck):
     for d, ws in split:
         if ws:
             want = [left_out(*m, ws, len(models[1][0]), Settings(), inside) for m, inside in zip(models, (d in good, True))]
-            assert math.isclose(by[d].target_loss, want[0], rel_tol=1e-9) and math.isclose(by[d].background_loss, want[1], rel_tol=1e-9)
+            assert math.isclose(by[d].target_loss, want[0], abs_tol=2e-9) and math.isclose(by[d].background_loss, want[1], abs_tol=2e-9)
     assert sorted(r.doc_id for r in got) == sorted(d for d, _ in docs)
     assert {r.doc_id: r.n_tokens for r in got} == {d: len((t or "").lower().encode().split()) for d, t in docs}
 
@@ -114,7 +114,8 @@ def test_op4(spark, docs):
 
 def test_op6(spark, docs):
     want = {k[0]: v for k, v in brute(docs, 50).items()}
-    got = {r.doc_id: (covered(r.again_spans), covered(r.first_spans)) for r in run(spark, "op6_suffix_dedup").collect()}
+    spans = lambda text: covered([tuple(map(int, s.split("-"))) for s in text.split(",") if s])
+    got = {r.doc_id: (spans(r.again_spans), spans(r.first_spans)) for r in run(spark, "op6_suffix_dedup").collect()}
     assert got == want
     assert suffix_dedup.LEAST == 50
 

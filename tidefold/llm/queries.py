@@ -13,7 +13,9 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     good = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 1").select("doc_id")
-    return lm_scoring.score(docs, good, "doc_id", "text")
+    made = lm_scoring.score(docs, good, "doc_id", "text")
+    # nine decimals: sums of logarithms depend on their order beyond
+    return made.select("doc_id", "n_tokens", *(F.round(c, 9).alias(c) for c in ("target_loss", "background_loss", "score")))
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,10 +72,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidefold.llm import suffix_dedup
 
     found = suffix_dedup.repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
-    words = "aggregate({0}, 0, (n, s) -> n + s[1] - s[0])"
+    words, spans = "aggregate({0}, 0L, (n, s) -> n + s[1] - s[0])", "array_join(transform({0}, s -> s[0] || '-' || s[1]), ',')"
     return found.select(
         F.col("doc").alias("doc_id"), F.expr(words.format("again")).alias("n_again"), F.expr(words.format("first")).alias("n_first"),
-        F.col("again").alias("again_spans"), F.col("first").alias("first_spans"),
+        F.expr(spans.format("again")).alias("again_spans"), F.expr(spans.format("first")).alias("first_spans"),
     )
 
 
@@ -190,5 +192,53 @@ FROM base
 """
 
 
+def _op1_sql() -> str:
+    """Counts by word and by bigram, joined back to every word, less those of its own document."""
+    from tidefold.llm.lm_scoring import Settings
+
+    s = Settings()
+
+    def loss(side: str, inside: str) -> str:
+        one, before, pair = f"w.{side} - {inside} * o.n", f"greatest(b.{side} - {inside} * bo.n, 1)", f"p.{side} - {inside} * po.n"
+        alone = f"({one} + {s.smoothing}) / (t.{side} - {inside} * d.n + {s.smoothing} * (t.size + 1))"
+        return f"-ln(CASE WHEN x.prev IS NULL THEN {alone} ELSE {s.bigram_weight} * least(({pair}) / {before}, 1.0) + {1 - s.bigram_weight} * {alone} END)"
+
+    return rf"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS ws, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good FROM documents),
+d AS (SELECT rid, doc_id, len(ws) AS n, CAST(good AS INTEGER) AS g FROM docs),
+tokens AS (SELECT rid, ws[i] AS word, CASE WHEN i > 1 THEN ws[i - 1] END AS prev FROM (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS i FROM docs)),
+o AS (SELECT rid, word, count(*) AS n FROM tokens GROUP BY ALL), po AS (SELECT rid, prev, word, count(*) AS n FROM tokens WHERE prev IS NOT NULL GROUP BY ALL),
+w AS (SELECT word, sum(o.n) AS bg, sum(o.n * g) AS tg FROM o JOIN d USING (rid) GROUP BY word), p AS (SELECT prev, word, sum(po.n) AS bg, sum(po.n * g) AS tg FROM po JOIN d USING (rid) GROUP BY ALL),
+t AS (SELECT (SELECT sum(n) FROM d) AS bg, (SELECT sum(n * g) FROM d) AS tg, (SELECT count(*) FROM w) AS size),
+scored AS (SELECT x.rid, avg({loss("tg", "d.g")}) AS tl, avg({loss("bg", "1")}) AS bl FROM tokens x JOIN d ON d.rid = x.rid JOIN o ON o.rid = x.rid AND o.word = x.word JOIN w ON w.word = x.word
+  LEFT JOIN o bo ON bo.rid = x.rid AND bo.word = x.prev LEFT JOIN w b ON b.word = x.prev LEFT JOIN po ON po.rid = x.rid AND po.prev = x.prev AND po.word = x.word LEFT JOIN p ON p.prev = x.prev AND p.word = x.word, t GROUP BY x.rid)
+SELECT doc_id, CAST(n AS BIGINT) AS n_tokens, round(tl, 9) AS target_loss, round(bl, 9) AS background_loss, round(tl - bl, 9) AS score FROM d LEFT JOIN scored USING (rid)
+"""
+
+
+#: For pages as they are supplied: one article, blocks at ``p`` and ``h1``, four character references.
+OP2_SQL = r"""
+WITH inside AS (SELECT page_id, url, coalesce(regexp_extract(html, '(?s)<article[^>]*>(.*?)(?:</article>|\z)', 1), '') AS t FROM pages),
+parts AS (SELECT page_id, url, list_transform(string_split_regex(t, '</?(?:p|h1)\b[^>]*>'), lambda x: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  regexp_replace(regexp_replace(x, '<br[^>]*>', ' ', 'g'), '(?s)<!--.*?-->|<[^>]*(?:>|\z)', '', 'g'), '&quot;?', '"', 'g'), '&copy;?', '©', 'g'), '&middot;?', '·', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS ps FROM inside)
+SELECT page_id, url, array_to_string(list_filter(ps, lambda x: x <> ''), chr(10)) AS text, CAST(length(array_to_string(list_filter(ps, lambda x: x <> ''), chr(10))) AS BIGINT) AS n_chars FROM parts
+"""
+
+#: All windows of 50 words, one by one.
+OP6_SQL = r"""
+WITH w AS (SELECT DISTINCT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+win AS (SELECT doc_id, s, md5(array_to_string(ws[s + 1 : s + 50], ' ')) AS k FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 49)) AS s FROM w WHERE len(ws) >= 50)),
+firsts AS (SELECT k, min({'d': doc_id, 's': s}) AS f FROM win GROUP BY k HAVING count(*) > 1),
+met AS (SELECT doc_id, s, f FROM win JOIN firsts USING (k)),
+again AS (SELECT DISTINCT doc_id, unnest(range(CASE WHEN doc_id = f.d THEN greatest(s, f.s + 50) ELSE s END, s + 50)) AS x FROM met WHERE doc_id <> f.d OR s <> f.s),
+first AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS x FROM met WHERE doc_id = f.d AND s = f.s EXCEPT SELECT * FROM again),
+every AS (SELECT doc_id, x, 'a' AS kind FROM again UNION ALL SELECT doc_id, x, 'f' FROM first),
+islands AS (SELECT doc_id, kind, min(x) AS a, max(x) + 1 AS b FROM (SELECT *, x - row_number() OVER (PARTITION BY doc_id, kind ORDER BY x) AS g FROM every) GROUP BY doc_id, kind, g)
+SELECT doc_id, CAST(coalesce(sum(b - a) FILTER (kind = 'a'), 0) AS BIGINT) AS n_again, CAST(coalesce(sum(b - a) FILTER (kind = 'f'), 0) AS BIGINT) AS n_first,
+  coalesce(string_agg(a || '-' || b, ',' ORDER BY a) FILTER (kind = 'a'), '') AS again_spans, coalesce(string_agg(a || '-' || b, ',' ORDER BY a) FILTER (kind = 'f'), '') AS first_spans
+FROM islands GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_license_scan": _op5_sql(), "op7_chat_format": OP7_SQL, "op9_quality_rules": _op9_sql()}
+    return {"op1_lm_scoring": _op1_sql(), "op2_html_text": OP2_SQL, "op6_suffix_dedup": OP6_SQL, "op5_license_scan": _op5_sql(), "op7_chat_format": OP7_SQL, "op9_quality_rules": _op9_sql()}
