@@ -54,6 +54,7 @@ def test_names_and_odd_markup():
     assert text("<article class='comment-open'>a</article>") == "a" == text("<article data-u=/p/1/>a</article>")
     assert text('<article><h2 id="search-and-alerts">x</h2><p id="comment-on-x">y</p><div id="related-work">z</div></article>') == "x\ny\nz"
     assert text("<article>a<script src=/x/>var y;</script>b</article>") == "ab" == text("<article>a<script>if(a<b){t='<!--';x=\"'}</script>b</article>")
+    assert text("<article>a<p class='ad'>b</p><p class='lead ad-hoc'>c</p><pre><span class='comment'># d</span></pre></article>") == "a\nc\n# d"
     assert text("<article>a <math><mi>x</mi></math></article>") == "a x"
     assert text("<form><article>body</article></form>") == "body" == text("<nav>menu<article>body</article>")
     assert text("<article>a<svg>b<p>c</article>") == "ab\nc" and text("<article>a<svg><text>b</text></svg>c</article>") == "ac"

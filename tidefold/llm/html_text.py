@@ -63,8 +63,9 @@ AROUND = frozenset(
     " layer left link links list local main mobile module outer overlay page pane panel post posts primary right row secondary section site slot small stories strip thread top unit wrap wrapper x".split()
 )
 HEADERS = frozenset({"header"})
-#: Elements that hold text themselves: their names and ids are about their text.
-TEXTS = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre figure figcaption table tbody thead tr td th li dt dd b i em strong a span code".split())
+#: Elements that hold text themselves: their names and ids are about their text. Those of NOTED go if a class is a word of NAMES, and no more.
+NOTED = frozenset("p blockquote figure figcaption table tr td li dt dd".split())
+TEXTS = NOTED | frozenset("h1 h2 h3 h4 h5 h6 pre tbody thead th b i em strong a span code".split())
 #: Classes of ``article`` elements that are no articles.
 LESSER = frozenset("ad ads advert advertisement comment comments comment-body promo related reply sponsored teaser".split())
 #: With ``content`` in a name or id, these mark an article too.
@@ -84,12 +85,10 @@ class Block(NamedTuple):
     linked: float
 
 
-def _names(value: str) -> Iterable[str]:
-    """The furniture words of a class or id value (lower case)."""
-    for name in value.split():
-        parts = [p for p in re.split(r"[^a-z]+", name) if p]
-        if any(p in NAMES for p in parts) and all(p in NAMES or p in AROUND for p in parts):
-            yield from parts
+def _names_furniture(name: str) -> bool:
+    """Whether one class or id (lower case) does."""
+    parts = set(filter(None, re.split(r"[^a-z]+", name)))
+    return not parts.isdisjoint(NAMES) and parts <= NAMES | AROUND
 
 
 def _kind(tag: str, attributes: str, inside: bool) -> str:
@@ -107,7 +106,10 @@ def _kind(tag: str, attributes: str, inside: bool) -> str:
                 if name == "class":
                     classes.update(value.split())
                 named.update(re.split(r"[^a-z0-9]+", value))
-                furniture = furniture or tag not in TEXTS and any(True for _ in _names(value)) or tag in TEXTS and not inside and name == "class" and any(x in NAMES for x in value.split())
+                if tag not in TEXTS:
+                    furniture = furniture or any(map(_names_furniture, value.split()))
+                elif tag in NOTED and name == "class":
+                    furniture = furniture or not NAMES.isdisjoint(value.split())
             elif name == "itemprop":
                 named.add(value.strip())
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
