@@ -112,6 +112,27 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(fps, "doc_id").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidefold.llm import fim
+
+    made = fim.transform(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+    return made.select(
+        F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(), 256).alias("restored_sha256")
+    )
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidefold.llm import pq
+
+    return pq.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding").withColumnRenamed("id", "vec_id")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidefold.llm import trie
+
+    return trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id", "turn", "role", "text", shared_heads=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -240,5 +261,41 @@ FROM islands GROUP BY doc_id
 """
 
 
+OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents),
+drawn AS (SELECT *, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS a, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90 THEN 'plain' WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+cut AS (SELECT *, least(a, b) AS x, greatest(a, b) AS y, t[1:least(a, b)] AS p, t[least(a, b) + 1:greatest(a, b)] AS m, t[greatest(a, b) + 1:] AS s FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN x END AS prefix_chars, CASE WHEN form <> 'plain' THEN y - x END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM cut
+"""
+
+#: All pairs, and components by reachability.
+OP12_SQL = """
+WITH RECURSIVE u AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+pairs AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT a AS node, a AS seen FROM pairs UNION SELECT node, b FROM reach JOIN pairs ON a = seen),
+low AS (SELECT node, min(seen) AS c FROM reach GROUP BY node), many AS (SELECT a AS node, count(*) AS n FROM pairs GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(least(c, vec_id), vec_id) AS component_id, coalesce(c, vec_id) >= vec_id AS kept FROM embeddings LEFT JOIN low ON low.node = vec_id LEFT JOIN many ON many.node = vec_id
+"""
+
+#: CRC-32 bit by bit; prefixes as digests of the turns' digests; every node meets the nodes above it on its owner's path.
+OP13_SQL = """
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS pos, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+  length(coalesce(text, '')) AS len FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, c - c % 100 AS base, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: [ascii(x), 0, 0, 0, 0, 0, 0, 0]))),
+  lambda r, e: CASE WHEN xor(r, e) % 2 = 1 THEN xor(xor(r, e) >> 1, 3988292384) ELSE xor(r, e) >> 1 END), 4294967295) % 6 AS h FROM (SELECT DISTINCT c FROM t)),
+made AS (SELECT convs.c, 0 AS part, pos, k, len FROM convs JOIN t ON t.c = base WHERE pos <= h UNION ALL SELECT t.c, 1, pos, k, len FROM t JOIN convs ON convs.c = t.c WHERE pos > h),
+lists AS (SELECT convs.c, coalesce(ks, []) AS ks, coalesce(lens, []) AS lens FROM convs LEFT JOIN (SELECT c, list(k ORDER BY part, pos) AS ks, list(len ORDER BY part, pos) AS lens FROM made GROUP BY c) USING (c)),
+steps AS (SELECT c, d, len(ks) AS last, CASE WHEN d > 0 THEN lens[d] ELSE 0 END AS len, md5(array_to_string(ks[1:d], ',')) AS p, CASE WHEN d > 0 THEN md5(array_to_string(ks[1:d - 1], ',')) END AS q FROM (SELECT *, unnest(range(0, len(ks) + 1)) AS d FROM lists)),
+nodes AS (SELECT d, p, min(q) AS q, min(c) AS c, count(*) AS n, (count(*) - 1) * min(len) AS saved, max(last) = d AS leaf, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (last = d), '')) AS ends FROM steps GROUP BY d, p),
+sums AS (SELECT s.d, s.p, CAST(sum(CAST(u.leaf AS INTEGER)) AS BIGINT) AS leaves, CAST(sum(u.saved) AS BIGINT) AS saved FROM nodes u JOIN steps s ON s.c = u.c AND s.d <= u.d GROUP BY s.d, s.p),
+kids AS (SELECT d - 1 AS d, q AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1, 2)
+SELECT nodes.c AS conv_id, nodes.d AS depth, up.c AS parent_conv_id, nodes.n AS n_convs, coalesce(kids.n, 0) AS n_children, leaves AS n_leaves, sums.saved AS saved_tokens, nodes.ends AS ends_sha256
+FROM nodes JOIN sums USING (d, p) LEFT JOIN kids USING (d, p) LEFT JOIN nodes up ON up.d = nodes.d - 1 AND up.p = nodes.q
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_lm_scoring": _op1_sql(), "op2_html_text": OP2_SQL, "op6_suffix_dedup": OP6_SQL, "op5_license_scan": _op5_sql(), "op7_chat_format": OP7_SQL, "op9_quality_rules": _op9_sql()}
+    return {"op11_fill_in_middle": OP11_SQL, "op12_embedding_dedup": OP12_SQL, "op13_prefix_trie": OP13_SQL, "op1_lm_scoring": _op1_sql(), "op2_html_text": OP2_SQL, "op6_suffix_dedup": OP6_SQL, "op5_license_scan": _op5_sql(), "op7_chat_format": OP7_SQL, "op9_quality_rules": _op9_sql()}
