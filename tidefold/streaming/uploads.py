@@ -3,6 +3,9 @@
 Delivery is at least once: a batch that is run again after a failure is computed against the tables as they were before it and replaces what it
 wrote, so that files and uploads are the same and its events are announced again, under the same hash and batch number. The service itself may
 lose events; this may not.
+
+Which contents are known is asked of an index by hash (``sources.keyed``), and an upload's number is its place in its micro-batch after that batch's number: no
+micro-batch reads what earlier ones wrote but the few shards that may hold its hashes.
 """
 
 from __future__ import annotations
@@ -13,27 +16,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidefold.operators.uploads import upload
+from tidefold.functions import scalars as X
+from tidefold.operators.uploads import MAX_BYTES, upload
+from tidefold.schemas import CONTENT_TYPES, schema
 from tidefold.sources.blobs import store
-from tidefold.sources.versions import read_batches, write_batch
+from tidefold.sources.keyed import Known
+from tidefold.sources.versions import write_batch
+
+#: Numbers of uploads that a micro-batch has for itself.
+EACH = 1 << 32
 
 
-def ingest_stream(uploads: DataFrame, root: str, checkpoint: str, events_path: str, archive: str | None = None) -> StreamingQuery:
+def ingest_stream(uploads: DataFrame, root: str, checkpoint: str, events_path: str, archive: str | None = None, capacity: int = 4096) -> StreamingQuery:
     """Run M20 over a stream of uploads (the columns of ``operators.uploads.upload``'s batch): every micro-batch adds to the tables ``files`` and ``uploads``
-    under ``root`` (``sources.versions.read_batches``), stores new contents under ``archive`` if that is given, and last writes its events to ``events_path``."""
+    under ``root`` (``sources.versions.read_batches``) and to the index of contents there, of ``capacity`` rows a shard, stores new contents under ``archive`` if that is
+    given, and last writes its events to ``events_path``. One stream a root."""
     stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        batch.persist()
-        have = [read_batches(spark, root, name, stream, number) for name in ("files", "uploads")]
-        change = upload(*have, batch)
+        index = Known(spark, f"{root}/contents", capacity)
+        index.grow(number)
+        batch = batch.withColumn("sha256", X.sha256_hex("content")).persist()
+        none = [spark.createDataFrame([], schema(name)) for name in ("files", "uploads")]
+        kinds = F.coalesce("content_type", F.lit("match-log")).isin(*CONTENT_TYPES)
+        accepted = batch.filter(kinds & (F.octet_length("content") <= MAX_BYTES))
+        known, new, figures = index.of(accepted, number)
+        change = upload(*none, batch, known=known, first_id=number * EACH + 1)
         if archive is not None:
             store(change.tables["blobs"], archive).write.format("noop").mode("overwrite").save()
         write_batch(change.tables["new_files"], root, "files", stream, number)
         write_batch(change.tables["new_uploads"], root, "uploads", stream, number)
         change.tables["events"].write.mode("overwrite").json(f"{events_path}/stream={stream}/batch={number}")
-        batch.unpersist()
+        index.add(new, number, figures)
+        for df in (known, new, batch):
+            df.unpersist()
 
     return uploads.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -51,8 +68,6 @@ def new_contents(events: DataFrame, keep: str = "30 days") -> DataFrame:
 
 def parse_events(raw: DataFrame, topic: str, column: str = "value") -> DataFrame:
     """JSON payloads of a topic; unknown fields are ignored, missing ones null, malformed payloads give nulls throughout."""
-    from tidefold.schemas import schema
-
     return raw.select(F.from_json(F.col(column).cast("string"), schema(topic)).alias("e")).select("e.*")
 
 
