@@ -6,7 +6,7 @@ import os
 
 import duckdb
 import pytest
-from tidefold.plans import changes as catalogue
+from tidefold.plans import stores as catalogue
 from tidefold.sources.tables import TABLES
 
 FOLDER = "/root/testdata/sf0.001"

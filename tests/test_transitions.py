@@ -241,3 +241,34 @@ def test_registrations_in_chains(spark):
             used.add(t)
             taken.add(e)
     assert by(M.register(users(spark, *BASE), i, settings, commands, NOW).outcomes, "seq", "code") == want
+
+
+def test_counts_come_from_the_pass_that_writes(spark, tmp_path):
+    """M14 and M16 report their counts without a job of their own once the tables are written; before that, one pass gives them."""
+    tracker = spark.sparkContext.statusTracker()
+    a = agents(spark, ("old", 3, NOW - 120 * DAY, NOW - 100 * DAY, None, "1"), ("new", 3, NOW - 10 * DAY, NOW - 5 * DAY, None, "1"), ("gone", 3, NOW - 200 * DAY, NOW - 180 * DAY, NOW - 150 * DAY, "1"))
+    made = M.revoke_stale(a, NOW, 90)
+    spark.sparkContext.setJobGroup("write", "")
+    made.tables["agents"].write.parquet(str(tmp_path / "agents"))
+    spark.sparkContext.setJobGroup("count", "")
+    assert made.count == 1 and made.count == 1
+    assert len(tracker.getJobIdsForGroup("write")) == 1 and len(tracker.getJobIdsForGroup("count")) == 0
+    early = M.revoke_stale(a, NOW, 90)
+    spark.sparkContext.setJobGroup("early", "")
+    assert early.count == 1 and early.count == 1 and len(tracker.getJobIdsForGroup("early")) == 1
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_replayed_hashes(spark):
+    """Of many uses of one hash the first has it; uses without a hash have none."""
+    u, s = users(spark, *BASE), sessions(spark, ("s1", 3, "h1", NOW + DAY, None), ("s2", 3, "h2", NOW + DAY, None))
+    asks = spark.createDataFrame([(k, "h1", f"n{k}", f"x{k}", None, None) for k in range(50, 0, -1)] + [(99, None, "n", "x", None, None), (98, "h9", "n", "x", None, None), (97, "h2", "n97", "x97", None, None)], "seq int, old_hash string, new_hash string, session_id string, user_agent string, ip string")
+    done = M.rotate(u, s, asks, NOW)
+    assert sorted(r.seq for r in done.outcomes.filter("code = 'ok'").collect()) == [1, 97] and done.outcomes.count() == 53
+    assert sorted(r.id for r in done.tables["sessions"].filter("revoked_at IS NULL").collect()) == ["x1", "x97"]
+
+
+def test_versions_at_one_moment(spark):
+    a = agents(spark, ("a", 3, NOW - DAY, NOW - DAY, None, "0"))
+    beats = spark.createDataFrame([("a", NOW, v) for v in ("1", "3", None, "2")], "agent_id string, at timestamp, client_version string")
+    assert M.heartbeat(a, beats).tables["agents"].first().client_version == "3"

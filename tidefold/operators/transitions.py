@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidefold.functions import predicates as P
@@ -31,20 +31,43 @@ class Refused(ValueError):
         self.code = code
 
 
+class Counted:
+    """A count of the rows that a command changed, taken by the pass that writes them."""
+
+    def __init__(self) -> None:
+        self.seen, self.df = Observation(), None
+
+    def of(self, df: DataFrame, hit: Column) -> DataFrame:
+        self.df = df.observe(self.seen, F.count_if(hit).alias("n"))
+        return self.df
+
+    def __call__(self) -> int:
+        if not self.seen._jo.future().isCompleted():  # nobody has written the table yet: one pass that keeps nothing
+            self.df.write.format("noop").mode("overwrite").save()
+        return int(self.seen.get["n"])
+
+
 @dataclass(frozen=True)
 class Change:
-    """The tables that changed, the outcome of each command where there are many, and a count where the service reports one."""
+    """The tables that changed, the outcome of each command where there are many, and a count where the service reports one.
+
+    ``count`` asks nothing of Spark once the changed table has been written whole (a first action that stops early, such as ``take``, counts early, too); before, it runs the table once."""
 
     tables: dict[str, DataFrame]
     outcomes: DataFrame | None = None
-    count: int | None = None
+    counted: int | Counted | None = None
     values: dict[str, object] = field(default_factory=dict)
 
+    @property
+    def count(self) -> int | None:
+        return self.counted() if isinstance(self.counted, Counted) else self.counted
+
 
-def changed(df: DataFrame, condition: Column, **new: Column | object) -> DataFrame:
+def changed(df: DataFrame, condition: Column, counted: Counted | None = None, **new: Column | object) -> DataFrame:
     """``df`` with new values in the rows that fulfil the condition: a projection, whatever the number of rows."""
     hit = F.coalesce(condition, F.lit(False))
     kinds = dict(df.dtypes)
+    df = df if counted is None else counted.of(df, hit)
     return df.withColumns({c: F.when(hit, (v if isinstance(v, Column) else F.lit(v)).cast(kinds[c])).otherwise(F.col(c)) for c, v in new.items()})
 
 
@@ -129,9 +152,10 @@ def rotate(users: DataFrame, sessions: DataFrame, requests: DataFrame, as_of: Mo
     the same hash is refused."""
     s = sessions.join(users.select(F.col("id").alias("__owner"), "disabled"), F.col("user_id") == F.col("__owner")).filter(P.valid_session(as_of))
     s = s.select(F.col("refresh_token_hash").alias("__old"), F.col("id").alias("__sid"), "user_id")
-    first = Window.partitionBy("old_hash").orderBy("seq")
-    tried = requests.withColumn("__n", F.row_number().over(first)).join(s, F.col("old_hash") == F.col("__old"), "left")
-    good = F.col("__sid").isNotNull() & (F.col("__n") == 1)
+    # the first use of each hash is a pre-aggregated minimum: a hash that is replayed very often is not sorted by one task
+    first = requests.groupBy(F.col("old_hash").alias("__hash")).agg(F.min("seq").alias("__first")).join(s, F.col("__hash") == F.col("__old"))
+    tried = requests.join(first, F.col("old_hash") == F.col("__hash"), "left")
+    good = F.col("__sid").isNotNull() & (F.col("seq") == F.col("__first"))
     won = tried.filter(good)
     revoked = sessions.join(won.select("__sid"), F.col("id") == F.col("__sid"), "left")
     kept = changed(revoked, F.col("__sid").isNotNull(), revoked_at=moment(as_of)).drop("__sid")
@@ -156,7 +180,8 @@ def revoke_sessions(users: DataFrame, sessions: DataFrame, user_id: int, as_of:
     """M14. All sessions of a user; counts those that were active."""
     _user(users, user_id)
     active = P.active_of(user_id)
-    return Change({"sessions": changed(sessions, active, revoked_at=moment(as_of))}, count=sessions.filter(active).count())
+    n = Counted()
+    return Change({"sessions": changed(sessions, active, n, revoked_at=moment(as_of))}, counted=n)
 
 
 # --- users ----------------------------------------------------------------------------------------------------------
@@ -224,10 +249,10 @@ def reset_password(users: DataFrame, user_id: int, password_hash: str, as_of: Mo
 def bootstrap_admin(users: DataFrame, email: str, password_hash: str, must_change_password: bool, as_of: Moment) -> Change:
     """M18. Only where no enabled administrator is there."""
     if not users.filter(P.active_admin()).limit(1).isEmpty():
-        return Change({"users": users}, count=0)
+        return Change({"users": users}, counted=0)
     key = _next(users)
     row = _one(users, "users", id=key, email=email, password_hash=password_hash, role="admin", must_change_password=must_change_password, disabled=False, created_at=moment(as_of), updated_at=moment(as_of))
-    return Change({"users": appended(users, row)}, count=1, values={"user_id": key})
+    return Change({"users": appended(users, row)}, counted=1, values={"user_id": key})
 
 
 # --- invitations and registration ---------------------------------------------------------------------------------
@@ -363,13 +388,15 @@ def revoke_stale(agents: DataFrame, as_of: Moment, days: int = 90) -> Change:
     check_limits(stale_days=(days, 1, 3650))
     old = P.stale(as_of, days)
     cutoff = agents.sparkSession.range(1).select(X.iso_format(moment(as_of) - F.make_dt_interval(days=F.lit(days))).alias("c")).first().c
-    return Change({"agents": changed(agents, old, revoked_at=moment(as_of))}, count=agents.filter(old).count(), values={"cutoff": cutoff})
+    n = Counted()
+    return Change({"agents": changed(agents, old, n, revoked_at=moment(as_of))}, counted=n, values={"cutoff": cutoff})
 
 
 def heartbeat(agents: DataFrame, beats: DataFrame) -> Change:
     """T4 and W2 in batch. ``beats``: agent_id, at, client_version. The latest moment wins; the version is that of the latest beat that has one. Beats of revoked
     agents are refused: outcomes are agent_id and accepted."""
-    latest = beats.groupBy("agent_id").agg(F.max("at").alias("__at"), F.max_by("client_version", F.when(F.col("client_version").isNotNull(), F.col("at"))).alias("__version"))
+    # of two versions at one moment the greater one
+    latest = beats.groupBy("agent_id").agg(F.max("at").alias("__at"), F.max_by("client_version", F.when(F.col("client_version").isNotNull(), F.struct("at", "client_version"))).alias("__version"))
     joined = agents.join(latest, F.col("id") == F.col("agent_id"), "left")
     live = F.col("agent_id").isNotNull() & P.not_revoked()
     new = changed(joined, live, last_seen_at=F.greatest("last_seen_at", "__at"), client_version=F.coalesce("__version", "client_version"))
@@ -385,9 +412,10 @@ def reassign_agents(users: DataFrame, agents: DataFrame, log: DataFrame, target_
     """M21. Agents of administrators go to the user with that address; every move is logged, in the order of agent ids. Nothing to do leaves all as it is; a missing
     target, or one that is an administrator, stops it before any move."""
     admins = users.filter(F.col("role") == "admin").select(F.col("id").alias("__admin"))
-    moves = agents.join(admins, F.col("user_id") == F.col("__admin"), "left_semi").select(F.col("id").alias("agent_id"), F.col("user_id").alias("prior_user_id"))
-    if moves.limit(1).isEmpty():
-        return Change({"agents": agents, "reassignment_log": log}, count=0)
+    moves = _kept(agents.join(admins, F.col("user_id") == F.col("__admin"), "left_semi").select(F.col("id").alias("agent_id"), F.col("user_id").alias("prior_user_id")))
+    many = moves.count()
+    if not many:
+        return Change({"agents": agents, "reassignment_log": log}, counted=0)
     target = users.filter(P.same_ignoring_case("email", target_email)).select("id", "role").first()
     if target is None:
         raise Refused("reassignment_target_not_found")
@@ -396,7 +424,7 @@ def reassign_agents(users: DataFrame, agents: DataFrame, log: DataFrame, target_
     placed = numbered(moves, F.substring("agent_id", 1, 4), "agent_id")
     logged = placed.select((F.col("number") + (_next(log) - 1)).alias("id"), "agent_id", "prior_user_id", F.lit(target.id).alias("new_user_id"), moment(as_of).alias("reassigned_at"))
     moved = agents.join(admins, F.col("user_id") == F.col("__admin"), "left")
-    return Change({"agents": changed(moved, F.col("__admin").isNotNull(), user_id=target.id).select(*agents.columns), "reassignment_log": appended(log, logged)}, count=moves.count())
+    return Change({"agents": changed(moved, F.col("__admin").isNotNull(), user_id=target.id).select(*agents.columns), "reassignment_log": appended(log, logged)}, counted=many)
 
 
 def undo_reassignment(users: DataFrame, agents: DataFrame, log: DataFrame) -> Change:

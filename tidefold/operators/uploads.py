@@ -30,8 +30,8 @@ def _marked(hashed: DataFrame, *order: str) -> DataFrame:
 
 
 def latest(df: DataFrame, key: str, at: str, *also: str) -> DataFrame:
-    """W2: the latest moment of each key, and other columns as of then; partial aggregates meet, no sort."""
-    return df.groupBy(key).agg(F.max(at).alias(at), *(F.max_by(c, at).alias(c) for c in also))
+    """W2: the latest moment of each key, and other columns as of then (of equal moments the greatest value); partial aggregates meet, no sort."""
+    return df.groupBy(key).agg(F.max(at).alias(at), *(F.max_by(c, F.when(F.col(at).isNotNull(), F.struct(at, c))).alias(c) for c in also))
 
 
 def upload(files: DataFrame, uploads: DataFrame, batch: DataFrame, max_bytes: int = MAX_BYTES, known: DataFrame | None = None, first_id: int | None = None) -> Change:

@@ -14,7 +14,7 @@ from tidefold.functions import predicates as P
 from tidefold.functions import scalars as X
 from tidefold.operators import paging, relational, transitions, uploads
 from tidefold.plans.catalogue import AGENTS_SQL, AS_OF, as_agents, as_sessions, ntz, oracle_sql, queries, registered
-from tidefold.schemas import broken_rules, check_any, check_limits, check_text, repeated_keys, schema
+from tidefold.schemas import broken_arguments, broken_rules, repeated_keys, schema
 from tidefold.sources.listings import decoded
 
 #: All queries that are registered, those of the catalogue and those here.
@@ -107,19 +107,18 @@ def code_format(t):
     return t("events").select("event_id", code.alias("code")).select("event_id", F.col("code").rlike("^[A-HJ-NP-Z2-9]{4}-[A-HJ-NP-Z2-9]{4}$").alias("fine"))
 
 
-@registered("""SELECT argument, value, value BETWEEN least AND most AS accepted FROM (VALUES ('limit', 1, 200), ('offset', 0, 1099511627776), ('stale_days', 1, 3650), ('hours', 1, 720), ('page', 1, 1099511627776), ('text', 1, 320), ('fields', 1, 3)) a(argument, least, most),
-  (VALUES (-1), (0), (1), (2), (3), (200), (201), (320), (321), (720), (721), (3650), (3651)) v(value) WHERE value >= 0 OR argument NOT IN ('text', 'fields')""")
+@registered("""WITH r AS (SELECT l_orderkey, l_linenumber, array_to_string(list_filter([CASE WHEN l_partkey % 260 - 20 NOT BETWEEN 1 AND 200 THEN 'limit' END, CASE WHEN l_suppkey % 4 - 1 < 0 THEN 'offset' END,
+  CASE WHEN l_orderkey % 13 = 0 OR l_orderkey % 4000 NOT BETWEEN 1 AND 3650 THEN 'stale_days' END, CASE WHEN l_quantity * 20 NOT BETWEEN 1 AND 720 THEN 'hours' END, CASE WHEN l_linenumber = 7 OR l_partkey % 350 NOT BETWEEN 1 AND 320 THEN 'email' END,
+  CASE WHEN l_returnflag <> 'R' AND l_linestatus <> 'F' THEN 'any of role, disabled' END], lambda x: x IS NOT NULL), ';') AS broken FROM lineitem) SELECT * FROM r WHERE broken <> ''""")
 def argument_checks(t):
-    spark = t("region").sparkSession
-    values = (-1, 0, 1, 2, 3, 200, 201, 320, 321, 720, 721, 3650, 3651)
-    calls: dict[tuple[str, int], Callable[[], object]] = {}
-    for name, (least, most) in {"limit": (1, 200), "offset": (0, 1 << 40), "stale_days": (1, 3650), "hours": (1, 720), "page": (1, 1 << 40)}.items():
-        calls |= {(name, v): lambda name=name, v=v, least=least, most=most: check_limits(**{name: (v, least, most)}) for v in values}
-    calls |= {("text", v): lambda v=v: check_text("email", "x" * v, 1, 320) for v in values if v >= 0}
-    calls |= {("fields", v): lambda v=v: check_any(**{f"f{k}": True if k < v else None for k in range(3)}) if v <= 3 else check_limits(fields=(v, 1, 3)) for v in values if v >= 0}
-    done = {f"{name} {v}": call for (name, v), call in calls.items()}
-    codes = _codes(spark, done)
-    return codes.select(F.split_part("case", F.lit(" "), F.lit(1)).alias("argument"), F.split_part("case", F.lit(" "), F.lit(2)).cast("int").alias("value"), (F.col("code") == "ok").alias("accepted"))
+    """Commands with numbers, texts and optional fields: those that are refused, and for which arguments."""
+    commands = t("lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_partkey") % 260 - 20).alias("limit"), (F.col("l_suppkey") % 4 - 1).alias("offset"), F.when(F.col("l_orderkey") % 13 != 0, F.col("l_orderkey") % 4000).alias("stale_days"),
+        (F.col("l_quantity") * 20).alias("hours"), F.when(F.col("l_linenumber") != 7, F.repeat(F.lit("x"), (F.col("l_partkey") % 350).cast("int"))).alias("email"), F.when(F.col("l_returnflag") == "R", "admin").alias("role"),
+        F.when(F.col("l_linestatus") == "F", True).alias("disabled"),
+    )
+    limits = {"limit": (1, 200), "offset": (0, 1 << 40), "stale_days": (1, 3650), "hours": (1, 720)}
+    return broken_arguments(commands, limits, {"email": (1, 320)}, ("role", "disabled")).select("l_orderkey", "l_linenumber", F.array_join("broken", ";").alias("broken"))
 
 
 @registered("""WITH r AS (SELECT doc_id, array_to_string(list_filter([CASE WHEN lang = 'de' THEN 'content_type_missing' END, CASE WHEN doc_id % 7 = 0 THEN 'storage_path_missing' END, CASE WHEN doc_id % 2 = 0 THEN 'sha256_too_long' END,
@@ -184,10 +183,7 @@ def events_parsed(t):
     part = F.col("event_id") % 4
     body = F.when(part == 3, "no json").otherwise(F.to_json(F.struct(F.md5("props").alias("sha256"), F.when(part < 2, F.col("user_id")).alias("user_id"), F.lit(1).alias("more"), F.col("event_id").cast("string").alias("content_type"))))
     rows = t("events").select("event_id", body.alias("value"))
-    # the payload itself says which event it is; broken ones say nothing
-    said = parse_events(rows.filter(part < 3), "file.ingested").select(F.col("content_type").cast("long").alias("event_id"), "sha256", "user_id")
-    silent = rows.filter(part == 3)
-    return said.union(silent.crossJoin(parse_events(silent.limit(1), "file.ingested")).select("event_id", "sha256", "user_id"))
+    return parse_events(rows, "file.ingested", keep=("event_id",)).select("event_id", "sha256", "user_id")
 
 
 # --- users ----------------------------------------------------------------------------------------------------------------
@@ -457,14 +453,15 @@ def upload_events(t):
     return said.join(ids, same).select("sha256", "event_id", F.col("e.user_id").alias("user_id"), F.col("e.content_type").alias("content_type"))
 
 
-@registered("SELECT sha256, CAST(min(doc_id) AS INTEGER) AS user_id, count(*) AS uploads FROM (SELECT doc_id, sha256(text) AS sha256 FROM documents) GROUP BY 1")
+@registered("SELECT sha256, CAST(min(doc_id) AS INTEGER) AS user_id, count(*) AS uploads, any_value(md5(text)) AS body FROM (SELECT doc_id, text, sha256(text) AS sha256 FROM documents WHERE text <> '') GROUP BY 1")
 def upload_stream(t):
     """The documents as a stream of uploads, run to its end; files, uploads and announced events, and the stored bytes, must agree."""
     from tidefold.session import scratch
+    from tidefold.sources.blobs import read_bodies
     from tidefold.sources.versions import read_batches
     from tidefold.streaming.uploads import ingest_stream
 
-    docs = t("documents")
+    docs = t("documents").filter("text <> ''")
     spark = docs.sparkSession
     root = scratch(spark, "uploads")
     docs.select(
@@ -472,32 +469,11 @@ def upload_stream(t):
         F.lit("a").alias("agent_registration_id"), P.moment(AS_OF).alias("uploaded_at"),
     ).write.parquet(f"{root}/in")
     source = spark.readStream.schema(spark.read.parquet(f"{root}/in").schema).parquet(f"{root}/in")
-    ingest_stream(source, f"{root}/tables", f"{root}/checkpoint", f"{root}/events").awaitTermination()
+    ingest_stream(source, f"{root}/tables", f"{root}/checkpoint", f"{root}/events", f"{root}/raw").awaitTermination()
+    stored = read_bodies(spark, f"{root}/raw").select("sha256", F.md5("content").alias("body"))
     said = spark.read.schema("topic string, sha256 string, payload string").json(f"{root}/events").select("sha256", F.from_json("payload", schema("file.ingested"))["user_id"].alias("user_id"))
     many = read_batches(spark, f"{root}/tables", "uploads").groupBy("sha256").agg(F.count(F.lit(1)).alias("uploads"))
-    return said.join(many, "sha256").join(read_batches(spark, f"{root}/tables", "files").select("sha256"), "sha256")
-
-
-@registered("""WITH c AS (SELECT event_id AS seq, ts, CASE WHEN event_id % 3 = 0 THEN 'consume' ELSE 'mint' END AS kind, CAST(user_id AS INTEGER) AS user_id, 'c' || CAST(floor(event_id / 9) AS BIGINT) * 3 + event_id % 3 % 2 AS code FROM events),
-w AS (SELECT *, lag(kind) OVER o AS before, lag(ts) OVER o AS since, lag(user_id) OVER o AS owner FROM c WINDOW o AS (PARTITION BY code ORDER BY seq))
-SELECT code, seq, CASE WHEN before = 'mint' AND since + INTERVAL 36000 SECOND > ts THEN owner END AS user_id FROM w WHERE kind = 'consume'""")
-def codes_consumed(t):
-    """Codes minted and consumed by the events as a stream: a consume wins if the command for its code before it was a mint that still holds."""
-    from tidefold.session import scratch
-    from tidefold.streaming import codes
-
-    events = t("events")
-    spark = events.sparkSession
-    root = scratch(spark, "codes")
-    code = F.concat(F.lit("c"), (F.floor(F.col("event_id") / 9) * 3 + F.col("event_id") % 3 % 2).cast("string"))
-    kind = F.when(F.col("event_id") % 3 == 0, "consume").otherwise("mint")
-    commands = events.select(code.alias("code"), kind.alias("kind"), F.col("user_id").cast("string").alias("user_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"))
-    commands.coalesce(1).write.parquet(f"{root}/in")  # one file: one micro-batch
-    codes.use_rocksdb(spark)
-    stream = spark.readStream.schema(commands.schema).parquet(f"{root}/in")
-    query = codes.consumed(stream, 36_000, "3650 days").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema("code string, seq long, user_id int").parquet(f"{root}/out")
+    return said.join(many, "sha256").join(read_batches(spark, f"{root}/tables", "files").select("sha256"), "sha256").join(stored, "sha256")
 
 
 @registered("""SELECT DISTINCT sha256(text) AS sha256, strlen(text) AS size_bytes, CASE WHEN strlen(text) > 1500 THEN 'file_too_large' ELSE 'ok' END AS code, CASE WHEN strlen(text) <= 1500 THEN md5(text) END AS body FROM documents""")

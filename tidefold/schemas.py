@@ -79,6 +79,16 @@ def broken_rules(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn("broken", marks).filter(F.size("broken") > 0)
 
 
+def broken_arguments(df: DataFrame, limits: dict[str, tuple[float, float]] | None = None, texts: dict[str, tuple[int, int]] | None = None, any_of: tuple[str, ...] = ()) -> DataFrame:
+    """The commands (rows) whose arguments are refused, with ``broken``, the names of those: numbers outside their limits or missing, texts that are too short, too long or missing, and ``any_of`` if none of
+    these is given. The same rules as ``check_limits``, ``check_text`` and ``check_any``, for commands that come in numbers."""
+    rules = [(name, F.col(name).isNull() | ~F.col(name).between(low, high)) for name, (low, high) in (limits or {}).items()]
+    rules += [(name, F.col(name).isNull() | ~F.length(name).between(least, most)) for name, (least, most) in (texts or {}).items()]
+    rules += [("any of " + ", ".join(any_of), reduce(Column.__and__, [F.col(c).isNull() for c in any_of]))] if any_of else []
+    marks = F.filter(F.array(*(F.when(bad, F.lit(rule)) for rule, bad in rules)), lambda x: x.isNotNull())
+    return df.withColumn("broken", marks).filter(F.size("broken") > 0)
+
+
 def repeated_keys(df: DataFrame, name: str) -> DataFrame:
     """Values that a key or a unique column holds more than once: ``rule``, ``value``, ``n``."""
     rules = [", ".join(KEYS[name]), *UNIQUE.get(name, ())]

@@ -101,8 +101,8 @@ class Known:
     def add(self, new: DataFrame, number: int, figures: dict | None = None) -> dict:
         """Let later batches know the hashes that ``of`` called new. Gives the figures, with what was added."""
         folder, _ = self._generation(number)
-        touched = [r.shard for r in new.select("shard").distinct().collect()]
-        n = new.count()
+        counts = new.groupBy("shard").count().collect()
+        touched, n = [r[0] for r in counts], sum(r[1] for r in counts)
         if n:
             self._write(new.select("sha256", "shard", F.lit(number).cast("long").alias("batch")), f"{folder}/data", "shard", "batch")
             self._write(self._filters(new, self._latest(folder, touched, number), number), f"{folder}/filters", "shard", "slot")

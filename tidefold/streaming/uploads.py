@@ -66,9 +66,9 @@ def new_contents(events: DataFrame, keep: str = "30 days") -> DataFrame:
     return events.withWatermark("uploaded_at", keep).dropDuplicatesWithinWatermark(["sha256"])
 
 
-def parse_events(raw: DataFrame, topic: str, column: str = "value") -> DataFrame:
-    """JSON payloads of a topic; unknown fields are ignored, missing ones null, malformed payloads give nulls throughout."""
-    return raw.select(F.from_json(F.col(column).cast("string"), schema(topic)).alias("e")).select("e.*")
+def parse_events(raw: DataFrame, topic: str, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """JSON payloads of a topic, beside the columns ``keep`` of the message; unknown fields are ignored, missing ones null, malformed payloads give nulls throughout."""
+    return raw.select(F.from_json(F.col(column).cast("string"), schema(topic)).alias("e"), *keep).select(*keep, "e.*")
 
 
 def publish(df: DataFrame, topic: str) -> DataFrame:
