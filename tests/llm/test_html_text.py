@@ -161,3 +161,24 @@ def test_long_page():
     assert text("<article>" + "<p>word &amp; word</p>" * 50_000 + "</article>").count("\n") == 49_999
     assert len(text("<main>" + "w " * 1_000_000)) == 1_999_999
     assert text("<article>" + "<div>" * 3000 + "x") == "x"
+
+
+def test_names_of_comments_and_adverts():
+    """Words of furniture anywhere in a name, unless the name is one of content."""
+    for inner in ('<div class="reader-comments">x</div>', '<div id="user-comments">x</div>', '<div class="fb-comments">x</div>', '<div class="google-ads">x</div>', '<div class="entry-footer">x</div>', '<section class="site newsletter-box">x</section>'):
+        assert text(f"<article><p>a</p>{inner}<p>b</p></article>") == "a\nb", inner
+    assert text("<article><p>a <span class='ad'>buy <b>now</b></span>b</p><p>c</p></article>") == "a b\nc"
+    for inner in ('<section id="using-cookies">x</section>', '<div class="has-sidebar">x</div>', '<div class="comments-on-law">x</div>', '<span class="comment">x</span>', '<div id="moderating-comments">x</div>'):
+        assert text(f"<article><p>a</p>{inner}</article>") == "a\nx", inner
+
+
+def test_the_main_one_of_several_articles():
+    body = "<p>A long story with many words.</p>" * 3
+    told = "\n".join(["A long story with many words."] * 3)
+    assert text(f"<article>{body}</article><h2>More</h2><article class='card'><p>A teaser.</p></article><article class='card'><p>Another.</p></article>") == told
+    assert text(f"<article class='card'><p>First a teaser.</p></article><article>{body}</article>") == told
+    assert text(f"<article>{body}</article><article>{body}</article>") == f"{told}\n{told}"
+    assert text(f"<main>{body}<div class='related-article'><p>Other</p></div></main>") == f"{told}\nOther"
+    assert text(f"<div class='article-list'><p>one</p></div><div class='post-content'>{body}</div><div class='related-article'><p>Other</p></div>") == told
+    assert text("<div class='article-list'><p>one</p></div><div class='related-article'><p>two</p></div>") is None
+    assert text(f"<article>{body}<article class='reply'><p>no</p></article></article>") == told

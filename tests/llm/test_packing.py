@@ -103,3 +103,12 @@ def test_special_tokens_and_other_files(tmp_path):
     text = "It's 2024, Don't\nSHOUT  é é"
     made = packing.WordIds(other)
     assert made.words is None and np.frombuffer(made.of_text(text), "<u4").tolist() == Tokenizer.from_file(other).encode(text, add_special_tokens=False).ids
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(3, "some words", 1), (4, None, 2)], "length long, text string, __bucket int")
+    made = packing.pieces(df, "length", "text", PATH)
+    assert made.columns == ["id", "piece", "start", "length", "ids"] and sorted(r.id for r in made.collect()) == [3, 4]
+    rows = spark.createDataFrame([(1, 10, 5, 6, 7), (2, 20, 5, 6, 7)], "key long, length int, __bucket int, __n int, sequence_id long")
+    got = packing.pack(rows, "length", ["key"])
+    assert got.columns == ["key", "length", "__bucket", "__n", "sequence_id", "offset"] and got.filter("__bucket = 5 AND __n = 6").count() == 2

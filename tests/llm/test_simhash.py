@@ -127,3 +127,8 @@ def test_several_fingerprints(spark):
     assert sorted(r.doc_id for r in s.keep_one(df, "doc_id", "text").collect()) == one
     assert sorted(r.doc_id for r in s.keep_one(df, "doc_id", "text", 4).collect()) == four
     assert len(four) < len(one)
+
+
+def test_keep_one_leaves_clashing_names_alone(spark):
+    df = spark.createDataFrame([(1, "a b c d", 7, "x", 1), (2, "a b c d", 8, "y", 2), (3, "other words", 9, "z", 3)], "doc_id long, text string, __row int, __times string, fp int")
+    assert sorted(map(tuple, s.keep_one(df, "doc_id", "text", 2).collect())) == [(1, "a b c d", 7, "x", 1), (3, "other words", 9, "z", 3)]

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from tidefold.llm import suffix_dedup as sd
 
@@ -101,3 +102,24 @@ def test_equal_first_hashes_are_not_enough(spark, monkeypatch):
     assert sd.extended(plain, opened, 24).count() == 0
     twice = spark.createDataFrame([*docs, (9, docs[0][1])], "doc long, text string")
     assert sd.extended(twice, opened.union(spark.createDataFrame([(9, sd._tag(docs[0][1]), 0, 5)], opened.schema)), 24).count() == 12
+
+
+def test_whole_matches_ask_both_hashes(spark, monkeypatch):
+    """With a first hash that takes all ranges of 50 words and more for equal, texts that share 40 words only share no passage."""
+    ranges = sd.Hashes.ranges
+    shared = [f"s{k}" for k in range(40)]
+    docs = spark.createDataFrame([(d, " ".join([f"d{d}a{k}" for k in range(8)] + shared + [f"d{d}b{k}" for k in range(8)])) for d in range(3)], "doc_id long, text string")
+
+    class Blind(sd.Hashes):
+        def ranges(self, sums, start, end, which=0):
+            return np.where(np.asarray(end) - np.asarray(start) >= 50, np.uint64(7), ranges(self, sums, start, end, which)) if not which else ranges(self, sums, start, end, which)
+
+    monkeypatch.setattr(sd, "Hashes", Blind)
+    assert sd.repeats(docs).count() == 0
+
+
+def test_clashing_names(spark):
+    passage = " ".join(f"p{k}" for k in range(60))
+    df = spark.createDataFrame([(1, f"a {passage}", "x", "y", 5), (2, f"{passage} b", "x", "z", 6)], "doc_id long, text string, __of string, __cuts string, __new int")
+    got = {r.doc_id: tuple(r) for r in sd.remove_repeats(df).collect()}
+    assert got[1] == (1, f"a {passage}", "x", "y", 5) and got[2] == (2, "b", "x", "z", 6)

@@ -87,3 +87,16 @@ def map_rows(
 def plain(name: str) -> str:
     """A column name quoted for use in expressions."""
     return "`" + name.replace("`", "``") + "`"
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        made = f"__{name}"
+        while made.lower() in taken:
+            made += "_"
+        taken.add(made.lower())
+        out.append(made)
+    return out

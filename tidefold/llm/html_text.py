@@ -2,7 +2,8 @@
 
 A page is cut into blocks at block-level tags. Scripts, styles, forms, navigation, headers, footers, sidebars, notices,
 adverts and reader comments go by element, role, class or id. If the page marks its article (``article``, else ``main``),
-the blocks inside are its text, in order; else its open blocks are.
+the blocks inside are its text, in order; else its open blocks are. Of several articles the largest counts, and with it those of at least half its
+characters; smaller ones are teasers of others. Of an article's own header the headings stay; what else stands there (authors, dates, leads) goes.
 
 The array holds all pages of a host. The words of a page's blocks outside articles form one token stream with a mark between
 blocks, and every suffix of it stands under the host and its first ``run`` tokens. Nothing but whole blocks is cut from an
@@ -62,6 +63,20 @@ AROUND = frozenset(
     "a area articles bar block body bottom box btn button buttons center col column container content cta desktop element feed footer global group header holder inner inline item items"
     " layer left link links list local main mobile module outer overlay page pane panel post posts primary right row secondary section site slot small stories strip thread top unit wrap wrapper x".split()
 )
+#: A name also does if this is the last of its words that is neither a number nor of AROUND (``reader-comments``), unless it says what else has one (``has-sidebar``). Ids are often made of
+#: headings, so that theirs do only after one of OWNERS.
+HEADS = frozenset(
+    "ads advert adverts advertisement advertisements advertising adsense breadcrumb breadcrumbs comments cookies disqus footer gdpr masthead navbar navigation newsletter paywall popup sidebar sponsored".split()
+)
+STATES = frozenset("has have is with without no hide show hides shows toggle".split())
+OWNERS = frozenset("ad article articles blog entry facebook fb google guest page post posts reader readers site user users visitor web wp".split())
+#: Classes of inline elements that are adverts.
+ADS = frozenset("ad ads advert advertisement advertising adsense".split())
+#: Words of names that are about articles and mark none.
+NO_ARTICLE = frozenset(
+    "actions ad ads archive author byline card cards carousel comment comments date feed footer grid header image images index info latest link links list lists meta more nav navigation other others pager"
+    " pagination popular preview previews promo recommended related share sharing sidebar similar slider summary tags teaser teasers thumb thumbnail title toolbar tools".split()
+)
 HEADERS = frozenset({"header"})
 #: Elements that hold text themselves: their names and ids are about their text. Those of NOTED go if a class is a word of NAMES, and no more.
 NOTED = frozenset("p blockquote figure figcaption table tr td li dt dd".split())
@@ -83,12 +98,24 @@ class Block(NamedTuple):
     place: str
     #: share of its characters that are link text
     linked: float
+    #: which of the page's outermost articles it is in
+    part: int = 0
 
 
-def _names_furniture(name: str) -> bool:
+def _names_furniture(name: str, of_class: bool = True) -> bool:
     """Whether one class or id (lower case) does."""
-    parts = set(filter(None, re.split(r"[^a-z]+", name)))
-    return not parts.isdisjoint(NAMES) and parts <= NAMES | AROUND
+    words = list(filter(None, re.split(r"[^a-z]+", name)))
+    parts = set(words)
+    if not parts.isdisjoint(NAMES) and parts <= NAMES | AROUND:
+        return True
+    telling = [w for w in words if w not in AROUND or w in HEADS]
+    return bool(telling) and telling[-1] in HEADS and words[0] not in STATES and (of_class or set(telling[:-1]) <= OWNERS)
+
+
+def _names_article(name: str) -> bool:
+    """Whether one class or id (lower case) marks an article."""
+    parts = set(re.split(r"[^a-z0-9]+", name))
+    return ("article" in parts or "content" in parts and not parts.isdisjoint(CONTENT_OF)) and parts.isdisjoint(NO_ARTICLE)
 
 
 def _kind(tag: str, attributes: str, inside: bool) -> str:
@@ -96,7 +123,7 @@ def _kind(tag: str, attributes: str, inside: bool) -> str:
     named: set[str] = set()
     classes: set[str] = set()
     role = ""
-    furniture = False
+    furniture = body = False
     if attributes and "=" in attributes or "hidden" in attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -105,13 +132,13 @@ def _kind(tag: str, attributes: str, inside: bool) -> str:
             elif name in ("class", "id"):
                 if name == "class":
                     classes.update(value.split())
-                named.update(re.split(r"[^a-z0-9]+", value))
+                named.update(value.split())
                 if tag not in TEXTS:
-                    furniture = furniture or any(map(_names_furniture, value.split()))
+                    furniture = furniture or any(_names_furniture(x, name == "class") for x in value.split())
                 elif tag in NOTED and name == "class":
                     furniture = furniture or not NAMES.isdisjoint(value.split())
             elif name == "itemprop":
-                named.add(value.strip())
+                body = body or value.strip() == "articlebody"
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                 return "furniture"
     if tag in ("html", "body"):
@@ -124,8 +151,10 @@ def _kind(tag: str, attributes: str, inside: bool) -> str:
         return "furniture"
     if tag in HEADERS or "header" in classes and not _HEADING.match(tag):
         return "header" if inside else "furniture"
-    if tag not in TEXTS and ("article" in named or "content" in named and named & CONTENT_OF or "articlebody" in named):
+    if tag not in TEXTS and (body or any(map(_names_article, named))):
         return "article"
+    if tag == "span" and not classes.isdisjoint(ADS):
+        return "mute"
     return ""
 
 
@@ -138,6 +167,7 @@ def blocks(page: str | None) -> list[Block]:
     links = 0
     #: open elements that matter: [tag, kind, how many of the same tag are open inside]
     stack: list[list] = []
+    articles = 0
 
     def place() -> str:
         kinds = [s[1] for s in stack]
@@ -152,7 +182,7 @@ def blocks(page: str | None) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, place(), linked / max(1, chars)))
+                out.append(Block(text, place(), linked / max(1, chars), articles))
         parts, linked, chars = [], 0, 0
 
     last: dict[str, int] = {}
@@ -169,7 +199,7 @@ def blocks(page: str | None) -> list[Block]:
         tag = m[2]
         if tag is None:
             text = m[0]
-            if text[0] != "<" or text == "<":
+            if (text[0] != "<" or text == "<") and not any(s[1] == "mute" for s in stack):
                 parts.append(text)
                 chars += len(text)
                 linked += len(text) * (links > 0)
@@ -199,7 +229,7 @@ def blocks(page: str | None) -> list[Block]:
                     if stack[k][2]:
                         stack[k][2] -= 1
                     else:
-                        if not breaks and stack[k][1]:
+                        if not breaks and stack[k][1] and stack[k][1] != "mute":
                             end_block()
                         del stack[k:]
                     break
@@ -211,8 +241,9 @@ def blocks(page: str | None) -> list[Block]:
             # a form around the page is no furniture, nor is what nothing closes
             stack[:] = [s for s in stack if s[1] not in ("furniture", "header") or s[0] != "form" and not left_open(s[0], at)]
         if kind or _HEADING.match(tag):
-            if not breaks and kind:
+            if not breaks and kind and kind != "mute":
                 end_block()
+            articles += kind == "article" and not any(s[1] == "article" for s in stack)
             stack.append([tag, kind, 0])
         else:
             for s in reversed(stack):
@@ -224,11 +255,14 @@ def blocks(page: str | None) -> list[Block]:
 
 
 def own_blocks(found: list[Block]) -> list[int]:
-    """The blocks of the marked article, if there is one."""
+    """The blocks of the marked article, if there is one; of several, those of the largest, and of others that are not much smaller."""
     for where in ("article", "main"):
         own = [k for k, b in enumerate(found) if b.place == where]
         if own:
-            return own
+            sizes = Counter()
+            for k in own:
+                sizes[found[k].part] += len(found[k].text)
+            return [k for k in own if where == "main" or 2 * sizes[found[k].part] >= max(sizes.values())]
     return []
 
 

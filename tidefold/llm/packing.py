@@ -10,7 +10,8 @@ Ranks: pieces of one length are dealt over BUCKETS buckets by a hash; a rank is
 buckets plus the place inside its own, so that one very common length is not ranked by one task.
 
 Null text counts as empty: one piece that holds the end token only. Rows with equal ids stay apart. Ties in rank go
-by the key columns. An empty table gives an empty result. Other columns of the input do not matter.
+by the key columns. An empty table gives an empty result. Other columns of the input do not matter; an id column that is named like a
+column of the result comes back as ``id``.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from tidefold.llm.common import map_rows, plain
+from tidefold.llm.common import fresh, map_rows, plain
 
 BUCKETS = 1024
 
@@ -160,7 +161,8 @@ def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer_path: str, end_i
         return cut
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_rows(df, make, [plain(id_col), plain(text_col)], f"{plain(id_col)} {kind}, piece int, start long, length long, ids binary")
+    name = "id" if id_col.lower() in ("piece", "start", "length", "ids") else id_col
+    return map_rows(df, make, [plain(id_col), plain(text_col)], f"{plain(name)} {kind}, piece int, start long, length long, ids binary")
 
 
 # --- plan -------------------------------------------------------------------------------------------------------
@@ -216,17 +218,18 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 
 def ranked(df: DataFrame, length_col: str, key_cols: list[str], buckets: int = BUCKETS) -> DataFrame:
     """Add ``rank`` (from 0) among the rows of one length."""
-    dealt = df.withColumn("__bucket", F.pmod(F.xxhash64(*key_cols), F.lit(buckets)).cast("int"))
-    counts = dealt.groupBy(length_col, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(length_col).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(length_col, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy(length_col, "__bucket").orderBy(*key_cols)
-    numbered = dealt.withColumn("__in", F.row_number().over(inside) - 1)
-    return numbered.join(offsets, [length_col, "__bucket"]).withColumn("rank", F.col("__before") + F.col("__in")).drop("__bucket", "__before", "__in")
+    bucket, n, before, inside = fresh(df, "bucket", "n", "before", "in")
+    dealt = df.withColumn(bucket, F.pmod(F.xxhash64(*key_cols), F.lit(buckets)).cast("int"))
+    counts = dealt.groupBy(length_col, bucket).agg(F.count(F.lit(1)).alias(n))
+    earlier = Window.partitionBy(length_col).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(length_col, bucket, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
+    numbered = dealt.withColumn(inside, F.row_number().over(Window.partitionBy(length_col, bucket).orderBy(*key_cols)) - 1)
+    return numbered.join(offsets, [length_col, bucket]).withColumn("rank", F.col(before) + F.col(inside)).drop(bucket, before, inside)
 
 
 def pack(df: DataFrame, length_col: str, key_cols: list[str], capacity: int = 4096) -> DataFrame:
-    """Add ``sequence_id`` and ``offset``. ``df`` is read twice (counts, then slots): give a stored table."""
+    """Add ``sequence_id`` and ``offset``, in place of columns of these names and of ``rank``. ``df`` is read twice (counts, then slots): give a stored table."""
+    df = df.drop("sequence_id", "offset", "rank")
     counts = df.groupBy(length_col).agg(F.count(F.lit(1)).alias("n")).collect()  # at most ``capacity`` rows
     slots = np.array(plan({int(r[0]): int(r[1]) for r in counts}, capacity), dtype=np.int64).reshape(-1, 5)
     slots = slots[np.lexsort((slots[:, 1], slots[:, 0]))]

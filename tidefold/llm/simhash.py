@@ -23,10 +23,10 @@ from collections.abc import Iterable
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidefold.llm.common import map_rows, plain, stored, words_of
+from tidefold.llm.common import fresh, map_rows, plain, stored, words_of
 from tidefold.llm.graph import components
 
 #: A pair within two bits shares about half of its 64 variants: from here on 65 midpoints for each fingerprint are fewer rows than pairs.
@@ -86,18 +86,13 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, size: int = 3, seed:
     return map_rows(df, make, [plain(id_col), plain(text_col)], f"{plain(id_col)} {kind}, " + ", ".join(f"{n} long" for n in names))
 
 
-def _numbers(last: int) -> Column:
-    """0 to ``last`` for every fingerprint that is not null."""
-    return F.sequence(F.when(F.col("fp").isNotNull(), F.lit(0)), F.lit(last))
-
-
 def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     """From distinct fingerprints (``fp``) to links ``a``, ``b`` (different, at most two bits apart). Not every such pair is
     there, but all pairs are connected by links."""
     # a row becomes 64: a number of partitions that Spark does not merge by size
     fps = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     # p: 0-31 the low segment's wildcard bit, 32-63 the high segment's
-    variants = fps.select("fp", F.explode(_numbers(63)).alias("p")).select(
+    variants = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p")).select(
         "fp",
         F.expr(
             "shiftleft(cast(p as long), 32) | "
@@ -115,7 +110,7 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     )
 
     many = shared.filter(F.col("n") > crowd).select("fp").distinct()
-    midpoints = many.select("fp", F.explode(_numbers(64)).alias("p")).select("fp", F.expr("if(p = 64, fp, fp ^ shiftleft(1L, p))").alias("mid"))
+    midpoints = many.select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("p")).select("fp", F.expr("if(p = 64, fp, fp ^ shiftleft(1L, p))").alias("mid"))
     least = midpoints.groupBy("mid").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("mid", "a")
     stars = midpoints.join(least, "mid").filter("a < fp").select("a", F.col("fp").alias("b"))
     return pairs.union(stars).distinct()
@@ -152,19 +147,20 @@ def keep_one(df: DataFrame, id_col: str, text_col: str, count: int = 1) -> DataF
     """Of each group (rows whose fingerprints links reach, through any of ``count`` fingerprints) one row of ``df``: the one with the least
     id, nulls last, and of these with the least hash over all columns. Columns as before."""
     columns = [plain(c) for c in df.columns]
+    own, times = fresh(df, "row", "times")
     # xxhash64 passes over nulls: where they stand is hashed too
     row = F.xxhash64(*columns, *(F.col(c).isNull() for c in columns))
-    rows = df.withColumn("__row", row)
-    key = F.struct(F.col(plain(id_col)).isNull().alias("none"), F.col(plain(id_col)).alias("id"), F.col("__row").alias("row"))
+    rows = df.withColumn(own, row)
+    key = F.struct(F.col(plain(id_col)).isNull().alias("none"), F.col(plain(id_col)).alias("id"), F.col(own).alias("row"))
     fps = stored(fingerprints(rows.select(key.alias("key"), F.col(plain(text_col)).alias("text")), "key", "text", count=count), "fingerprints")
     different = stored(fps.groupBy("fp").agg(F.min("key").alias("least")), "different")
     nodes = stored(fps.select("fp", *(f"fp{k}" for k in range(1, count))).distinct(), "nodes") if count > 1 else different
     of = components(united(nodes, count)).withColumnRenamed("node", "fp")
     least = different.join(of, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
-    times = fps.groupBy(F.col("key.row").alias("__row")).agg(F.count(F.lit(1)).alias("__times"))
-    kept = stored(least.select(F.col("least.row").alias("__row")).join(times, "__row"), "kept")
+    occur = fps.groupBy(F.col("key.row").alias(own)).agg(F.count(F.lit(1)).alias(times))
+    kept = stored(least.select(F.col("least.row").alias(own)).join(occur, own), "kept")
     # a merge join at every size: what stays grows with the documents
-    once = rows.join(kept.filter("__times = 1").select("__row").hint("merge"), "__row", "left_semi")
+    once = rows.join(kept.filter(F.col(times) == 1).select(own).hint("merge"), own, "left_semi")
     # repeated rows: one stays, aggregated before the exchange
-    again = rows.join(kept.filter("__times > 1").select("__row"), "__row", "left_semi").dropDuplicates(["__row"])
+    again = rows.join(kept.filter(F.col(times) > 1).select(own), own, "left_semi").dropDuplicates([own])
     return once.union(again).select(*columns)

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidefold.llm.common import bounded, map_rows, plain, stored, words_of
+from tidefold.llm.common import bounded, fresh, map_rows, plain, stored, words_of
 
 LEAST, WINDOW, GRAM = 50, 25, 5
 #: Kinds of suffixes; one that begins a run of equal ones may be open too.
@@ -123,9 +123,10 @@ def _tag(text: str) -> int:
 
 
 def suffixes(docs: DataFrame, least: int = LEAST, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """The kept suffixes of ``doc``, ``text``: key, all (hashes), doc, tag, lo, hi (their first and last window start)."""
+    """The kept suffixes of ``doc``, ``text``: key (a hash of their first words), all and more (the second and the first hash of all their words), doc, tag, lo, hi (their first and
+    last window start)."""
     head = least - window + 1
-    names = ["key", "all", "doc", "tag", "lo", "hi"]
+    names = ["key", "all", "more", "doc", "tag", "lo", "hi"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Hashes()
@@ -143,11 +144,14 @@ def suffixes(docs: DataFrame, least: int = LEAST, window: int = WINDOW, gram: in
                     n = len(words)
                     if n < least:
                         continue
-                    sums = of.sums(of.own(words))
+                    own = of.own(words)
+                    sums = of.sums(own)
                     pos, lo, hi = kept_suffixes(sums, n, of, least, window, gram)
                     key = of.ranges(sums, pos, pos + head)
-                    whole = of.ranges(sums, lo, hi + least) + np.uint64(31) * (pos - lo).astype(np.uint64) + (hi - lo).astype(np.uint64)
-                    values = (key.view(np.int64), whole.view(np.int64), np.full(len(pos), doc.as_py()), np.full(len(pos), _tag(text)), lo.astype(np.int32), hi.astype(np.int32))
+                    shape = np.uint64(31) * (pos - lo).astype(np.uint64) + (hi - lo).astype(np.uint64)
+                    more = of.ranges(sums, lo, hi + least)
+                    whole = of.ranges(of.sums(own, 1), lo, hi + least, 1) + shape
+                    values = (key.view(np.int64), whole.view(np.int64), more.view(np.int64), np.full(len(pos), doc.as_py()), np.full(len(pos), _tag(text)), lo.astype(np.int32), hi.astype(np.int32))
                     for k, v in zip(kept, values):
                         k.append(v)
                     count += len(pos)
@@ -157,14 +161,14 @@ def suffixes(docs: DataFrame, least: int = LEAST, window: int = WINDOW, gram: in
         if count:
             yield flush()
 
-    return bounded(docs).mapInArrow(run, "key long, all long, doc long, tag long, lo int, hi int")
+    return bounded(docs).mapInArrow(run, "key long, all long, more long, doc long, tag long, lo int, hi int")
 
 
 def compared(kept: DataFrame) -> DataFrame:
     """Sort and compare neighbours. Gives the suffixes that are not unique, as far as a range of the sort shows:
     ``whole`` ones repeat an earlier suffix over all their windows, whose first (doc, tag, lo) is at hand; the others are
     open: to be compared window by window."""
-    ranges = kept.repartitionByRange("key", "all", "doc", "tag", "lo").sortWithinPartitions("key", "all", "doc", "tag", "lo")
+    ranges = kept.repartitionByRange("key", "all", "more", "doc", "tag", "lo").sortWithinPartitions("key", "all", "more", "doc", "tag", "lo")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None  # the last row so far: its successor isn't known yet
@@ -174,10 +178,10 @@ def compared(kept: DataFrame) -> DataFrame:
         def decide(rows: pa.RecordBatch, last: bool) -> pa.RecordBatch | None:
             """All rows but the last one; with ``last`` that one too."""
             nonlocal first, begun
-            key, whole, doc, tag, lo = (rows.column(k).to_numpy() for k in range(5))
+            key, whole, more, doc, tag, lo = (rows.column(k).to_numpy() for k in range(6))
             n = len(key)
             like = key[1:] == key[:-1]
-            same = like & (whole[1:] == whole[:-1])
+            same = like & (whole[1:] == whole[:-1]) & (more[1:] == more[:-1])
             again = same & (doc[1:] == doc[:-1]) & (tag[1:] == tag[:-1]) & (lo[1:] == lo[:-1])  # a repeated row
             before = np.concatenate(([begun and decide.like], like))
             equal = np.concatenate(([begun and decide.same], same))
@@ -215,7 +219,7 @@ def compared(kept: DataFrame) -> DataFrame:
             if not len(chosen):
                 return None
             kind = np.where(whole_, WHOLE, np.where(is_open, OPEN, 0) + np.where(copied, BEGINS, 0))[chosen].astype(np.int32)
-            out = [rows.column(k).take(pa.array(chosen)) for k in range(2, 6)] + [pa.array(kind)] + [pa.array(own[k, chosen]) for k in range(3)]
+            out = [rows.column(k).take(pa.array(chosen)) for k in range(3, 7)] + [pa.array(kind)] + [pa.array(own[k, chosen]) for k in range(3)]
             return pa.RecordBatch.from_arrays(out, names=["doc", "tag", "lo", "hi", "kind", "first_doc", "first_tag", "first_lo"])
 
         for batch in batches:
@@ -343,23 +347,25 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """``df`` with every repeated passage cut from all texts but the first that has it; texts of which nothing is left
     go, all other rows stay. Columns as before."""
     found = stored(repeats(df, id_col, text_col, least, window).filter("size(again) > 0"), "spans").groupBy("doc").agg(
-        F.collect_list(F.struct("tag", "again")).alias("__cuts")
-    ).withColumnRenamed("doc", "__doc")
+        F.collect_list(F.struct("tag", "again")).alias("cuts")
+    )
+    of, cuts, new = fresh(df, "of", "cuts", "new")
+    found = found.select(F.col("doc").alias(of), F.col("cuts").alias(cuts))
 
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, cuts: pd.Series) -> pd.Series:
+    def cut(texts: pd.Series, found: pd.Series) -> pd.Series:
         out = []
-        for text, of in zip(texts, cuts):
-            if of is not None and text is not None:
+        for text, own in zip(texts, found):
+            if own is not None and text is not None:
                 tag = _tag(text)
-                spans = next((x["again"] for x in of if x["tag"] == tag), None)
+                spans = next((x["again"] for x in own if x["tag"] == tag), None)
                 if spans is not None:
                     text = cut_text(text, [list(map(int, s)) for s in spans])
             out.append(text)
         return pd.Series(out, dtype=object)
 
     columns = [plain(c) for c in df.columns]
-    joined = df.join(found.hint("merge"), _number(df, id_col) == F.col("__doc"), "left")
-    changed = joined.withColumn("__new", F.when(F.col("__cuts").isNull(), F.col(plain(text_col))).otherwise(cut(plain(text_col), "__cuts")))
-    left = changed.filter(F.col("__cuts").isNull() | F.col("__new").rlike(r"[^\x20\x09-\x0D]"))
-    return left.withColumn(text_col, F.col("__new")).select(*columns)
+    joined = df.join(found.hint("merge"), _number(df, id_col) == F.col(of), "left")
+    changed = joined.withColumn(new, F.when(F.col(cuts).isNull(), F.col(plain(text_col))).otherwise(cut(plain(text_col), cuts)))
+    left = changed.filter(F.col(cuts).isNull() | F.col(new).rlike(r"[^\x20\x09-\x0D]"))
+    return left.withColumn(text_col, F.col(new)).select(*columns)
