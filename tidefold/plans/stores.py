@@ -227,3 +227,78 @@ def archive_streamed(t):
     blobs.store(files, f"{root}/raw").write.format("noop").mode("overwrite").save()
     made = ran(archive_stream(spark, f"{root}/raw").select("path", "sha256", F.md5("content").alias("body")), root)
     return made.filter(F.col("path").contains(F.col("sha256"))).select("sha256", "body")
+
+
+# --- layouts, listings, aggregates that are kept ---------------------------------------------------------------------------------------
+
+
+@registered("SELECT o_orderkey AS id, o_custkey AS user_id FROM orders WHERE o_orderkey = 42")
+def token_lookup(t):
+    """F6 over a table in buckets of the hash: the lookup opens one of them."""
+    from tidefold.sources.layouts import write_keyed
+
+    orders = t("orders")
+    agents = orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), F.sha2(F.concat(F.lit("token"), F.col("o_orderkey").cast("string")), 256).alias("api_token_hash"))
+    table = write_keyed(agents, scratch(orders.sparkSession, "agents"), "api_token_hash", 16)
+    return table.filter(P.secret_is("api_token_hash", "token42")).select("id", "user_id")
+
+
+@registered("""SELECT o_orderkey AS id, o_custkey AS user_id, c_acctbal < 0 AS disabled FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'F'""")
+def sessions_of_users(t):
+    """J1 over two tables in buckets of the user: no exchange."""
+    from tidefold.sources.layouts import write_keyed
+
+    orders, customers = t("orders"), t("customer")
+    sessions = orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate").cast("timestamp")).alias("revoked_at"))
+    users = customers.select(F.col("c_custkey").alias("user_id"), (F.col("c_acctbal") < 0).alias("disabled"))
+    s, u = (write_keyed(df, scratch(orders.sparkSession, name), "user_id", 16) for df, name in ((sessions, "sessions"), (users, "users")))
+    return s.filter(P.not_revoked()).join(u.hint("merge"), "user_id").select("id", "user_id", "disabled")
+
+
+@registered("SELECT o_orderkey, o_orderdate, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 40 OFFSET 1200")
+def page_from_ranges(t):
+    """A page far behind, newest first, from a layout by ranges: it opens the files that hold it, and knows the total without a count."""
+    from tidefold.sources.layouts import write_ranged
+
+    orders = t("orders").select("o_orderkey", "o_orderdate")
+    laid = write_ranged(orders, scratch(orders.sparkSession, "pages"), [F.col("o_orderdate").desc_nulls_first(), F.col("o_orderkey").asc()], 24)
+    return laid.page(40, 1200).withColumn("total", F.lit(laid.total))
+
+
+@registered("""SELECT c_custkey AS id, c_name AS email, c_acctbal < 0 AS disabled, TIMESTAMP '2024-05-01 12:00:00' AS created_at, 'all' AS asked FROM customer
+UNION ALL SELECT c_custkey, c_name, c_acctbal < 0, TIMESTAMP '2024-05-01 12:00:00', 'some' FROM customer WHERE c_custkey BETWEEN 100 AND 119""")
+def listing_pages(t):
+    """The customers as stored pages of a listing: all of them through the source as a stream, some through it in batch, with the key's bounds pushed down to pages."""
+    from tidefold.sources import paged
+
+    customers = t("customer")
+    spark = customers.sparkSession
+    root = scratch(spark, "listing")
+    paged.register(spark)
+    items = customers.select(
+        F.col("c_custkey").cast("int").alias("id"), F.col("c_name").alias("email"), F.lit("user").alias("role"), (F.col("c_acctbal") < 0).alias("disabled"), F.lit(False).alias("must_change_password"),
+        F.lit("2024-05-01T14:00:00+02:00").alias("created_at"), F.floor(F.col("c_custkey") / 50).alias("page"),
+    )
+    paged.write_pages(items, "users", f"{root}/pages", "page")
+    of = lambda read: read.format("listing").option("path", f"{root}/pages").option("listing", "users").load()
+    every = ran(of(spark.readStream), root).withColumn("asked", F.lit("all"))
+    some = of(spark.read).filter("id >= 100 AND id < 120").withColumn("asked", F.lit("some"))
+    return every.union(some).select(F.col("id").cast("long").alias("id"), "email", "disabled", ntz("created_at").alias("created_at"), "asked")
+
+
+@registered("""SELECT c_name AS user_email, o_orderpriority AS machine_name, count(*) AS uploads, count(DISTINCT l_partkey) AS files, max(l_shipdate) AS last_upload, true AS close FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""")
+def devices_kept(t):
+    """A6 kept up over seven batches, one of which runs twice: counts from partial aggregates, contents from the exact table, and whether the merged sketch is within a tenth, or one, of that."""
+    from tidefold.operators.kept import Devices
+    from tidefold.sources.snapshots import Store
+
+    lines = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    shaped = lines.select("l_linenumber", F.col("c_name").alias("user_email"), F.col("o_orderpriority").alias("machine_name"), F.col("l_partkey").cast("string").alias("sha256"), F.col("l_shipdate").cast("timestamp").alias("uploaded_at"))
+    spark = lines.sparkSession
+    kept = Devices(Store(spark, scratch(spark, "devices")))
+    for number in (1, 2, 3, 3, 4, 5, 6, 7):
+        kept.add(shaped.filter(F.col("l_linenumber") == number).drop("l_linenumber"), number)
+    told = kept.estimates().select("user_email", "machine_name", F.col("files").alias("told"))
+    near = F.abs(F.col("told") - F.col("files")) <= F.greatest(F.lit(1), F.col("files") / 10)
+    return kept.exact().join(told, ["user_email", "machine_name"]).select("user_email", "machine_name", "uploads", "files", ntz("last_upload").alias("last_upload"), near.alias("close"))
