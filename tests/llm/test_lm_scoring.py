@@ -94,3 +94,25 @@ def test_nothing_is_capped(spark, monkeypatch):
         t = texts[key].split()
         want = [left_out(*models[0], t, size, s, key % 3 == 0), left_out(*models[1], t, size, s, True)]
         assert math.isclose(got[key].target_loss, want[0], rel_tol=1e-9) and math.isclose(got[key].background_loss, want[1], rel_tol=1e-9)
+
+
+def test_a_chunk_does_not_walk_ranges_without_keys(spark):
+    """With 400,000 ranges a chunk sends what it sends with 1,024, in more pieces, and takes not much longer."""
+    import time
+
+    import numpy as np
+    from tidefold.llm import lm_scoring as lm
+
+    rng = np.random.default_rng(1)
+    text = " ".join(f"w{k}" for k in rng.integers(0, 30_000, 60_000))
+    rows = lm.stored(lm.chunks(spark.createDataFrame([(1, text)], "id long, text string"), "id", "text", None), "chunk").selectExpr("chunk", "lengths", "words", "at", "n", "array(0L) AS inside")
+    keys, took = {}, {}
+    for ranges in (1024, 400_000, 1024, 400_000):
+        begun = time.time()
+        pieces = lm.sent(rows, ranges, None).toPandas()
+        took[ranges] = time.time() - begun
+        every = pieces.sort_values("part")
+        keys[ranges] = np.concatenate([np.cumsum(lm.unpacked(b, n, np.uint64), dtype=np.uint64) for b, n in zip(every["pairs"], every["pairs_n"])])
+        assert every["pairs_n"].sum() == len(keys[ranges]) and len(every) <= every["words_n"].sum() + every["pairs_n"].sum()
+    assert (keys[1024] == keys[400_000]).all() and (np.diff(keys[1024].astype(object)) > 0).all()
+    assert took[400_000] < 20 * took[1024] + 5

@@ -7,8 +7,8 @@ shares, interpolated with smoothed unigram shares. Every document, word and bigr
 
 Words and bigrams stand under 64-bit keys. Documents go in chunks of about CHUNK words. A chunk counts its own keys and sends
 them, sorted, to the key ranges; so a common key is sent once a chunk. A range adds up its keys and answers every chunk in the
-order of the keys sent, so that no model is gathered anywhere. The number of ranges follows the measured number of words. The
-driver holds four sums.
+order of the keys sent, so that no model is gathered anywhere. The number of ranges follows the measured number of words; a chunk walks only
+ranges that its own keys fall in. The driver holds four sums.
 
 A document's losses are the mean negative log probabilities of its words, in nats; ``score`` is the target's less the
 background's: low for text like the target. A document's own words and bigrams are left out of the models that judge it, so that
@@ -38,6 +38,8 @@ from tidefold.llm.common import bounded, plain, stored
 MOST = 200_000
 #: Words of a chunk, and of a key range, about; ranges at least.
 CHUNK, RANGE, RANGES = 1 << 20, 1 << 21, 1024
+#: So many numbers are worth being compressed.
+FEW = 64
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -83,14 +85,16 @@ def vocabulary(docs: DataFrame, size: int) -> dict[bytes, int]:
 
 
 def packed(a: np.ndarray) -> bytes:
-    """The numbers compressed, all first bytes first: small numbers leave the other bytes zero."""
+    """The numbers compressed, all first bytes first: small numbers leave the other bytes zero. A few numbers stay as they are."""
+    if len(a) < FEW:
+        return a.tobytes()
     planes = np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T)
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(a) else b""
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
 def unpacked(blob: bytes, n: int, kind: type) -> np.ndarray:
-    if not n:
-        return np.zeros(0, dtype=kind)
+    if n < FEW:
+        return np.frombuffer(blob, dtype=kind)
     size = np.dtype(kind).itemsize
     planes = np.frombuffer(pa.decompress(blob, n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
@@ -173,17 +177,20 @@ def sent(marked: DataFrame, ranges: int, bits: int | None) -> DataFrame:
                 own = np.zeros(len(pairs), dtype=np.int64)
                 own[np.searchsorted(pairs, mine)] = many
                 out: list[list] = [[], []]
-                for place, arrays in enumerate(((c.keys[c.order], *some), (pairs, count, own))):
-                    part = (arrays[0] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
-                    ends = np.searchsorted(part, np.arange(ranges + 1, dtype=np.uint64)).tolist()
-                    spans = [slice(x, y) for x, y in zip(ends, ends[1:])]
+                sides = ((c.keys[c.order], *some), (pairs, count, own))
+                of = [((arrays[0] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64) for arrays in sides]
+                used = np.union1d(*of)  # only ranges that occur: a chunk's work does not grow with the corpus
+                for place, arrays in enumerate(sides):
+                    spans = list(map(slice, np.searchsorted(of[place], used).tolist(), np.searchsorted(of[place], used, side="right").tolist()))
                     small = [a.astype(np.uint32) for a in arrays[1:]]
-                    steps = [packed(np.diff(arrays[0][x], prepend=np.uint64(0))) for x in spans]
-                    out[place] = [steps, [x.stop - x.start for x in spans], *([packed(a[x]) for x in spans] for a in small)]
-                used = [k for k in range(ranges) if out[0][1][k] or out[1][1][k]]
-                columns = [pa.array(used, pa.int64()), pa.array([row["chunk"]] * len(used), pa.int64())]
+                    keys = arrays[0]
+                    steps = np.diff(keys, prepend=np.uint64(0))
+                    begins = np.array([x.start for x in spans if x.stop > x.start], dtype=np.int64)
+                    steps[begins] = keys[begins]  # each piece counts from its own first key
+                    out[place] = [[packed(steps[x]) for x in spans], [x.stop - x.start for x in spans], *([packed(a[x]) for x in spans] for a in small)]
+                columns = [pa.array(used), pa.array([row["chunk"]] * len(used), pa.int64())]
                 kinds = (pa.binary(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array([x[k] for k in used], t) for side in out for x, t in zip(side, kinds))], names=names)
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, t) for side in out for x, t in zip(side, kinds))], names=names)
 
     return marked.mapInArrow(send, "part long, chunk long, words binary, words_n long, words_b binary, words_t binary, pairs binary, pairs_n long, pairs_b binary, pairs_t binary")
 
