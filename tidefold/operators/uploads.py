@@ -34,14 +34,14 @@ def latest(df: DataFrame, key: str, at: str, *also: str) -> DataFrame:
     return df.groupBy(key).agg(F.max(at).alias(at), *(F.max_by(c, F.when(F.col(at).isNotNull(), F.struct(at, c))).alias(c) for c in also))
 
 
-def upload(files: DataFrame, uploads: DataFrame, batch: DataFrame, max_bytes: int = MAX_BYTES, known: DataFrame | None = None, first_id: int | None = None) -> Change:
+def upload(files: DataFrame, uploads: DataFrame, batch: DataFrame, max_bytes: int = MAX_BYTES, known: DataFrame | None = None, first_id: int | None = None, cached: bool = False) -> Change:
     """M20. ``batch``: seq, content (bytes), content_type (null: match-log), original_filename, user_id, agent_registration_id, uploaded_at.
 
     Each hash is stored once, with the first upload's type and path; every upload is attributed. Refused: no content, too large, unknown type. ``tables`` hold
     files, uploads, what is new of both (``new_files``, ``new_uploads``), ``blobs`` (path and content to store) and ``events`` (``file.ingested``, one for each new
     hash); outcomes are seq, code, sha256, deduped, upload_id. Contents meet nothing but their own ``seq``: whatever is compared or counted goes without them. ``known``: the hashes of
     the batch that are stored already, where an index says so (``sources.keyed``), and ``first_id``: the first number of an upload; without them both are looked for in the
-    tables. A batch may bring its contents' ``sha256``."""
+    tables. A batch may bring its contents' ``sha256``. With ``cached`` the accepted rows, without their contents, are persisted, and are ``values["rows"]``."""
     kind = F.coalesce("content_type", F.lit("match-log"))
     size = F.octet_length("content").cast("long")
     seen = batch.withColumn("content_type", kind).withColumn("size_bytes", size).withColumn(
@@ -50,9 +50,10 @@ def upload(files: DataFrame, uploads: DataFrame, batch: DataFrame, max_bytes: in
     good = seen.filter("code = 'ok'").withColumn("sha256", F.col("sha256") if "sha256" in batch.columns else X.sha256_hex("content")).drop("content")
     known = (files if known is None else known).select(F.col("sha256").alias("__known"))
     ranked = _marked(good, "uploaded_at", "seq").join(known, F.col("sha256") == F.col("__known"), "left").withColumn("deduped", F.col("deduped") | F.col("__known").isNotNull()).drop("__known")
-    new = ranked.filter("NOT deduped").withColumn("storage_path", X.shard_path("sha256", X.file_extension("content_type", "original_filename")))
     start = int(uploads.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]) if first_id is None else first_id - 1
     rows = numbered(ranked, arrival(good), "seq").withColumn("id", F.col("number") + start)
+    rows = rows.persist() if cached else rows
+    new = (rows if cached else ranked).filter("NOT deduped").withColumn("storage_path", X.shard_path("sha256", X.file_extension("content_type", "original_filename")))
     events = new.withColumn("__iso", X.iso_format("uploaded_at")).select(
         F.lit("file.ingested").alias("topic"), "sha256",
         F.to_json(F.struct("sha256", "user_id", "agent_registration_id", F.col("__iso").alias("uploaded_at"), "content_type")).alias("payload"),
@@ -70,7 +71,7 @@ def upload(files: DataFrame, uploads: DataFrame, batch: DataFrame, max_bytes: in
         "blobs": new.join(bodies, F.col("seq") == F.col("__seq")).select(F.col("storage_path").alias("path"), "content"),
         "events": events,
     }
-    return Change(tables, outcomes)
+    return Change(tables, outcomes, values={"rows": rows})
 
 
 def attribution_counts(uploads: DataFrame, key: str = "sha256", user: str = "user_id") -> DataFrame:

@@ -42,14 +42,14 @@ def ingest_stream(uploads: DataFrame, root: str, checkpoint: str, events_path: s
         kinds = F.coalesce("content_type", F.lit("match-log")).isin(*CONTENT_TYPES)
         accepted = batch.filter(kinds & (F.octet_length("content") <= MAX_BYTES))
         known, new, figures = index.of(accepted, number)
-        change = upload(*none, batch, known=known, first_id=number * EACH + 1)
+        change = upload(*none, batch, known=known, first_id=number * EACH + 1, cached=True)
         if archive is not None:
             store(change.tables["blobs"], archive).write.format("noop").mode("overwrite").save()
         write_batch(change.tables["new_files"], root, "files", stream, number)
         write_batch(change.tables["new_uploads"], root, "uploads", stream, number)
         change.tables["events"].write.mode("overwrite").json(f"{events_path}/stream={stream}/batch={number}")
         index.add(new, number, figures)
-        for df in (known, new, batch):
+        for df in (change.values["rows"], known, new, batch):
             df.unpersist()
 
     return uploads.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
