@@ -21,7 +21,7 @@ point with their k + 1 least ids, which is all that any result can need.
 Vectors that are null, zero, or hold null or non-finite components take no part, as points or queries. Products are of
 vectors of one length only. Scores are computed in double precision on the original vectors; equal scores go by id, also
 where a leaf or a cell is cut at its best k + 1. A null id takes no part. Of rows with equal ids one counts, that with the
-least vector. An empty table gives an empty result.
+least vector. An empty table gives an empty result. Only the two named columns of the input are read: others do not matter, whatever their names.
 """
 
 from __future__ import annotations

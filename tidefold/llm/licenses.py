@@ -12,7 +12,8 @@
    matches, it is consumed, so that a later, shorter rule does not find the same sentences again.
 
 A text without any ANCHOR cannot hold a known sentence (the constructor checks that each holds one) and skips the split.
-Null and empty texts find nothing. Repeated rows stay. Sentences of any length are compared whole.
+Null and empty texts find nothing. Repeated rows stay. Sentences of any length are compared whole. Only the two named columns of the
+input are read: others do not matter, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations

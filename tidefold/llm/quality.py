@@ -13,7 +13,8 @@ Lines are split at \\n; words are runs of anything but ASCII white space. A line
 Base rules: fewer than ``min_words`` words, or over half of the words in repeated three-word windows.
 
 Null or empty text: no words, hence rejected by the base rules; its cleaned text is empty. Repeated rows stay repeated.
-Extra columns pass ``clean`` through. Very long texts are measured with arrays as long as their words.
+Extra columns pass ``clean`` through, whatever their names. Very long texts are measured with arrays as long as their words. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations

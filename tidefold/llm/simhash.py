@@ -14,7 +14,8 @@ fingerprints take part; exact copies are grouped before.
 each other by a bit in one are met in another. Everything stays exact for the fingerprints that it takes.
 
 Null and empty texts have the fingerprint zero and link like any other. A null id takes part in its group but is
-never the least id, except in a group of nulls only. Repeated rows give repeated rows.
+never the least id, except in a group of nulls only. Repeated rows give repeated rows. An empty table gives an empty result. ``fingerprints`` and ``groups``
+read the two named columns only; ``keep_one`` gives all columns back as they were, whatever their names.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ holds it also occurs elsewhere. Passages are equal if 128 bits of hashes over th
    (the first, if equal). The choice looks at the words alone, so both occurrences of a passage keep the same suffixes.
    Every window of ``least`` words belongs to the suffix that is the minimiser of its first grams, and holds the
    first ``least - window + 1`` (26) words of that suffix.
-2. The kept suffixes are sorted by those 26 words' hash, then by the hash of all words their windows cover, over
+2. The kept suffixes are sorted by those 26 words' hash, then by two hashes of all words their windows cover, over
    ranges that split even one very common suffix; neighbours are compared. A suffix unlike both its neighbours is unique.
    One that equals its neighbour over all its windows repeats as a whole.
 3. The others match in part: each match is extended word by word to the left and the right of its suffix, over the at most 25
@@ -22,7 +22,8 @@ in one text (a word repeated on and on), only the words after the first occurren
 
 Null ids, null texts and texts of fewer than ``least`` words take no part and stay as they are. Rows with equal id and
 text count as one document and are treated alike; rows with equal ids and different texts are different documents. Ids
-of other types than whole numbers stand under their 64-bit hashes, by which the first occurrence then goes.
+of other types than whole numbers stand under their 64-bit hashes, by which the first occurrence then goes. Other columns of the input come through
+``remove_repeats`` as they are, whatever their names, and are not read by ``repeats``. An empty table gives an empty result.
 """
 
 from __future__ import annotations
