@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a table; ``run`` writes each to the shared folder and reads it back as the
 next one's documents. All but the last keep the columns of documents; ``n_chars`` follows the text.
+
+Null and empty texts go with the quality rules. Rows with a null id are judged and deduplicated like others, keep passages that others have, and are packed.
+Repeated rows and copies leave one row; ties go by the least id. A text may have any length. Other columns come through the first three stages as they are,
+whatever their names. Without documents there are no pieces.
 """
 
 from __future__ import annotations
