@@ -41,13 +41,20 @@ def write_batch(df: DataFrame, root: str, name: str, stream: str, number: int) -
 def read_batches(spark: SparkSession, root: str, name: str, stream: str = "", before: int | None = None) -> DataFrame:
     """All finished batches of a table; with ``before``, of ``stream`` only those with lower numbers, so that a batch that runs again sees what
     it saw the first time."""
-    fs, p, path = _files(spark, f"{root}/{name}")
+    fs, p, _ = _files(spark, f"{root}/{name}")
     found = [x.getPath() for x in fs.listStatus(p) if x.isDirectory() and x.getPath().getName().startswith("b-")] if fs.exists(p) else []
     mine = f"b-{stream}-"
-    wanted = [str(x) for x in found if fs.exists(path(x, "_SUCCESS")) and (before is None or not x.getName().startswith(mine) or int(x.getName()[len(mine) :]) < before)]
+    finished = _finished(spark, f"{root}/{name}")
+    wanted = [str(x) for x in found if x.getName() in finished and (before is None or not x.getName().startswith(mine) or int(x.getName()[len(mine) :]) < before)]
     return spark.read.schema(schema(name)).parquet(*wanted) if wanted else spark.createDataFrame([], schema(name))
 
 
+def _finished(spark: SparkSession, root: str) -> set[str]:
+    """The folders under ``root`` whose write was finished: one listing by pattern, however many there are."""
+    fs, p, _ = _files(spark, f"{root}/b-*/_SUCCESS")
+    return {x.getPath().getParent().getName() for x in fs.globStatus(p) or []}
+
+
 def write_version(df: DataFrame, root: str, name: str) -> int:
     """Write the next version; gives its number. One writer a table."""
     spark = df.sparkSession
