@@ -2,13 +2,13 @@
 
 A text's fingerprint has a bit set where over half of its shingles' XXH64 values have it. Fingerprints link at two
 or fewer differing bits. Cut into two segments of 32 bits, one of the two then differs by at most one bit; so every
-fingerprint is indexed under the 32 variants of each segment in which one bit is a wildcard, equal variants join,
-and the pairs are verified over all 64 bits.
+fingerprint is indexed under the 32 variants of each segment in which one bit is a wildcard, and only those that share a
+variant with another one can link.
 
-A variant that more than CROWD fingerprints share would give pairs by the square. Its members are linked through
-midpoints instead: two fingerprints are within two bits if and only if some value is within one bit of both, so each
-gets 65 midpoints, and all members of a midpoint link to the least of them. That is exact and linear. Only different
-fingerprints take part; exact copies are grouped before.
+These are verified through midpoints, not pair by pair, as the members of a common variant would give pairs by the square: two
+fingerprints are within two bits over all 64 if and only if some value is within one bit of both. Each gets 65 midpoints, and all
+that meet at one link to the least of them. That is exact and linear, whatever the size of a group. Only different fingerprints take part; exact
+copies are grouped before.
 
 ``keep_one`` may look through several independent fingerprints of a text, which link two texts if any of them does: near copies that miss
 each other by a bit in one are met in another. Everything stays exact for the fingerprints that it takes.
@@ -24,14 +24,12 @@ from collections.abc import Iterable
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidefold.llm.common import fresh, map_rows, plain, stored, words_of
 from tidefold.llm.graph import components
 
-#: A pair within two bits shares about half of its 64 variants: from here on 65 midpoints for each fingerprint are fewer rows than pairs.
-CROWD = 5
 #: Shingles whose bits are counted at once.
 AT_ONCE = 1 << 16
 
@@ -87,7 +85,7 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, size: int = 3, seed:
     return map_rows(df, make, [plain(id_col), plain(text_col)], f"{plain(id_col)} {kind}, " + ", ".join(f"{n} long" for n in names))
 
 
-def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
+def links(fps: DataFrame) -> DataFrame:
     """From distinct fingerprints (``fp``) to links ``a``, ``b`` (different, at most two bits apart). Not every such pair is
     there, but all pairs are connected by links."""
     # a row becomes 64: a number of partitions that Spark does not merge by size
@@ -100,28 +98,19 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
             "((shiftrightunsigned(fp, cast(p div 32 * 32 as int)) & 4294967295L) & ~shiftleft(1L, cast(p % 32 as int)))"
         ).alias("variant"),
     )
-    # one exchange for counts and rows; fingerprints are distinct, so that copies do not make a variant common
-    shared = stored(variants.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("variant"))).filter("n > 1"), "variants")
-
-    few = shared.filter(F.col("n") <= crowd)
-    pairs = (
-        few.select("variant", F.col("fp").alias("a"))
-        .join(few.select("variant", F.col("fp").alias("b")), "variant")
-        .filter("a < b AND bit_count(a ^ b) <= 2").select("a", "b")
-    )
-
-    many = shared.filter(F.col("n") > crowd).select("fp").distinct()
-    midpoints = many.select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("p")).select("fp", F.expr("if(p = 64, fp, fp ^ shiftleft(1L, p))").alias("mid"))
+    # counts are aggregated, not taken by a window, so that a variant that very many share is no task's alone and Spark can split its rows
+    common = variants.groupBy("variant").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("variant")
+    sharing = stored(variants.join(common.hint("merge"), "variant", "left_semi").select("fp").distinct(), "sharing")
+    midpoints = sharing.select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("p")).select(F.expr("if(p = 64, fp, fp ^ shiftleft(1L, p))").alias("mid"), "fp")
     least = midpoints.groupBy("mid").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("mid", "a")
-    stars = midpoints.join(least, "mid").filter("a < fp").select("a", F.col("fp").alias("b"))
-    return pairs.union(stars).distinct()
+    return midpoints.join(least, "mid").filter("a < fp").select("a", F.col("fp").alias("b")).distinct()
 
 
-def groups(fps: DataFrame, id_col: str = "doc_id", crowd: int = CROWD) -> DataFrame:
+def groups(fps: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """From ids and fingerprints to the same rows with ``component_id``, the least id of all that links reach.
     ``fps`` is read several times: give a stored table."""
     different = stored(fps.groupBy("fp").agg(F.min(plain(id_col)).alias("__least")), "different")
-    of = components(links(different.select("fp"), crowd)).withColumnRenamed("node", "fp")
+    of = components(links(different.select("fp"))).withColumnRenamed("node", "fp")
     linked = of.join(different, "fp")
     least = linked.groupBy("root").agg(F.min("__least").alias("__component"))
     by_fp = linked.join(least, "root").select("fp", "__component")
