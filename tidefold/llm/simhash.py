@@ -103,7 +103,8 @@ def links(fps: DataFrame) -> DataFrame:
     sharing = stored(variants.join(common.hint("merge"), "variant", "left_semi").select("fp").distinct(), "sharing")
     midpoints = sharing.select("fp", F.explode(F.sequence(F.lit(0), F.lit(64))).alias("p")).select(F.expr("if(p = 64, fp, fp ^ shiftleft(1L, p))").alias("mid"), "fp")
     least = midpoints.groupBy("mid").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("mid", "a")
-    return midpoints.join(least, "mid").filter("a < fp").select("a", F.col("fp").alias("b")).distinct()
+    # a merge join at every size: both sides grow with the fingerprints
+    return midpoints.join(least.hint("merge"), "mid").filter("a < fp").select("a", F.col("fp").alias("b")).distinct()
 
 
 def groups(fps: DataFrame, id_col: str = "doc_id") -> DataFrame:
