@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidefold.llm import resemblance
 from tidefold.llm.common import fresh, map_rows, plain, stored, words_of
 from tidefold.llm.graph import components
 
@@ -134,19 +135,39 @@ def united(nodes: DataFrame, count: int) -> DataFrame:
     return edges
 
 
-def keep_one(df: DataFrame, id_col: str, text_col: str, count: int = 1) -> DataFrame:
+def _signed(rows: DataFrame) -> DataFrame:
+    """``key``, ``fp`` and the set of five-word shingles by name, size and keys, of rows with ``key`` and ``text``."""
+
+    def make():
+        def one(key, text) -> Iterable[tuple]:
+            value = fingerprint(text)
+            yield key, value - (1 << 64) if value >> 63 else value, *resemblance.signature(text)
+
+        return one
+
+    return map_rows(rows, make, ["key", "text"], f"key {rows.schema['key'].dataType.simpleString()}, fp long, node binary, n long, bands array<long>")
+
+
+def keep_one(df: DataFrame, id_col: str, text_col: str, count: int = 1, resembling: bool = False) -> DataFrame:
     """Of each group (rows whose fingerprints links reach, through any of ``count`` fingerprints) one row of ``df``: the one with the least
-    id, nulls last, and of these with the least hash over all columns. Columns as before."""
+    id, nulls last, and of these with the least hash over all columns. Columns as before. ``resembling`` (with one fingerprint) also links texts
+    whose five-word shingles have a similarity of 0.8 or more, which fingerprints do not reach: see ``resemblance``."""
+    if resembling and count > 1:
+        raise ValueError("resembling takes one fingerprint")
     columns = [plain(c) for c in df.columns]
     own, times = fresh(df, "row", "times")
     # xxhash64 passes over nulls: where they stand is hashed too
     row = F.xxhash64(*columns, *(F.col(c).isNull() for c in columns))
     rows = df.withColumn(own, row)
     key = F.struct(F.col(plain(id_col)).isNull().alias("none"), F.col(plain(id_col)).alias("id"), F.col(own).alias("row"))
-    fps = stored(fingerprints(rows.select(key.alias("key"), F.col(plain(text_col)).alias("text")), "key", "text", count=count), "fingerprints")
+    keyed = rows.select(key.alias("key"), F.col(plain(text_col)).alias("text"))
+    fps = stored(_signed(keyed) if resembling else fingerprints(keyed, "key", "text", count=count), "fingerprints")
     different = stored(fps.groupBy("fp").agg(F.min("key").alias("least")), "different")
     nodes = stored(fps.select("fp", *(f"fp{k}" for k in range(1, count))).distinct(), "nodes") if count > 1 else different
-    of = components(united(nodes, count)).withColumnRenamed("node", "fp")
+    edges = united(nodes, count)
+    if resembling:
+        edges = edges.union(resemblance.links(fps, keyed.select("key.row", "text")))
+    of = components(edges).withColumnRenamed("node", "fp")
     least = different.join(of, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("least").alias("least"))
     occur = fps.groupBy(F.col("key.row").alias(own)).agg(F.count(F.lit(1)).alias(times))
     kept = stored(least.select(F.col("least.row").alias(own)).join(occur, own), "kept")
