@@ -32,12 +32,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _counted(quality.clean(docs, "text", RULES))
 
 
-FINGERPRINTS = 4
-
-
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group the document with the least id stays; four fingerprints meet more near copies than one."""
-    return simhash.keep_one(docs, "doc_id", "text", FINGERPRINTS)
+    """Of each group of near copies the document with the least id stays. Operator 10's fingerprints link, and so do texts whose five-word
+    shingles have a similarity of 0.8 or more, most of which fingerprints do not reach."""
+    return simhash.keep_one(docs, "doc_id", "text", resembling=True)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
