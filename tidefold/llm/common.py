@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -74,7 +75,7 @@ def map_rows(
                 for values in zip(*(part.column(k).to_pylist() for k in range(part.num_columns))):
                     for row in f(*values):
                         out.append(row)
-                        size += sum(len(x) for x in row if isinstance(x, (str, bytes, list)))
+                        size += sum(x.nbytes if isinstance(x, np.ndarray) else len(x) for x in row if isinstance(x, (str, bytes, list, np.ndarray)))
                         if len(out) >= rows_per_batch or size > 8_000_000:
                             yield flush()
                             out, size = [], 0

@@ -64,16 +64,16 @@ def signature(text: str | None) -> tuple[bytes | None, int, list[int]]:
 
 
 def _sets(texts: DataFrame) -> DataFrame:
-    """``node`` and ``found``, its shingles, from texts in the first column; a row for each set."""
+    """``node`` and ``found``, its shingles, of each text in the only column. An array leaves a task as it is, not as Python numbers."""
 
     def make():
         def one(text) -> Iterable[tuple]:
             found = shingles(text)
-            yield xxhash.xxh3_128_digest(found.tobytes()), found.view(np.int64).tolist()
+            yield xxhash.xxh3_128_digest(found.tobytes()), found.view(np.int64)
 
         return one
 
-    return map_rows(texts, make, texts.columns, "node binary, found array<long>").dropDuplicates(["node"])
+    return map_rows(texts, make, texts.columns, "node binary, found array<long>")
 
 
 def _alone_gone(members: DataFrame) -> DataFrame:
@@ -104,7 +104,8 @@ def links(signed: DataFrame, rows: DataFrame) -> DataFrame:
     members = nodes.repartition(parts, "node").select(F.explode("bands").alias("k"), F.struct("key", "node", "n", "fp").alias("own"))
     members = stored(_alone_gone(members), "members")
     wanted = members.select(F.col("own.key.row").alias("row")).distinct()
-    texts = rows.join(wanted.hint("merge"), "row", "left_semi").select("text")
+    # repeated rows are aggregated before the one exchange of texts
+    texts = rows.dropDuplicates(["row"]).join(wanted.hint("merge"), "row", "left_semi").select("text")
     sets = None
     slots = 1
     while not members.isEmpty():
