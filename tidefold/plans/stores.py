@@ -19,20 +19,31 @@ from tidefold.session import scratch
 __all__ = ["oracle_sql", "queries"]
 
 
+#: Files of a micro-batch: it is written, and read, by so many tasks at most, and its files by row groups.
+FILES = 8
+
+
 def staged(df: DataFrame, bucket: Column, root: str) -> DataFrame:
-    """``df`` as a stream that gives one micro-batch for each value of ``bucket``, in their order: a file each, dated one second after the other."""
+    """``df`` as a stream that gives one micro-batch for each value of ``bucket``, in their order: FILES files each, dated one second after the other. A bucket that has fewer gets empty ones."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
-    df.withColumn("bucket", bucket.cast("int")).repartition("bucket").write.partitionBy("bucket").parquet(root)
+    parts = df.withColumn("bucket", bucket.cast("int")).repartition("bucket", F.pmod(F.monotonically_increasing_id(), F.lit(FILES)))
+    parts.write.option("parquet.block.size", 16 << 20).partitionBy("bucket").parquet(root)
     where = jvm.org.apache.hadoop.fs.Path(root)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    fs = where.getFileSystem(conf)
+    kind = spark.read.parquet(root).schema
+    spark.createDataFrame([], df.schema).coalesce(1).write.parquet(f"{root}-none")
+    none = next(x.getPath() for x in fs.listStatus(jvm.org.apache.hadoop.fs.Path(f"{root}-none")) if x.getPath().getName().endswith(".parquet"))
     for folder in fs.listStatus(where):  # one for each micro-batch
         name = folder.getPath().getName()
         if name.startswith("bucket="):
+            there = len(fs.listStatus(folder.getPath()))
+            for k in range(there, FILES):
+                jvm.org.apache.hadoop.fs.FileUtil.copy(fs, none, fs, jvm.org.apache.hadoop.fs.Path(folder.getPath(), f"none-{k}.parquet"), False, conf)
             for file in fs.listStatus(folder.getPath()):
                 fs.setTimes(file.getPath(), 1_700_000_000_000 + 1000 * int(name[7:]), -1)
-    kind = spark.read.parquet(root).schema
-    return spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(root)
+    return spark.readStream.schema(kind).option("maxFilesPerTrigger", FILES).parquet(root)
 
 
 def ran(stream: DataFrame, root: str) -> DataFrame:
