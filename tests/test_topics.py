@@ -96,3 +96,27 @@ def test_figures_of_a_stream(spark, tmp_path):
         assert (listener.total("beats", "rows"), listener.total("beats", "empty"), listener.batches("beats")) == (4, 1, 3)
     finally:
         spark.streams.removeListener(listener)
+
+
+def test_silence_asks_the_state_by_buckets(spark, tmp_path):
+    """Many machines share a bucket: the state has a row for each bucket, and the answer is the same."""
+    codes.use_rocksdb(spark)
+    batches = [[(f"m{k}", NOW + (7 * k % 11 + 30 * b) * MIN) for k in range(60)] for b in range(2)]
+    stream = streamed(spark, str(tmp_path / "in"), [*batches, [("end", NOW + timedelta(days=9))]], "agent_id string, at timestamp")
+    query = run(silence.silences(stream, 600, buckets=3), str(tmp_path / "c"), "bucketed")
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 6
+    assert sorted((r.agent_id, r.last_seen_at) for r in spark.table("bucketed").collect()) == silent(sum(batches, []), 10 * MIN)
+
+
+def test_codes_ask_the_state_by_buckets(spark, tmp_path):
+    """Codes whose end is no whole millisecond leave the state, too; a null code is a code."""
+    codes.use_rocksdb(spark)
+    odd = timedelta(microseconds=123_456)
+    mints = [(f"c{k}", "mint", str(k), k, NOW + odd) for k in range(50)] + [(None, "mint", "7", 50, NOW)]
+    uses = [(f"c{k}", "consume", None, 100 + k, NOW + k * MIN) for k in range(0, 50, 2)] + [(None, "consume", None, 200, NOW + MIN), ("c0", "consume", None, 201, NOW + MIN)]
+    batches = [mints, uses, [("z", "mint", "1", 300, NOW + timedelta(days=9))], [("z", "mint", "1", 301, NOW + timedelta(days=9))]]
+    stream = streamed(spark, str(tmp_path / "in"), batches, "code string, kind string, user_id string, seq long, at timestamp")
+    query = run(codes.consumed(stream, 600, buckets=3), str(tmp_path / "c"), "coded")
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 6 and query.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
+    want = {100 + k: k if k * MIN < 10 * MIN + odd else None for k in range(0, 50, 2)} | {200: 7, 201: None}
+    assert {r.seq: r.user_id for r in spark.table("coded").collect()} == want
