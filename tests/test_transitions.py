@@ -55,6 +55,17 @@ def test_login_and_rotation(spark):
     assert after["s1"] == NOW and after["r0"] is None and after["s4"] == NOW - HOUR and after["s2"] is None and len(after) == 5
 
 
+def test_rotation_meets_each_table_once(spark, tmp_path):
+    """Old and new rows come from one pass: two joins, and a session is shuffled for these only."""
+    for name, df in (("u", users(spark, *BASE)), ("s", sessions(spark, ("s1", 3, "h1", NOW + DAY, None)))):
+        df.write.parquet(str(tmp_path / name))
+    asks = spark.createDataFrame([(1, "h1", "new", "r1", "ua", "ip"), (0, "h1", "first", "r0", "ua0", "ip0")], "seq int, old_hash string, new_hash string, session_id string, user_agent string, ip string")
+    after = M.rotate(spark.read.parquet(str(tmp_path / "u")), spark.read.parquet(str(tmp_path / "s")), asks, NOW).tables["sessions"]
+    assert after._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+    new = after.filter("id = 'r0'").first()
+    assert after.count() == 2 and (new.user_id, new.refresh_token_hash, new.user_agent, new.ip, new.issued_at) == (3, "first", "ua0", "ip0", NOW)
+
+
 def test_logout_and_revocation(spark):
     u, s = users(spark, *BASE), sessions(spark, ("s1", 3, "h1", NOW + DAY, None), ("s2", 3, "h2", NOW - DAY, None), ("s3", 3, "h3", NOW, NOW - HOUR), ("s4", 2, "h4", NOW, None))
     ids = spark.createDataFrame([("s1",), ("s3",), ("nope",)], "id string")

@@ -150,20 +150,24 @@ def login(users: DataFrame, sessions: DataFrame, attempts: DataFrame, as_of: Mom
 def rotate(users: DataFrame, sessions: DataFrame, requests: DataFrame, as_of: Moment) -> Change:
     """M2. ``requests``: seq, old_hash, new_hash, session_id, user_agent, ip. The old session is revoked and a new one begins together; a second use of
     the same hash is refused."""
-    s = sessions.join(users.select(F.col("id").alias("__owner"), "disabled"), F.col("user_id") == F.col("__owner")).filter(P.valid_session(as_of))
-    s = s.select(F.col("refresh_token_hash").alias("__old"), F.col("id").alias("__sid"), "user_id")
-    # the first use of each hash is a pre-aggregated minimum: a hash that is replayed very often is not sorted by one task
-    first = requests.groupBy(F.col("old_hash").alias("__hash")).agg(F.min("seq").alias("__first")).join(s, F.col("__hash") == F.col("__old"))
-    tried = requests.join(first, F.col("old_hash") == F.col("__hash"), "left")
-    good = F.col("__sid").isNotNull() & (F.col("seq") == F.col("__first"))
-    won = tried.filter(good)
-    revoked = sessions.join(won.select("__sid"), F.col("id") == F.col("__sid"), "left")
-    kept = changed(revoked, F.col("__sid").isNotNull(), revoked_at=moment(as_of)).drop("__sid")
-    new = won.select(
-        F.col("session_id").alias("id"), "user_id", F.col("new_hash").alias("refresh_token_hash"), moment(as_of).alias("issued_at"),
-        X.after(moment(as_of), seconds=REFRESH_SECONDS).alias("expires_at"), F.lit(None).cast("timestamp").alias("revoked_at"), "user_agent", "ip",
-    )
-    return Change({"sessions": appended(kept, new)}, tried.select("seq", F.when(good, "ok").otherwise("invalid_credentials").alias("code")))
+    owners = users.select(F.col("id").alias("__owner"), "disabled")
+    held = sessions.join(owners, F.col("user_id") == F.col("__owner"), "left").withColumn("__valid", F.coalesce(F.col("__owner").isNotNull() & P.valid_session(as_of), F.lit(False))).drop("__owner", "disabled")
+    # the first use of each hash, with what it asks for, is a pre-aggregated minimum: a hash that is replayed very often is not sorted by one task. Sessions meet it once, and give their old and their new row
+    # together; what nobody reads of either is not shuffled
+    asked = {"__sid": "session_id", "__new": "new_hash", "__agent": "user_agent", "__ip": "ip"}
+    first = requests.groupBy(F.col("old_hash").alias("__hash")).agg(F.min("seq").alias("__first"), *(F.min_by(c, "seq").alias(n) for n, c in asked.items()))
+    met = held.join(first, F.col("refresh_token_hash") == F.col("__hash"), "left")
+    won = F.col("__first").isNotNull() & F.col("__valid")
+    rows = met.select("*", F.explode(F.when(won, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("__row")).withColumn("__won", won)
+    begun = {
+        "id": F.col("__sid"), "refresh_token_hash": F.col("__new"), "issued_at": moment(as_of), "expires_at": X.after(moment(as_of), seconds=REFRESH_SECONDS), "revoked_at": F.lit(None).cast("timestamp"),
+        "user_agent": F.col("__agent"), "ip": F.col("__ip"), "user_id": F.col("user_id"),
+    }
+    kept = {c: F.col(c) for c in sessions.columns} | {"revoked_at": F.when(F.col("__won"), moment(as_of)).otherwise(F.col("revoked_at"))}
+    after = rows.select(*(F.when(F.col("__row") == 1, begun.get(f.name, F.lit(None)).cast(f.dataType)).otherwise(kept[f.name]).cast(f.dataType).alias(f.name) for f in sessions.schema))
+    winners = met.filter(won).select(F.col("__hash").alias("__old"), F.col("__first").alias("__seq"))
+    tried = requests.join(winners, (F.col("old_hash") == F.col("__old")) & (F.col("seq") == F.col("__seq")), "left")
+    return Change({"sessions": after}, tried.select("seq", F.when(F.col("__seq").isNotNull(), "ok").otherwise("invalid_credentials").alias("code")))
 
 
 def logout(sessions: DataFrame, ids: DataFrame, as_of: Moment) -> Change:
