@@ -53,3 +53,18 @@ def test_conditions_on_the_key_open_their_pages_only(spark, root):
 def test_nothing_there(spark, tmp_path):
     paged.register(spark)
     assert listed(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_many_pages_share_tasks(spark, tmp_path):
+    """Of many pages a task reads a run, and looks into the index before it opens one."""
+    paged.register(spark)
+    items = spark.range(3000).select(F.col("id").cast("int"), F.lit("e").alias("email"), F.lit("user").alias("role"), F.lit(False).alias("disabled"), F.lit(False).alias("must_change_password"), F.lit(None).cast("string").alias("created_at"), F.floor(F.col("id") / 10).alias("page"))
+    root = str(tmp_path / "many")
+    assert paged.write_pages(items, "users", root, "page") == 300
+    with open(f"{root}/page-000000007.json", "w") as f:
+        f.write('{"users": [{"id": 123}]}')  # the index says 70 to 79: this page is not opened for 123
+    df = listed(spark, root)
+    assert df.rdd.getNumPartitions() == 19 and df.count() == 2991
+    assert df.filter("id >= 120 AND id < 130").count() == 10 and df.filter("id = 2999").count() == 1
+    pages = [f for p in paged.runs([f"page-{k}" for k in range(100_000)]) for f in p.files]
+    assert len(pages) == 100_000 and pages == [f"page-{k}" for k in range(100_000)] and len(paged.runs(pages)) == paged.TASKS

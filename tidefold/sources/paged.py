@@ -1,7 +1,7 @@
 """Paged listings as a source of their own: the pages of a listing, stored as the service answered them, read in batch or as a stream.
 
-``write_pages`` stores a table as JSON responses (``sources.listings``), a file each, with an index of the least and the largest key on every page. The source reads a page a task. Conditions on the
-key are pushed down to it: pages that cannot hold such a key are not opened. As a stream, an offset is the number of pages that are there, so that pages that are added come once.
+``write_pages`` stores a table as JSON responses (``sources.listings``), a file each, with an index of the least and the largest key on every page. The source reads a page a task, or, of many pages, a run of them. Conditions on the
+key are pushed down to it: pages that cannot hold such a key are not opened; of many pages the tasks look into the index. As a stream, an offset is the number of pages that are there, so that pages that are added come once.
 
 Register it with ``spark.dataSource.register(Listing)``; ``spark.sql.python.filterPushdown.enabled`` lets Spark hand conditions over.
 """
@@ -41,9 +41,9 @@ def write_pages(df: DataFrame, name: str, root: str, page: str) -> int:
     listed = F.transform(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), items.alias("i")))), lambda x: x["i"])
     pages = df.groupBy(F.col(page).alias("page")).agg(listed.alias(field), F.min(key).alias("least"), F.max(key).alias("most"))
     name_of = F.concat(F.lit("page-"), F.lpad(F.col("page").cast("string"), 9, "0"))
-    body = pages.select(F.concat(name_of, F.lit(".json")).alias("path"), F.to_json(F.struct(field)).cast("binary").alias("content"))
-    ends = pages.select(F.concat(name_of, F.lit(".key")).alias("path"), F.to_json(F.struct("least", "most")).cast("binary").alias("content"))
-    written = store(body.union(ends), root).filter(F.col("path").endswith(".json"))
+    file = lambda kind, *columns: F.struct(F.concat(name_of, F.lit(kind)).alias("path"), F.to_json(F.struct(*columns)).cast("binary").alias("content"))
+    both = pages.select(F.explode(F.array(file(".json", field), file(".key", "least", "most"))).alias("f")).select("f.*")
+    written = store(both, root).filter(F.col("path").endswith(".json"))
     return written.count()
 
 
@@ -52,9 +52,21 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(Listing)
 
 
+#: So many pages at most have a task each, and are held against pushed conditions before there are tasks.
+SINGLE = 64
+#: So many tasks read more of them.
+TASKS = 256
+
+
 @dataclass
-class Page(InputPartition):
-    file: str
+class Pages(InputPartition):
+    files: list[str]
+
+
+def runs(files: list[str]) -> list[Pages]:
+    """Pages for tasks, in their order."""
+    n = len(files) if len(files) <= SINGLE else min(TASKS, -(-len(files) // 16))
+    return [Pages(files[len(files) * k // n : len(files) * (k + 1) // n]) for k in range(n)]
 
 
 class Listing(DataSource):
@@ -125,15 +137,24 @@ class ListingReader(DataSourceReader, _Pages):
         }
         return all(v is not None and tests[kind](v) for kind, v in self.wanted)
 
-    def partitions(self) -> list[Page]:
+    def _wanted(self, file: str) -> bool:
+        """Whether the page may hold what is asked for; one without an index may."""
+        try:
+            ends = json.loads(self.text(f"{file[:-5]}.key"))
+        except FileNotFoundError:
+            return True
+        return "least" in ends and self._may_hold(ends["least"], ends["most"])
+
+    def partitions(self) -> list[Pages]:
         kept = self.files(".json")
-        if self.wanted:
-            ends = {f[:-4]: json.loads(self.text(f)) for f in self.files(".key")}
-            kept = [f for f in kept if f[:-5] not in ends or "least" in ends[f[:-5]] and self._may_hold(ends[f[:-5]]["least"], ends[f[:-5]]["most"])]
-        return [Page(f) for f in kept] or [Page("")]
+        if self.wanted and len(kept) <= SINGLE:
+            kept = [f for f in kept if self._wanted(f)]
+        return runs(kept) or [Pages([])]
 
-    def read(self, partition: Page) -> Iterator[tuple]:
-        return self.rows(partition.file) if partition.file else iter(())
+    def read(self, partition: Pages) -> Iterator[tuple]:
+        for file in partition.files:
+            if not self.wanted or self._wanted(file):
+                yield from self.rows(file)
 
 
 class ListingStream(DataSourceStreamReader, _Pages):
@@ -146,11 +167,12 @@ class ListingStream(DataSourceStreamReader, _Pages):
     def latestOffset(self) -> dict:  # noqa: N802
         return {"pages": len(self.files(".json"))}
 
-    def partitions(self, start: dict, end: dict) -> list[Page]:
-        return [Page(f) for f in self.files(".json")[start["pages"] : end["pages"]]]
+    def partitions(self, start: dict, end: dict) -> list[Pages]:
+        return runs(self.files(".json")[start["pages"] : end["pages"]])
 
-    def read(self, partition: Page) -> Iterator[tuple]:
-        return self.rows(partition.file)
+    def read(self, partition: Pages) -> Iterator[tuple]:
+        for file in partition.files:
+            yield from self.rows(file)
 
     def commit(self, end: dict) -> None:
         pass
