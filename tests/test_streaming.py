@@ -105,3 +105,20 @@ def test_archive_stream(spark, tmp_path):
     query = uploads.archive_stream(spark, str(tmp_path / "raw")).writeStream.format("memory").queryName("archive").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     assert query.awaitTermination(120)
     assert [r[1] for r in rows_of(spark, "archive")] == ["7692c3ad3540bb803c020b3aee66cd8887123234ea0c6e7143c0add73ff431ed"]
+
+
+def test_archive_stream_keeps_names_in_its_state(spark, tmp_path):
+    """A file comes once over several runs, and what came before is state of the stream, not the driver's."""
+    codes.use_rocksdb(spark)
+    (tmp_path / "raw/ab/cd").mkdir(parents=True)
+
+    def run():
+        query = uploads.archive_stream(spark, str(tmp_path / "raw")).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+        return query.lastProgress["stateOperators"][0]["numRowsTotal"], sorted(bytes(r.content) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    (tmp_path / "raw/ab/cd/x.dat").write_bytes(b"one")
+    assert run() == (1, [b"one"])
+    (tmp_path / "raw/ab/cd/y.dat").write_bytes(b"two")
+    (tmp_path / "raw/z.dat").write_bytes(b"")
+    assert run() == (3, [b"", b"one", b"two"])

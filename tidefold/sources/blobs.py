@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from tidefold.functions import scalars as X
 from tidefold.operators.uploads import MAX_BYTES
@@ -19,42 +24,156 @@ def _system(root: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (pafs.LocalFileSystem(), root)
 
 
-def read_bodies(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """``path``, ``modified_at``, ``size_bytes``, ``sha256``, ``content``, ``code`` of all files. Larger ones than ``max_bytes`` are not opened: their code is
-    ``file_too_large``, their hash and content are null."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    about = ["path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("size_bytes")]
-    read = files.filter(F.col("length") <= max_bytes).select(*about, X.sha256_hex("content").alias("sha256"), "content", F.lit("ok").alias("code"))
-    large = files.filter(F.col("length") > max_bytes).select(*about, F.lit(None).cast("string"), F.lit(None).cast("binary"), F.lit("file_too_large"))
-    return read.union(large).union(_empty_files(spark, path))
+#: Bytes of contents that a task holds at once, beside the file that it reads.
+HELD = 16 << 20
+
+
+def _hidden(name: str) -> bool:
+    return name.startswith(("_", "."))
+
+
+def top_folders(root: str) -> list[str]:
+    """The folders right below ``root``, and ``""`` for the files that lie there: at most a few hundred in an archive's layout, however many files it holds."""
+    system, base = _system(root)
+    found = system.get_file_info(pafs.FileSelector(base, allow_not_found=True))
+    return ["", *sorted(x.base_name for x in found if x.type == pafs.FileType.Directory and not _hidden(x.base_name))]
+
+
+def files_in(root: str, folder: str) -> Iterator[pafs.FileInfo]:
+    """The files of one of ``top_folders``, at any depth, folder by folder; Spark's readers pass over the same hidden names."""
+    system, base = _system(root)
+    todo = [f"{base}/{folder}" if folder else base]
+    while todo:
+        for x in system.get_file_info(pafs.FileSelector(todo.pop())):
+            if not _hidden(x.base_name):
+                if x.is_file:
+                    yield x
+                elif folder and x.type == pafs.FileType.Directory:
+                    todo.append(x.path)
+
 
+def qualified(spark: SparkSession, root: str) -> str:
+    """``root`` as Spark names it."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
 
-def _empty_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files without content, over which Spark's reader passes: each folder below ``path`` is listed by its own task."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    top = fs.makeQualified(root).toString()
-    folders = [(x.getPath().toString(), True) for x in fs.listStatus(root) if x.isDirectory()] + [(top, False)]
+
+def _dealt(spark: SparkSession, root: str) -> DataFrame:
+    """The top folders, each for a task of its own: the driver sees these names, and never the files'."""
+    folders = [(x,) for x in top_folders(root)]
+    return spark.createDataFrame(folders, "folder string").repartition(min(len(folders), 256))
+
+
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """``path`` of all files below ``root``, listed by tasks; no file is opened."""
+    top, base = qualified(spark, root), _system(root)[1].rstrip("/")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for folder, deep in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                system, base = _system(folder)
-                found += [(x.path, x.mtime) for x in system.get_file_info(pafs.FileSelector(base, recursive=deep)) if x.is_file and not x.size and not x.base_name.startswith(("_", "."))]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.string()), pa.array([m for _, m in found], pa.timestamp("us", "UTC"))], names=["path", "modified_at"])
+            for folder in batch.column(0).to_pylist():
+                files = files_in(root, folder)
+                while some := [top + x.path[len(base) :] for x in islice(files, 10_000)]:
+                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], names=["path"])
+
+    return _dealt(spark, root).mapInArrow(look, "path string")
 
-    listed = spark.createDataFrame(folders, "folder string, deep boolean").repartition("folder").mapInArrow(look, "path string, modified_at timestamp")
-    scheme = F.lit(top.split(":")[0] + ":")
-    body = F.lit(b"")
-    return listed.select(F.concat(scheme, "path"), "modified_at", F.lit(0).cast("long"), F.sha2(body, 256), body, F.lit("ok"))
+
+def read_bodies(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """``path``, ``modified_at``, ``size_bytes``, ``sha256``, ``content``, ``code`` of all files, empty ones too, which the tasks that list them read. Larger ones than ``max_bytes`` are not opened: their code is
+    ``file_too_large``, their hash and content are null."""
+    top, base = qualified(spark, path), _system(path)[1].rstrip("/")
+    kinds = [("path", pa.string()), ("modified_at", pa.timestamp("us", "UTC")), ("size_bytes", pa.int64()), ("content", pa.binary())]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system = _system(path)[0]
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                rows, held = [], 0
+                for x in files_in(path, folder):
+                    body = None
+                    if x.size <= max_bytes:
+                        with system.open_input_stream(x.path) as f:
+                            body = f.read()
+                    rows.append((top + x.path[len(base) :], x.mtime, x.size, body))
+                    held += len(body or b"") + 1000
+                    if held >= HELD:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*rows), kinds)], names=[n for n, _ in kinds])
+                        rows, held = [], 0
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*rows), kinds)], names=[n for n, _ in kinds])
+
+    files = _dealt(spark, path).mapInArrow(read, "path string, modified_at timestamp, size_bytes long, content binary")
+    code = F.when(F.col("size_bytes") > max_bytes, "file_too_large").otherwise("ok").alias("code")
+    return files.select("path", "modified_at", "size_bytes", X.sha256_hex("content").alias("sha256"), "content", code)
+
+
+def with_bodies(files: DataFrame) -> DataFrame:
+    """Rows of ``path``, as ``listed`` gives them, to ``path`` and ``content``, a few at once; of a stream, too."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, bodies, held = [], [], 0
+            for name in batch.column(0).to_pylist():
+                # Hadoop's names of local files have one slash
+                system, at = (pafs.LocalFileSystem(), name[5:]) if name.startswith("file:") else pafs.FileSystem.from_uri(name)
+                with system.open_input_stream(at) as f:
+                    bodies.append(f.read())
+                names.append(name)
+                held += len(bodies[-1]) + 1000
+                if held >= HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(bodies, pa.binary())], names=["path", "content"])
+                    names, bodies, held = [], [], 0
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(bodies, pa.binary())], names=["path", "content"])
+
+    return files.select("path").mapInArrow(read, "path string, content binary")
 
 
 def stored_paths(spark: SparkSession, root: str) -> DataFrame:
     """The relative paths that the archive holds; file contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    return files.select(F.regexp_extract("path", r"([0-9a-f]{2}/[0-9a-f]{2}/[0-9a-f]{64}[^/]*)$", 1).alias("path")).filter("path <> ''")
+    return listed(spark, root).select(F.regexp_extract("path", r"([0-9a-f]{2}/[0-9a-f]{2}/[0-9a-f]{64}[^/]*)$", 1).alias("path")).filter("path <> ''")
+
+
+class Files(DataSource):
+    """The names of all files below ``path`` as a stream: a trigger lists them all, a task each of the top folders. What came before is left to the reader's state
+    (``streaming.uploads.archive_stream``), so that the driver holds no name."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "archive_files"
+
+    def schema(self) -> str:
+        return "path string"
+
+    def streamReader(self, schema: T.StructType) -> FilesStream:  # noqa: N802
+        return FilesStream(self.options["path"], self.options["top"])
+
+
+@dataclass
+class Folder(InputPartition):
+    folder: str
+
+
+class FilesStream(DataSourceStreamReader):
+    def __init__(self, root: str, top: str):
+        self.root, self.top = root, top
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"listed": 0}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        return {"listed": time.time_ns()}
+
+    def partitions(self, start: dict, end: dict) -> list[Folder]:
+        return [Folder(x) for x in top_folders(self.root)]
+
+    def read(self, partition: Folder) -> Iterator[tuple]:
+        base = _system(self.root)[1].rstrip("/")
+        for x in files_in(self.root, partition.folder):
+            yield (self.top + x.path[len(base) :],)
+
+    def commit(self, end: dict) -> None:
+        pass
 
 
 def store(blobs: DataFrame, root: str) -> DataFrame:
@@ -70,9 +189,11 @@ def store(blobs: DataFrame, root: str) -> DataFrame:
                 there = fs.get_file_info(target).type != pafs.FileType.NotFound
                 if not there:
                     fs.create_dir(target.rsplit("/", 1)[0], recursive=True)
-                    with fs.open_output_stream(f"{target}.part") as out:
+                    # a name that readers pass over
+                    made = "/.".join(target.rsplit("/", 1)) + ".part"
+                    with fs.open_output_stream(made) as out:
                         out.write(content.as_buffer())
-                    fs.move(f"{target}.part", target)
+                    fs.move(made, target)
                 done.append(not there)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(done)], names=["path", "written"])
 

@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidefold.functions import scalars as X
 from tidefold.operators.uploads import MAX_BYTES, upload
 from tidefold.schemas import CONTENT_TYPES, schema
-from tidefold.sources.blobs import store
+from tidefold.sources.blobs import Files, qualified, store, with_bodies
 from tidefold.sources.keyed import Known
 from tidefold.sources.versions import write_batch
 
@@ -56,9 +56,11 @@ def ingest_stream(uploads: DataFrame, root: str, checkpoint: str, events_path: s
 
 
 def archive_stream(spark: SparkSession, root: str) -> DataFrame:
-    """Files that arrive in the raw archive: ``path``, ``sha256``, ``content``. What is in them is not defined, so nothing is parsed here."""
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(root)
-    return files.select("path", F.sha2("content", 256).alias("sha256"), "content")
+    """Files that arrive in the raw archive: ``path``, ``sha256``, ``content``. What is in them is not defined, so nothing is parsed here. Every trigger lists the archive by tasks, and the names that came before are
+    state of the stream, dealt over the executors: the driver holds none. Give it the RocksDB state store (``codes.use_rocksdb``), and a trigger with an interval."""
+    spark.dataSource.register(Files)
+    names = spark.readStream.format("archive_files").option("path", root).option("top", qualified(spark, root)).load()
+    return with_bodies(names.dropDuplicates(["path"])).select("path", F.sha2("content", 256).alias("sha256"), "content")
 
 
 def new_contents(events: DataFrame, keep: str = "30 days") -> DataFrame:
