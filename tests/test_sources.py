@@ -42,6 +42,18 @@ def test_archive(spark, tmp_path):
     assert max(len(r.chunk) for r in parts) == blobs.CHUNK
 
 
+def test_the_driver_holds_no_name_of_a_file(spark, tmp_path):
+    """Tasks list and read the archive; hidden names and files under way are passed over."""
+    for name in ("top.dat", "ab/cd/x.dat", "ab/cd/.y.dat.part", "ab/_no/z.dat", ".no/z.dat"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(name.encode())
+    read, paths = blobs.read_bodies(spark, str(tmp_path)), blobs.listed(spark, str(tmp_path))
+    assert not read.inputFiles() and not paths.inputFiles()
+    want = {f"file:{tmp_path}/{name}" for name in ("top.dat", "ab/cd/x.dat")}
+    assert {r.path for r in paths.collect()} == {r.path for r in read.collect()} == want
+    assert {r.path: bytes(r.content) for r in blobs.with_bodies(paths).collect()} == {r.path: bytes(r.content) for r in read.collect()}
+
+
 def test_tables(spark):
     with pytest.raises(ValueError):
         table(spark, "/nowhere", "secrets")
