@@ -224,7 +224,7 @@ def ranked(df: DataFrame, length_col: str, key_cols: list[str], buckets: int = B
     earlier = Window.partitionBy(length_col).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(length_col, bucket, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
     numbered = dealt.withColumn(inside, F.row_number().over(Window.partitionBy(length_col, bucket).orderBy(*key_cols)) - 1)
-    return numbered.join(offsets, [length_col, bucket]).withColumn("rank", F.col(before) + F.col(inside)).drop(bucket, before, inside)
+    return numbered.join(offsets, [length_col, bucket]).withColumn("rank", F.col(before) + F.col(inside)).select(*(plain(c) for c in df.columns), "rank")
 
 
 def pack(df: DataFrame, length_col: str, key_cols: list[str], capacity: int = 4096) -> DataFrame:
