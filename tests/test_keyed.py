@@ -61,3 +61,16 @@ def test_a_batch_that_died_half_way_leaves_no_trace(spark, tmp_path, monkeypatch
     monkeypatch.undo()
     known, new, told = run(index, spark, 1, range(10, 30))
     assert known == {sha(k) for k in range(10, 20)} and new == {sha(k) for k in range(20, 30)} and told["total"] == 30
+
+
+def test_large_batches_ask_no_filter(spark, tmp_path, monkeypatch):
+    """A batch of many hashes a shard opens the shards at once, with the same answer, and leaves nothing cached but what it gives."""
+    index = Known(spark, str(tmp_path / "i"), capacity=1000, level=1)
+    run(index, spark, 0, range(200))
+    monkeypatch.setattr(Known, "_latest", lambda *a: (_ for _ in ()).throw(RuntimeError("a filter was read")))
+    known, new, figures = index.of(spark.createDataFrame([(sha(k),) for k in range(100, 400)], "sha256 string"), 1)
+    assert {r.sha256 for r in known.collect()} == {sha(k) for k in range(100, 200)} and {r.sha256 for r in new.collect()} == {sha(k) for k in range(200, 400)}
+    assert figures["opened"] == 2 and figures["rows_read"] == 200
+    monkeypatch.undo()
+    asked = index._asked
+    assert index.add(new, 1, figures)["total"] == 400 and not asked.is_cached

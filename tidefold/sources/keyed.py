@@ -3,7 +3,7 @@
 Hashes are SHA-256, so their first bits deal them evenly over shards, and no shard is hot. A shard is a folder of small files, one for each batch that added to it,
 and has a Bloom filter, kept as Parquet beside it. A batch reads the filters of the shards that its hashes fall in, and opens only shards whose filter
 says that a hash may be there: for new contents next to none, for known ones at most as many as there are of them, each of at most about ``capacity``
-rows. When shards are full on average, all are dealt anew over four times as many, which reads every row a bounded number of times in all.
+rows. A batch with more than ``MANY`` hashes a shard opens the shards without asking the filters, of which some would say yes in every shard: it reads at most ``capacity / MANY`` rows for each hash. When shards are full on average, all are dealt anew over four times as many, which reads every row a bounded number of times in all.
 
 One stream writes an index. What batch n wrote is invisible to batch n and to earlier ones, so a batch that runs again sees what it saw the first time and replaces what
 it wrote: files by folders of their own for each batch, and filters in two slots, of which the one before stays. The driver sees shard numbers, at most one for
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 FILTER = "shard int, slot int, batch long, n long, bits binary"
 DATA = "sha256 string, shard int, batch long"
+#: Hashes of a batch for each shard, beyond which filters are not asked.
+MANY = 64
 
 
 def _positions(hashes: pd.Series, bits: int) -> np.ndarray:
@@ -37,6 +39,7 @@ class Known:
         self.bits = -(-capacity * bits_per_row // 64) * 64
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
+        self._asked: DataFrame | None = None
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     # --- places ---------------------------------------------------------------------------------------------------------
@@ -73,8 +76,9 @@ class Known:
         cached: unpersist them when the batch is done."""
         asked_of, level = self._generation(number)
         asked = hashes.filter(F.col("sha256").isNotNull()).select("sha256", self._shard(level)).distinct().persist()
-        touched = [r.shard for r in asked.select("shard").distinct().collect()]
-        filters = self._latest(asked_of, touched, number)
+        self._asked = asked
+        counts = {r[0]: r[1] for r in asked.groupBy("shard").count().collect()}
+        touched, many = list(counts), sum(counts.values()) > MANY << level
         size = self.bits
 
         def maybe(key: tuple, mine: pd.DataFrame, kept: pd.DataFrame) -> pd.DataFrame:
@@ -83,14 +87,18 @@ class Known:
             bits = np.unpackbits(np.frombuffer(kept["bits"].iloc[0], dtype=np.uint8))
             return mine[bits[_positions(mine["sha256"], size)].all(axis=1)]
 
-        hits = asked.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(maybe, "sha256 string, shard int").persist()
-        opened = [r.shard for r in hits.select("shard").distinct().collect()]
+        if many:
+            hits, opened = asked, touched
+        else:
+            hits = asked.groupBy("shard").cogroup(self._latest(asked_of, touched, number).groupBy("shard")).applyInPandas(maybe, "sha256 string, shard int").persist()
+            opened = [r.shard for r in hits.select("shard").distinct().collect()]
         seen = Observation()
         rows = self._read(f"{asked_of}/data", DATA, opened, number).observe(seen, F.count(F.lit(1)).alias("rows"))
         known = rows.join(hits.select("sha256"), "sha256", "left_semi").select("sha256").persist()
         found = known.count()
         new = asked.join(known, "sha256", "left_anti").persist()
-        hits.unpersist()
+        if not many:
+            hits.unpersist()
         figures = {"shards": 1 << level, "asked": len(touched), "opened": len(opened), "rows_read": int(seen.get["rows"]) if opened else 0, "known": found}
         return known, new, figures
 
@@ -108,6 +116,9 @@ class Known:
             self._write(self._filters(new, self._latest(folder, touched, number), number), f"{folder}/filters", "shard", "slot")
         told = (figures or {}) | {"batch": number, "added": n, "total": self._total(number) + n}
         self._tell(told)
+        if self._asked is not None:  # what new was made from
+            self._asked.unpersist()
+            self._asked = None
         return told
 
     def _filters(self, new: DataFrame, before: DataFrame, number: int) -> DataFrame:
