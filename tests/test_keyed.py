@@ -74,3 +74,9 @@ def test_large_batches_ask_no_filter(spark, tmp_path, monkeypatch):
     monkeypatch.undo()
     asked = index._asked
     assert index.add(new, 1, figures)["total"] == 400 and not asked.is_cached
+
+
+def test_large_first_batch(spark, tmp_path):
+    index = Known(spark, str(tmp_path / "i"), capacity=1000, level=1)
+    known, new, told = run(index, spark, 0, range(300))
+    assert not known and len(new) == 300 and (told["opened"], told["rows_read"], told["total"]) == (0, 0, 300)

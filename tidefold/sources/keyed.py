@@ -88,7 +88,8 @@ class Known:
             return mine[bits[_positions(mine["sha256"], size)].all(axis=1)]
 
         if many:
-            hits, opened = asked, touched
+            there = set(self._names(f"{asked_of}/data"))
+            hits, opened = asked, [s for s in touched if f"shard={s}" in there]
         else:
             hits = asked.groupBy("shard").cogroup(self._latest(asked_of, touched, number).groupBy("shard")).applyInPandas(maybe, "sha256 string, shard int").persist()
             opened = [r.shard for r in hits.select("shard").distinct().collect()]
