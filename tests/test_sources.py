@@ -54,6 +54,37 @@ def test_the_driver_holds_no_name_of_a_file(spark, tmp_path):
     assert {r.path: bytes(r.content) for r in blobs.with_bodies(paths).collect()} == {r.path: bytes(r.content) for r in read.collect()}
 
 
+def test_tasks_do_not_grow_with_the_files(spark, tmp_path):
+    """What tasks send to the driver goes by their number: more files in as many folders take no more of them, however small a split may be."""
+    context = spark.sparkContext
+
+    def tasks(group):
+        context.setJobGroup(group, group)
+        try:
+            found = blobs.read_bodies(spark, str(tmp_path)).filter("code = 'ok'").count()
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+        tracker = context.statusTracker()
+        stages = {i for job in tracker.getJobIdsForGroup(group) for i in tracker.getJobInfo(job).stageIds}
+        return found, sum(tracker.getStageInfo(i).numTasks for i in stages)
+
+    def put(names):
+        for folder in range(40):
+            (tmp_path / f"{folder:02x}/00").mkdir(parents=True, exist_ok=True)
+            for name in names:
+                (tmp_path / f"{folder:02x}/00/{name}.dat").write_bytes(b"one")
+
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        put(range(2))
+        few = tasks("few files")
+        put(range(12))
+        many = tasks("many files")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert (few[0], many[0]) == (80, 480) and many[1] == few[1]
+
+
 def test_tables(spark):
     with pytest.raises(ValueError):
         table(spark, "/nowhere", "secrets")
