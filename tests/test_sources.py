@@ -85,6 +85,16 @@ def test_tasks_do_not_grow_with_the_files(spark, tmp_path):
     assert (few[0], many[0]) == (80, 480) and many[1] == few[1]
 
 
+def test_joins_do_not_send_files_through_the_driver(spark, tmp_path):
+    (tmp_path / "x.dat").write_bytes(b"one")
+    hashes = spark.createDataFrame([(hashlib.sha256(b"one").hexdigest(),)], "sha256 string").repartition(2)
+    for read, key in ((blobs.read_bodies(spark, str(tmp_path)).select("sha256", F.md5("content").alias("body")), "sha256"), (blobs.listed(spark, str(tmp_path)), "path")):
+        met = hashes.withColumnRenamed("sha256", key).join(read, key)
+        assert len(met.collect()) == (key == "sha256")
+        plan = met._jdf.queryExecution().executedPlan().toString()  # as adaptive execution left it
+        assert "isFinalPlan=true" in plan and "Broadcast" not in plan.split("Initial Plan")[0]
+
+
 def test_tables(spark):
     with pytest.raises(ValueError):
         table(spark, "/nowhere", "secrets")

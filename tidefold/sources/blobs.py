@@ -59,7 +59,8 @@ def qualified(spark: SparkSession, root: str) -> str:
 
 
 def _dealt(spark: SparkSession, root: str) -> DataFrame:
-    """The top folders, each for a task of its own: the driver sees these names, and never the files'."""
+    """The top folders, each for a task of its own: the driver sees these names, and never the files'. Spark takes the files for as few as the folders: what is made of them needs the hint
+    ``merge``, or a join sends them all through the driver."""
     folders = [(x,) for x in top_folders(root)]
     return spark.createDataFrame(folders, "folder string").repartition(min(len(folders), 256))
 
@@ -75,7 +76,7 @@ def listed(spark: SparkSession, root: str) -> DataFrame:
                 while some := [top + x.path[len(base) :] for x in islice(files, 10_000)]:
                     yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], names=["path"])
 
-    return _dealt(spark, root).mapInArrow(look, "path string")
+    return _dealt(spark, root).mapInArrow(look, "path string").hint("merge")
 
 
 def read_bodies(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -104,7 +105,7 @@ def read_bodies(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> D
 
     files = _dealt(spark, path).mapInArrow(read, "path string, modified_at timestamp, size_bytes long, content binary")
     code = F.when(F.col("size_bytes") > max_bytes, "file_too_large").otherwise("ok").alias("code")
-    return files.select("path", "modified_at", "size_bytes", X.sha256_hex("content").alias("sha256"), "content", code)
+    return files.select("path", "modified_at", "size_bytes", X.sha256_hex("content").alias("sha256"), "content", code).hint("merge")
 
 
 def with_bodies(files: DataFrame) -> DataFrame:
